@@ -407,7 +407,7 @@ def _(c: Contests):
 
 
 # ---- one team's report ----------------------------------------------------------------------
-TEAM_NAME = "FRANCE"
+TEAM_NAME = "NATION_7"
 VS = f"""
 vs AS (SELECT match_id, datetime, tournament AS event, tier, bestOf AS bo, CASE WHEN h THEN team2 ELSE team1 END AS opponent, winner = '{TEAM_NAME}' AS won,
        CASE WHEN h THEN t1_series_score ELSE t2_series_score END AS score_for, CASE WHEN h THEN t2_series_score ELSE t1_series_score END AS score_against,
