@@ -126,7 +126,7 @@ def _rings(events: DataFrame, controls: DataFrame, covariates: list[str], same_t
         known = known & F.col(c).isNotNull()
     # equal covariate values with different tiers are different cells; a null tier only matters
     # when the event's own tier is unknown
-    cell = F.xxhash64(F.coalesce("tier", F.lit("")), F.to_json(key))
+    cell = F.concat_ws("|", F.coalesce("tier", F.lit("")), F.to_json(key))
     pool = controls.where(known).select(
         F.col("team").alias("c_team"), F.col("match_id").alias("c_match"), F.col("datetime").alias("c_ts"),
         F.col("tier").alias("c_tier"), F.col("pos").alias("c_pos"), key.alias("c_key"), cell.alias("cell"))
@@ -136,15 +136,19 @@ def _rings(events: DataFrame, controls: DataFrame, covariates: list[str], same_t
     many = cells.count()
     if many > MAX_CELLS:
         raise ValueError(f"{many} distinct covariate combinations: round the covariates first")
-    asked = events.where(known).select(
-        "event_id", "team", "match_id", "datetime", "tier", key.alias("e_key"))
-    tier_ok = (F.col("tier").isNull() | (F.col("tier") == F.col("c_tier"))) if same_tier else F.lit(True)
+    # an event without a tier may use every tier: it visits each one, so the join stays an equi-join
+    own = F.array("tier") if same_tier else F.lit(None).cast("array<string>")
+    every = cells.agg(F.collect_set(F.coalesce("c_tier", F.lit(""))).alias("_tiers"))
+    asked = events.where(known).crossJoin(every).select(
+        "event_id", "team", "match_id", "datetime", key.alias("e_key"),
+        F.explode(F.when(F.col("tier").isNotNull() & F.lit(same_tier), own).otherwise(F.col("_tiers"))).alias("_tier"))
     squares = [F.pow(F.col(f"e_key.{c}") - F.col(f"c_key.{c}"), F.lit(2)) for c in covariates]
     total = squares[0]
     for s in squares[1:]:
         total = total + s
-    # cells are a checked-size summary, so every event may look at each of them
-    near = asked.join(F.broadcast(cells), tier_ok).withColumn("distance", F.sqrt(total / len(squares)))
+    # cells are a summary of checked size: the distinct covariate values of a tier
+    keyed = cells.withColumn("_tier", F.coalesce("c_tier", F.lit("")))
+    near = asked.join(F.broadcast(keyed), "_tier").withColumn("distance", F.sqrt(total / len(squares)))
     from pyspark.sql import Window
 
     ringed = near.withColumn("ring", F.dense_rank().over(Window.partitionBy("event_id").orderBy("distance")))

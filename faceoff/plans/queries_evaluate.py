@@ -276,7 +276,7 @@ WITH r AS (SELECT event_type AS label, CAST(ts AS DATE) AS run_at, user_id % 3 =
 l AS (SELECT label, MAX(run_at) AS run_at FROM r GROUP BY label)
 SELECT r.label, r.run_at, COUNT(*) AS questions, COUNT(*) FILTER (WHERE NOT is_trap AND result_match) AS answerable_correct, COUNT(*) FILTER (WHERE NOT is_trap) AS answerable_total,
 COUNT(*) FILTER (WHERE is_trap AND refused_ok) AS traps_refused, COUNT(*) FILTER (WHERE is_trap) AS traps_total, ROUND(AVG(CAST(executable AS INT)) FILTER (WHERE NOT is_trap), 4) AS exec_rate,
-CAST(SUM(pt) AS BIGINT) AS prompt_tokens, CAST(SUM(ct) AS BIGINT) AS completion_tokens, ROUND(SUM(pt) / 1e6 * 250 + SUM(ct) / 1e6 * 500, 4) AS est_cost
+CAST(SUM(pt) AS BIGINT) AS prompt_tokens, CAST(SUM(ct) AS BIGINT) AS completion_tokens, ROUND(SUM(pt) / 1e6 * 100 + SUM(ct) / 1e6 * 200, 4) AS est_cost
 FROM r JOIN l ON l.label = r.label AND l.run_at = r.run_at GROUP BY 1, 2
 """)
 def _(c: Contests):
@@ -284,7 +284,7 @@ def _(c: Contests):
         F.col("event_type").alias("label"), F.to_date("ts").alias("run_at"), (F.col("user_id") % 3 == 0).alias("is_trap"),
         (F.col("value") > 20).alias("executable"), (F.col("value") > 40).alias("result_match"), (F.col("value") < 30).alias("refused_ok"),
         F.floor(F.col("value") * 10).cast("long").alias("prompt_tokens"), F.col("user_id").alias("completion_tokens"),
-        F.lit(250.0).alias("price_in"), F.lit(500.0).alias("price_out"))
+        F.lit(100.0).alias("price_in"), F.lit(200.0).alias("price_out"))
     return evaluate.eval_summary(runs)
 
 
