@@ -159,45 +159,54 @@ def _rings(events: DataFrame, controls: DataFrame, covariates: list[str], same_t
     placed = prior_totals(steps.unionByName(marks), Timeline(("cell",), ("ts", "kind", "event_id")),
                           {"at": ("sum", F.col("one"))}).where("kind = 1").select("cell", "event_id", "at")
     rings = ringed.join(placed, ["cell", "event_id"]).select(
-        "event_id", "ring", "cell", "distance", "at", "n_cell")
+        "event_id", F.col("ring").alias("ring_no"), "cell", "distance", "at", "n_cell")
     return pool, write_and_reread(rings, "match-rings")
 
 
 def _propose(active: DataFrame, pool: DataFrame, rings: DataFrame, taken: DataFrame | None, max_days: int) -> DataFrame:
-    """One lookup for every active event: its best free candidate and whether that is final."""
-    looked = active.join(rings, ["event_id", "ring"], "left")
+    """One lookup for every active event: its best free candidate and whether that is final.
+
+    An event looks at ``span`` rings at once. The first ring with a candidate, or with controls
+    not looked up yet, decides: its candidate is final when nothing unseen can be as near in days.
+    Otherwise the event looks deeper into that ring, or past all of its empty rings.
+    """
+    reach = active.join(rings, "event_id").where(
+        (F.col("ring_no") >= F.col("ring")) & (F.col("ring_no") < F.col("ring") + F.col("span")))
     first = F.greatest(F.lit(1), F.col("at") - F.col("depth") + 1)
     last = F.least(F.col("n_cell"), F.col("at") + F.col("depth"))
-    reach = looked.where(F.col("cell").isNotNull() & (first <= last)).withColumn(
-        "cpos", F.explode(F.sequence(first, last)))
-    hit = reach.join(pool, ["cell", "cpos"])
-    days = F.floor(F.abs(_micros("c_ts") - _micros("datetime")) / _DAY)
-    hit = hit.withColumn("days", days)
-    open_edge = ((F.col("cpos") == F.col("at") - F.col("depth") + 1) & (F.col("cpos") > 1)) | (
-        (F.col("cpos") == F.col("at") + F.col("depth")) & (F.col("cpos") < F.col("n_cell")))
-    usable = (F.col("days") <= max_days) & (F.col("c_team") != F.col("team"))
+    hit = reach.where(first <= last).withColumn("cpos", F.explode(F.sequence(first, last))).join(pool, ["cell", "cpos"])
+    hit = hit.withColumn("days", F.floor(F.abs(_micros("c_ts") - _micros("datetime")) / _DAY))
+    within = F.col("days") <= max_days
+    more_before = (F.col("cpos") == F.col("at") - F.col("depth") + 1) & (F.col("cpos") > 1)
+    more_after = (F.col("cpos") == F.col("at") + F.col("depth")) & (F.col("cpos") < F.col("n_cell"))
+    usable = within & (F.col("c_team") != F.col("team"))
     if taken is not None:
-        held = taken.select(F.col("c_team").alias("_t"), F.col("c_match").alias("_m"), F.col("rank").alias("_held"))
-        hit = hit.join(held, (hit["c_team"] == held["_t"]) & (hit["c_match"] == held["_m"]), "left")
+        held = taken.select("c_team", "c_match", F.col("rank").alias("_held"))
+        hit = hit.join(held, ["c_team", "c_match"], "left")
         usable = usable & (F.col("_held").isNull() | (F.col("_held") > F.col("rank")))
-    best = hit.groupBy("event_id").agg(
+    per_ring = hit.groupBy("event_id", "ring_no").agg(
         F.min(F.when(usable, F.struct("distance", "days", "c_team", "c_match", "c_ts", "c_pos"))).alias("best"),
-        F.min(F.when(open_edge & (F.col("days") <= max_days), F.col("days"))).alias("horizon"))
-    out = active.join(best, "event_id", "left").join(
-        rings.groupBy("event_id").agg(F.max("ring").alias("last_ring")), "event_id", "left")
-    final = F.col("best").isNotNull() & (F.col("horizon").isNull() | (F.col("best.days") < F.col("horizon")))
-    return out.withColumns({
-        "final": final,
-        "next_ring": F.when(~final & F.col("horizon").isNull(), F.col("ring") + 1).otherwise(F.col("ring")),
-        "next_depth": F.when(~final & F.col("horizon").isNotNull(), F.col("depth") * 4).otherwise(F.col("depth")),
-    })
+        F.min(F.when((more_before | more_after) & within, F.col("days"))).alias("horizon"))
+    decided = per_ring.where("best IS NOT NULL OR horizon IS NOT NULL").groupBy("event_id").agg(
+        F.min_by(F.struct("ring_no", "best", "horizon"), "ring_no").alias("_d"))
+    ends = rings.groupBy("event_id").agg(F.max("ring_no").alias("last_ring"))
+    out = active.join(decided, "event_id", "left").join(ends, "event_id", "left")
+    seen = F.col("_d").isNotNull()
+    final = seen & F.col("_d.best").isNotNull() & (
+        F.col("_d.horizon").isNull() | (F.col("_d.best.days") < F.col("_d.horizon")))
+    return out.select(
+        *active.columns, "last_ring", F.col("_d.best").alias("best"), F.coalesce(final, F.lit(False)).alias("final"),
+        F.when(seen, F.col("_d.ring_no")).otherwise(F.col("ring") + F.col("span")).alias("next_ring"),
+        F.when(seen & ~F.coalesce(final, F.lit(False)), F.col("depth") * 4).otherwise(F.col("depth")).alias("next_depth"),
+        F.when(seen, F.col("span")).otherwise(F.col("span") * 2).alias("next_span"))
 
 
 def _start(events: DataFrame) -> DataFrame:
     """Active events with their priority: team, then time."""
     return events.select(
         "event_id", "team", "match_id", "datetime", F.col("pos").alias("e_pos"),
-        F.struct("team", "datetime", "match_id").alias("rank"), F.lit(1).alias("ring"), F.lit(8).alias("depth"))
+        F.struct("team", "datetime", "match_id").alias("rank"), F.lit(1).alias("ring"),
+        F.lit(4).alias("span"), F.lit(16).alias("depth"))
 
 
 def _pair_columns(df: DataFrame) -> DataFrame:
@@ -246,7 +255,7 @@ def _match(events, controls, covariates, max_days, same_tier, replace) -> DataFr
             lost = everyone.join(kept.select("event_id"), "event_id", "left_anti").select(*state_columns)
             held = kept
         retry = step.where(~F.col("final") & (F.col("next_ring") <= F.col("last_ring"))).select(
-            *[F.col({"ring": "next_ring", "depth": "next_depth"}.get(c, c)).alias(c) for c in state_columns])
+            *[F.col({"ring": "next_ring", "depth": "next_depth", "span": "next_span"}.get(c, c)).alias(c) for c in state_columns])
         following = retry if lost is None else retry.unionByName(lost)
         active = write_and_reread(following, "match-active")
         if active.isEmpty():

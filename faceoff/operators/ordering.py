@@ -24,17 +24,17 @@ def global_position(df: DataFrame, ts: str, ties: list[str], grain: str = "day",
         *df.columns, (F.col("_before") + F.col("_rank")).cast("long").alias(name))
 
 
-def dense_index(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Number distinct keys 0..n-1 in (md5 prefix, key) order.
+def dense_index(df: DataFrame, key: str, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Number distinct keys 0..n-1 (per ``by``) in (md5 prefix, key) order.
 
-    The keys fall into 4096 hash chunks; only the chunk counts are accumulated in one task.
+    The keys fall into 4096 hash chunks; only the chunk counts are accumulated per ``by``.
     """
     rows = df.withColumn("_chunk", F.substring(F.md5(F.col(key).cast("string")), 1, 3))
-    counts = rows.groupBy("_chunk").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_chunk").orderBy(key)
-    return rows.join(offsets, "_chunk").select(
+    counts = rows.groupBy(*by, "_chunk").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*by, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*by, "_chunk").orderBy(key)
+    return rows.join(offsets, [*by, "_chunk"]).select(
         *df.columns, (F.col("_before") + F.row_number().over(inside) - 1).cast("long").alias(name))
 
 
