@@ -60,7 +60,7 @@ class AveragedCalibration:
         out = df
         for i, (model, iso) in enumerate(self.members):
             scored = model.transform(out).withColumn("_p", _p())
-            out = iso.transform(scored).select(*kept, *[f"_c{j}" for j in range(i)], c("prediction").alias(f"_c{i}"))
+            out = iso.transform(scored).select(*kept, *[f"_c{j}" for j in range(i)], c("_iso").alias(f"_c{i}"))
         mean = reduce(lambda a, b: a + b, [c(f"_c{i}") for i in range(len(self.members))]) / len(self.members)
         return out.withColumn("p", mean).select(*kept, "p")
 
@@ -76,7 +76,7 @@ def fit_gbm_isotonic(train: DataFrame, folds: int = 5, rounds: int = GBM_ROUNDS)
         model = fit_gbm(placed.where(c("_pos") <= edge).drop("_pos"), rounds)
         held = placed.where((c("_pos") > edge) & (c("_pos") <= edge + size)).drop("_pos")
         scored = model.transform(held).withColumn("_p", _p())
-        members.append((model, IsotonicRegression(featuresCol="_p", labelCol="label").fit(scored)))
+        members.append((model, IsotonicRegression(featuresCol="_p", labelCol="label", predictionCol="_iso").fit(scored)))
     placed.unpersist()
     return AveragedCalibration(members)
 
@@ -126,8 +126,7 @@ def calibrate_per_group(train: DataFrame, test: DataFrame, method: str = "platt"
                                         standardization=False).fit(rows)
             out = fitted.transform(asked).withColumn("p_cal", _p())
         else:
-            out = IsotonicRegression(featuresCol="p", labelCol="label").fit(rows).transform(asked).withColumn(
-                "p_cal", c("prediction"))
+            out = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="p_cal").fit(rows).transform(asked)
         parts.append(out.select(*test.columns, "p_cal"))
     joined = reduce(DataFrame.unionByName, parts)
     return joined.withColumn("p_cal", F.greatest(F.least("p_cal", F.lit(1.0)), F.lit(0.0))), decisions
