@@ -174,8 +174,7 @@ def derive_series(df: DataFrame) -> DataFrame:
 
 def row_assertions(df: DataFrame) -> DataFrame:
     """Violation counts of the contract in one pass plus one distinct count."""
-    wrong = ~F.coalesce(F.col("winner").isin("_") | (F.col("winner") == F.col("team1"))
-                        | (F.col("winner") == F.col("team2")), F.lit(False))
+    wrong = ~F.coalesce(F.col("winner").isin(F.col("team1"), F.col("team2")), F.lit(False))
     per_id = df.groupBy("match_id").agg(
         F.count("*").alias("_n"),
         F.count_if(wrong).alias("_outside"),
@@ -197,10 +196,11 @@ def window_filter(
     map_col: str = "map_name", event_col: str = "tournament",
 ) -> DataFrame:
     """Independent optional filters, all plain predicates, so parquet scans can apply them."""
+    kind = df.schema["datetime"].dataType
     if start:
-        df = df.where(F.col("datetime") >= F.lit(start).cast("timestamp_ntz"))
+        df = df.where(F.col("datetime") >= F.lit(start).cast(kind))
     if end:
-        last = F.lit(end).cast("timestamp_ntz") + F.expr("INTERVAL '23:59' HOUR TO MINUTE")
+        last = F.lit(end).cast(kind) + F.expr("INTERVAL '23:59' HOUR TO MINUTE")
         df = df.where(F.col("datetime") <= last)
     if maps:
         df = df.where(F.lower(map_col).isin([m.lower() for m in maps]))

@@ -58,8 +58,6 @@ def holt_forecast(monthly: DataFrame, beta: float = 1.0, value: str = "elo") ->
     def forecast(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("month")
         x = pdf["v"].to_numpy(dtype=float)
-        if len(x) < MIN_MONTHS + HORIZON:
-            return pd.DataFrame({k: [] for k in ("team", "step", "n_months", "alpha", "forecast", "lo80", "hi80", "mape", "mape_naive")})
         train, actual = x[:-HORIZON], x[-HORIZON:]
         _, held, _ = _ahead(train, beta)
         mape = float(np.mean(np.abs((actual - held) / actual)) * 100)
@@ -69,4 +67,6 @@ def holt_forecast(monthly: DataFrame, beta: float = 1.0, value: str = "elo") ->
             "team": pdf["team"].iloc[0], "step": np.arange(1, HORIZON + 1, dtype="int32"), "n_months": np.int32(len(x)),
             "alpha": alpha, "forecast": point, "lo80": point - band, "hi80": point + band, "mape": mape, "mape_naive": naive})
 
-    return monthly.select("team", "month", F.col(value).alias("v")).groupBy("team").applyInPandas(forecast, SCHEMA)
+    long_enough = monthly.groupBy("team").count().where(F.col("count") >= MIN_MONTHS + HORIZON).select("team")
+    rows = monthly.select("team", "month", F.col(value).alias("v")).join(long_enough, "team", "left_semi")
+    return rows.groupBy("team").applyInPandas(forecast, SCHEMA)

@@ -20,6 +20,12 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from faceoff.session import estimated_bytes
+
+
+HOT_ROWS = 5_000_000
+SMALL_INPUT = 64 * 1024 * 1024
+
 
 @dataclass(frozen=True)
 class Timeline:
@@ -27,7 +33,7 @@ class Timeline:
 
     keys: tuple[str, ...]
     order: tuple[str, ...] = ("datetime", "match_id")
-    hot_rows: int = 5_000_000
+    hot_rows: int = HOT_ROWS
     grain: str = "day"
     split: bool | None = None      # None: decide by counting; True/False: the caller knows
 
@@ -54,9 +60,15 @@ class Frames:
 
 
 def _hot_entities(df: DataFrame, line: Timeline) -> DataFrame | None:
-    """Entities above ``hot_rows``; at most rows / hot_rows of them, so small by construction."""
+    """Entities above ``hot_rows``; at most rows / hot_rows of them, so small by construction.
+
+    No job runs when the whole input is small by Spark's own size estimate (the one that decides
+    broadcasts) and the limit is not a small one set by the caller.
+    """
     if line.split is False:
         return None
+    if line.split is None and line.hot_rows >= HOT_ROWS and estimated_bytes(df) <= SMALL_INPUT:
+        return None
     counts = df.groupBy(*line.keys).count()
     if line.split is None:
         largest = counts.agg(F.max("count")).first()[0]

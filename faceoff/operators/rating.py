@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faceoff.functions.scalar import row_log_loss
-from faceoff.operators.history import Timeline, with_position
-from faceoff.session import require_columns, write_and_reread
+from faceoff.operators.history import SMALL_INPUT, Timeline, with_position
+from faceoff.session import estimated_bytes, require_columns, write_and_reread
 
 K_VALUES = (8.0, 16.0, 32.0, 64.0)
 BASE = 1500.0
+SLICE_ROWS = 2_000_000
 _ADDED = ("elo_t1_pre", "elo_t2_pre", "elo_t1_post", "elo_t2_post")
 
 
@@ -52,7 +53,7 @@ def _state_of(table: pa.Table) -> dict[str, float]:
 def elo_replay(
     contests: DataFrame, pool: list[str], k: float = 32.0, base: float = BASE,
     order: tuple[str, ...] = ("datetime", "match_id"), snapshot: DataFrame | None = None,
-    slice_rows: int = 2_000_000,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Walk-forward replay. ``pool`` names the columns that separate independent rating pools.
 
@@ -70,7 +71,11 @@ def elo_replay(
     if "k" not in df.columns:
         df = df.withColumn("k", F.lit(float(k)))
     schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in _ADDED]])
-    largest = df.groupBy(*pool).count().agg(F.max("count")).first()[0] or 0
+    small = slice_rows >= SLICE_ROWS and estimated_bytes(df) <= SMALL_INPUT
+    if small and snapshot is None:
+        largest = 0
+    else:
+        largest = df.groupBy(*pool).count().agg(F.max("count")).first()[0] or 0
 
     if largest <= slice_rows and snapshot is None:
         order_by = list(order)

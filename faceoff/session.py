@@ -17,6 +17,7 @@ def build_session(cores: int | str = "*", app: str = "faceoff", **extra: str) ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.shuffle.partitions", "8" if cores == "*" else str(cores))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
@@ -37,6 +38,11 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of a plan; runs no job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster; a scratch one only in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
