@@ -156,6 +156,24 @@ def map_results(maps: DataFrame) -> DataFrame:
         subset=["team1", "team2"]).withColumn("result", map_side1_won().cast("double"))
 
 
+def backtest_table(matches: DataFrame, maps: DataFrame, cutoff: str, ks=K_VALUES) -> DataFrame:
+    """model x split losses: every K on the test side, K = 32 also on train, the per-map rating and 0.5."""
+    from faceoff.operators.evaluate import score, with_split
+
+    slim = one_pool(matches.select("match_id", "datetime", "team1", "team2", "winner"))
+    by_k = elo_replay(with_k_values(slim, ks), ["pool", "k"]).select(
+        F.concat(F.lit("elo_k"), F.col("k").cast("int").cast("string")).alias("model"), "datetime",
+        F.col("p_t1").alias("p"), F.col("result").alias("y"))
+    per_map = elo_replay(
+        map_results(maps).select("match_id", "game_id", "datetime", "map_name", "team1", "team2", "result"),
+        ["map_name"], order=("datetime", "match_id", "game_id"),
+    ).select(F.lit("elo_mapspecific_k32").alias("model"), "datetime", F.col("p_t1").alias("p"), F.col("result").alias("y"))
+    constant = matches.select(F.lit("constant_0.5").alias("model"), "datetime", F.lit(0.5).alias("p"),
+                              (F.col("winner") == F.col("team1")).cast("double").alias("y"))
+    rows = with_split(by_k.unionByName(per_map).unionByName(constant), cutoff)
+    return score(rows.where("split = 'test' OR model = 'elo_k32'"), ["model", "split"])
+
+
 def monthly_last(replayed: DataFrame, teams: int = 10) -> DataFrame:
     """Last post-match rating per (team, month) of the most active teams (ties by name)."""
     long = post_long(replayed, ["match_id", "datetime"])

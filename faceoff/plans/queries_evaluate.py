@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from faceoff.functions import scalar as X
 from faceoff.operators import clean, evaluate, features, gold, history, longform, rating
-from faceoff.plans.queries_history import LINEUPS, r6
+from faceoff.plans.queries_history import BY_ROUNDS, LINEUPS, MAP_ELO, r6
 from faceoff.plans.registry import ORACLES, Contests, query
 
 CUT = "1996-06-01"
@@ -51,6 +51,16 @@ def _(c: Contests):
     return rl(evaluate.score(evaluate.with_split(rows, CUT), ["model", "split"]))
 
 
+@query("backtest_table", "WITH " + MAP_ELO.format(pool="* 6 + x.n", won=BY_ROUNDS) + f""",
+sp AS (SELECT 'elo_k' || CAST(k AS INT) AS model, datetime, p_t1 AS p, result AS y FROM elo_all
+       UNION ALL SELECT 'elo_mapspecific_k32', mi.datetime, 1 / (1 + pow(10, (r2 - r1) / 400)), s FROM ms JOIN mi ON mi.rn = ms.rn
+       UNION ALL SELECT 'constant_0.5', datetime, 0.5e0, result FROM elo),
+ss AS (SELECT *, CASE WHEN datetime < TIMESTAMP '{CUT}' THEN 'train' ELSE 'test' END AS split FROM sp)
+SELECT model, split, {loss('p', 'y')} FROM ss WHERE split = 'test' OR model = 'elo_k32' GROUP BY 1, 2""")
+def _(c: Contests):
+    return rl(rating.backtest_table(c.matches(), c.map_rows(), CUT))
+
+
 BIN = "LEAST(CAST(list_sum([CAST({p} >= e * 0.1e0 AS INT) FOR e IN [1,2,3,4,5,6,7,8,9]]) AS INT), 9)".format(p="p_t1")
 CELLS = f"cells AS (SELECT {{g}} AS g, {BIN} AS bin, COUNT(*) AS n, AVG(p_t1) AS mp, AVG(result) AS ob FROM elo GROUP BY 1, 2)"
 

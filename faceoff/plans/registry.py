@@ -65,7 +65,11 @@ def query(name: str, sql: str | None = None):
     def register(fn: Callable[[Contests], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = lambda spark, folder: fn(Contests(spark, folder))
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")      # instants and dates agree
+            return fn(Contests(spark, folder))
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = with_tables(sql)
         return fn
