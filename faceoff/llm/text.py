@@ -149,7 +149,8 @@ def windows(hashes: np.ndarray, first: np.ndarray, size: int, salt: int = 0) ->
 
 def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The sum of each document's values; first has the edges."""
-    total = np.concatenate([[0], np.cumsum(values)])
+    total = np.cumsum(values)
+    total = np.concatenate([np.zeros(1, total.dtype), total])
     return total[first[1:]] - total[first[:-1]]
 
 
