@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faceoff.llm import jaccard, quality
+from faceoff.llm import jaccard, quality, substring
 from faceoff.llm.registry import ORACLES, QUERIES, register, table  # noqa: F401
 
 
@@ -18,3 +18,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @register("op4_ngram_jaccard_join")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, folder, "documents"))
+
+
+@register("op7_substring_dedup")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.digest(table(spark, folder, "documents"))
