@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from faceoff.llm import jaccard, quality, substring
+from faceoff.llm import bpe, jaccard, packing, quality, substring
 from faceoff.llm.registry import ORACLES, QUERIES, register, table  # noqa: F401
 
 
@@ -23,3 +25,18 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @register("op7_substring_dedup")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return substring.digest(table(spark, folder, "documents"))
+
+
+@register("op1_best_fit_packing")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.token_pieces(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+@register("op9_bpe_encode_decode")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = bpe.encode(table(spark, folder, "documents"), path)
+    return bpe.decode(ids, path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.btrim(F.to_json("ids"), F.lit("[]")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
