@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faceoff.llm import bpe, jaccard, packing, quality, substring
+from faceoff.llm import bpe, jaccard, lmscore, packing, quality, substring
 from faceoff.llm.registry import ORACLES, QUERIES, register, table  # noqa: F401
 
 
@@ -40,3 +40,10 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.decode(ids, path).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.btrim(F.to_json("ids"), F.lit("[]")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@register("op5_lm_scoring")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7
+    scored = lmscore.score(table(spark, folder, "documents"), remainder != 2)
+    return scored.withColumn("held_out", remainder == 2)
