@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faceoff.llm import bpe, jaccard, lmscore, packing, quality, substring
+from faceoff.llm import bpe, jaccard, lmscore, packing, quality, substring, toxicity
 from faceoff.llm.registry import ORACLES, QUERIES, register, table  # noqa: F401
 
 
@@ -47,3 +47,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7
     scored = lmscore.score(table(spark, folder, "documents"), remainder != 2)
     return scored.withColumn("held_out", remainder == 2)
+
+
+@register("op3_toxicity")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels"), ~held_out)
+    return toxicity.score(docs, model).withColumn("held_out", held_out)
