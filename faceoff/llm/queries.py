@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faceoff.llm import bpe, jaccard, lmscore, packing, quality, substring, toxicity
+from faceoff.llm import bpe, jaccard, lmscore, packing, quality, secrets, substring, toxicity
 from faceoff.llm.registry import ORACLES, QUERIES, register, table  # noqa: F401
 
 
@@ -55,3 +55,14 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = toxicity.fit(docs, table(spark, folder, "labels"), ~held_out)
     return toxicity.score(docs, model).withColumn("held_out", held_out)
+
+
+@register("op2_secret_scans")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = secrets.findings(docs, secrets.fit(docs))
+    joined = lambda cells: F.array_join(F.transform(cells, lambda f: F.concat_ws(":", f.kind, f.start, f.end)), ",")
+    of = lambda kind: F.size(F.filter("findings", lambda f: f.kind == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", of("assign"), of("access"), of("hex"),
+                        F.sha2(joined(F.filter("findings", lambda f: f.kind != "net")), 256).alias("base_sha256"), joined("findings").alias("spans"),
+                        of("net"))
