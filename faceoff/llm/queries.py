@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faceoff.llm import bpe, jaccard, lmscore, packing, quality, secrets, substring, toxicity
+from faceoff.llm import bpe, chat, jaccard, lmscore, packing, quality, secrets, substring, toxicity
 from faceoff.llm.registry import ORACLES, QUERIES, register, table  # noqa: F401
 
 
@@ -66,3 +66,50 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", of("assign"), of("access"), of("hex"),
                         F.sha2(joined(F.filter("findings", lambda f: f.kind != "net")), 256).alias("base_sha256"), joined("findings").alias("spans"),
                         of("net"))
+
+
+#: Fields of the two tools that conversations are read as: a question is a call, the turn after it answers.
+TOOLS = """
+SELECT * FROM VALUES ('ask', 'n_chars', 'integer', true), ('ask', 'text', 'string', true), ('ask', 'turn', 'integer', true),
+  ('ask_lines', 'n_lines', 'integer', true), ('ask_lines', 'text', 'string', true), ('ask_lines', 'turn', 'string', false)
+  AS tools(name, field, type, required)
+"""
+
+OP10 = """
+WITH calls AS (
+  SELECT conv_id, 'c' || conv_id || '-' || turn AS call_id, turn,
+         CASE WHEN contains(text, chr(10)) THEN 'ask_lines' ELSE 'ask' END AS name,
+         json_object('n_chars', length(text), 'text', text, 'turn', turn) AS arguments
+  FROM conversations WHERE role = 'user'),
+results AS (
+  SELECT conv_id, 'c' || conv_id || '-' || (turn - 1) AS call_id, text AS content FROM conversations WHERE role = 'assistant'),
+chains AS (  -- a question comes after the one two turns before it
+  SELECT conv_id, turn, turn // 2 - row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run, turn % 2 AS half
+  FROM calls),
+depths AS (
+  SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, half, run ORDER BY turn) - 1 AS depth FROM chains),
+linked AS (
+  SELECT c.conv_id, c.call_id, d.depth, CASE WHEN r.call_id IS NULL THEN 'no_result' ELSE 'ok' END AS status,
+         CASE c.name WHEN 'ask' THEN '' ELSE 'n_chars:unknown,n_lines:missing,turn:type' END AS errors, c.arguments, c.name, r.content AS result
+  FROM calls c JOIN depths d USING (conv_id, turn) LEFT JOIN results r ON r.call_id = c.call_id
+  UNION ALL
+  SELECT r.conv_id, r.call_id, NULL, 'orphan_result', '', NULL, NULL, r.content
+  FROM results r LEFT JOIN calls c ON r.call_id = c.call_id WHERE c.call_id IS NULL)
+SELECT conv_id, call_id, depth, lpad(CAST(coalesce(depth, 9999999999) AS VARCHAR), 10, '0') || ':' || call_id AS order_key, status, errors,
+  '{' || concat_ws(',', '"arguments":' || arguments, '"call_id":' || to_json(call_id), '"conv_id":' || to_json(CAST(conv_id AS VARCHAR)),
+    '"depth":' || depth, '"errors":' || to_json(errors), '"name":' || to_json(name), '"result":' || to_json(result),
+    '"status":' || to_json(status)) || '}' AS record
+FROM linked
+"""
+
+
+@register("op10_chat_formatting", OP10)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    at = lambda back: F.concat(F.lit("c"), "conv_id", F.lit("-"), F.col("turn") - back)
+    calls = turns.where("role = 'user'").select(
+        "conv_id", at(0).alias("call_id"), at(2).alias("after"), "turn",
+        F.when(F.contains("text", F.lit("\n")), "ask_lines").otherwise("ask").alias("name"),
+        F.to_json(F.struct(F.length("text").alias("n_chars"), "text", "turn")).alias("arguments"))
+    results = turns.where("role = 'assistant'").select("conv_id", at(1).alias("call_id"), "turn", F.col("text").alias("content"))
+    return chat.link(calls, results, spark.sql(TOOLS))
