@@ -26,11 +26,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faceoff.llm import text as T
+from faceoff.llm.packed import pack, pack_sorted, unpack, unpack_sorted
 
 BLOCK_TEXT = 16 << 20
 LEAST_BLOCKS = 48
@@ -41,26 +41,6 @@ START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 WEIGHT = 300.0
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit values as compressed differences, byte plane by byte plane."""
-    step = np.diff(keys, prepend=np.uint64(0))
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8).T).tobytes())
-
-
-def unpack_keys(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
-
-
-def _pack_counts(counts: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(counts.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes())
-
-
-def _unpack_counts(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view(np.int64).ravel()
-
-
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of a column's texts in a row, an end after each text, and where each text begins."""
     parts, counts = [], []
@@ -106,7 +86,7 @@ def _vocabulary(parts: int):
 
     def flush(keys, counts):
         edge = np.searchsorted(keys // width, np.arange(parts + 1).astype(np.uint64))
-        rows = [(p, pack_keys(keys[a:z]), _pack_counts(counts[a:z])) for p, (a, z) in enumerate(zip(edge, edge[1:], strict=False)) if a < z]
+        rows = [(p, pack_sorted(keys[a:z]), pack(counts[a:z])) for p, (a, z) in enumerate(zip(edge, edge[1:], strict=False)) if a < z]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)],
                                           ["part", "keys", "counts"])
 
@@ -136,8 +116,8 @@ def _sum(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _size(table: pa.Table) -> pa.Table:
-    keys = np.concatenate([unpack_keys(x) for x in table.column("keys").to_pylist()])
-    counts = np.concatenate([_unpack_counts(x) for x in table.column("counts").to_pylist()])
+    keys = np.concatenate([unpack_sorted(x) for x in table.column("keys").to_pylist()])
+    counts = np.concatenate([unpack(x, np.int64) for x in table.column("counts").to_pylist()])
     return pa.table({"v": [int(len(np.unique(keys)))], "n": [int(counts.sum())]})
 
 
@@ -162,7 +142,7 @@ def _request(order: int, parts: int):
     def run(table: pa.Table) -> pa.Table:
         *_, keys, counts, _ = _own_counts(table.column("t").combine_chunks(), np.asarray(table.column("train")), order)
         edge = np.searchsorted(keys // width, np.arange(parts + 1).astype(np.uint64))
-        rows = [(p, pack_keys(keys[a:z]), _pack_counts(counts[a:z])) for p, (a, z) in enumerate(zip(edge, edge[1:], strict=False)) if a < z]
+        rows = [(p, pack_sorted(keys[a:z]), pack(counts[a:z])) for p, (a, z) in enumerate(zip(edge, edge[1:], strict=False)) if a < z]
         block = table.column("block")[0].as_py()
         return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int64()),
                          "keys": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
@@ -171,8 +151,8 @@ def _request(order: int, parts: int):
 
 def _answer(table: pa.Table) -> pa.Table:
     """To each block: the totals of its n-grams where other blocks count them too."""
-    keys = [unpack_keys(x) for x in table.column("keys").to_pylist()]
-    counts = [_unpack_counts(x) for x in table.column("counts").to_pylist()]
+    keys = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
+    counts = [unpack(x, np.int64) for x in table.column("counts").to_pylist()]
     every, total = _sum(np.concatenate([k[c > 0] for k, c in zip(keys, counts, strict=True)]),
                         np.concatenate([c[c > 0] for c in counts]))
     rows = []
@@ -183,7 +163,7 @@ def _answer(table: pa.Table) -> pa.Table:
         sum_ = np.where(every[at] == k, total[at], 0)
         other = sum_ != c
         if other.any():
-            rows.append((block, pack_keys(k[other]), _pack_counts(sum_[other])))
+            rows.append((block, pack_sorted(k[other]), pack(sum_[other])))
     return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "keys": pa.array([r[1] for r in rows], pa.binary()),
                      "counts": pa.array([r[2] for r in rows], pa.binary())})
 
@@ -192,7 +172,7 @@ def _traverse(order: int, n_train: int, vocabulary: int, texts: int, weight: flo
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         token, first, grams, keys, counts, where = _own_counts(left.column("t").combine_chunks(), np.asarray(left.column("train")), order)
         for k, c in zip(right.column("keys").to_pylist(), right.column("counts").to_pylist(), strict=True):
-            counts[np.searchsorted(keys, unpack_keys(k))] = _unpack_counts(c)
+            counts[np.searchsorted(keys, unpack_sorted(k))] = unpack(c, np.int64)
         lo, seen = 0, []
         for _, ok in grams:
             n = np.zeros(len(token), np.int64)

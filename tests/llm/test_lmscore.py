@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from faceoff.llm import lmscore
+from faceoff.llm import lmscore, packed
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -81,4 +81,4 @@ def test_no_training_rows_and_empty_table(odd, none):
 
 def test_keys_survive_packing():
     keys = np.unique(np.random.default_rng(0).integers(0, 2**63, 5000, np.int64).astype(np.uint64) * np.uint64(2))
-    assert (lmscore.unpack_keys(lmscore.pack_keys(keys)) == keys).all() and len(lmscore.unpack_keys(lmscore.pack_keys(keys[:0]))) == 0
+    assert (packed.unpack_sorted(packed.pack_sorted(keys)) == keys).all() and len(packed.unpack_sorted(packed.pack_sorted(keys[:0]))) == 0
