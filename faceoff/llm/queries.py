@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faceoff.llm import bpe, chat, jaccard, lmscore, packing, quality, secrets, substring, toxicity
+from faceoff.llm import bpe, chat, jaccard, lmscore, neardup, packing, quality, secrets, substring, toxicity
 from faceoff.llm.registry import ORACLES, QUERIES, register, table  # noqa: F401
 
 
@@ -113,3 +113,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         F.to_json(F.struct(F.length("text").alias("n_chars"), "text", "turn")).alias("arguments"))
     results = turns.where("role = 'assistant'").select("conv_id", at(1).alias("call_id"), "turn", F.col("text").alias("content"))
     return chat.link(calls, results, spark.sql(TOOLS))
+
+
+@register("op8_embedding_near_dedup")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "embeddings"))
