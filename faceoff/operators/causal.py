@@ -390,12 +390,8 @@ def gap_contrast(rows: DataFrame, specifications: dict[str, Column]) -> DataFram
 
 
 def pre_trend(long: DataFrame, treated_min: float = 30.0, control_max: float = 14.0, steps: int = 5,
-              first: int | None = 500, line: Timeline = TEAM) -> DataFrame:
-    """Mean result at each of the ``steps`` contests before a gap, per group.
-
-    ``first`` keeps the first so many points of each group in (time, match, team) order, as the
-    published check does; None uses all of them.
-    """
+              line: Timeline = TEAM) -> DataFrame:
+    """Mean result at each of the ``steps`` contests before a gap, per group, over all points."""
     def make(f: Frames) -> dict[str, Column]:
         return {"_prior": F.collect_list("win").over(f.rows(-steps, -1))}
 
@@ -405,10 +401,6 @@ def pre_trend(long: DataFrame, treated_min: float = 30.0, control_max: float = 1
         F.col("rest_days").isNotNull() & F.col("form5").isNotNull())
     group = F.when(F.col("rest_days") >= treated_min, "treated").when(F.col("rest_days") <= control_max, "control")
     points = rows.withColumn("group", group).where(F.col("group").isNotNull())
-    if first is not None:
-        order = ["datetime", "match_id", "team"]
-        points = points.where("group = 'treated'").orderBy(*order).limit(first).unionByName(
-            points.where("group = 'control'").orderBy(*order).limit(first))
     return points.select("group", F.size("_prior").alias("_n"), F.posexplode("_prior").alias("_k", "won")).groupBy(
         (F.col("_k") - F.col("_n")).alias("step"), "group").agg(F.avg("won").alias("won"), F.count("*").alias("n"))
 

@@ -5,11 +5,12 @@ All of it rests on two primitives.
 ``over_frame``     bounded look-back / look-ahead (``lag``, ``rowsBetween(-5, -1)``).
 ``prior_totals``   unbounded running sums, counts and maxima before each row.
 
-Both plan one exchange and one sort on the entity key while every entity is small. The check is a
-count per entity (combined before its shuffle). Entities above ``hot_rows`` are cut into day
-chunks: the windows then run per (entity, day), and only one summary row per (entity, day) is
-ordered per entity. A bounded frame gets the few neighbouring rows it needs copied into the
-chunk; a running total gets the sum of the earlier chunks. The result is the same either way.
+Both plan one exchange and one sort on the entity key. A caller whose entities can be hot says so in
+the Timeline: ``split=True`` cuts every entity into day chunks, ``hot_rows=n`` those with more than
+n rows (a count per entity, combined before its shuffle). The windows then run per (entity, day),
+and only one summary row per (entity, day) is ordered per entity. A bounded frame gets the few
+neighbouring rows it needs copied into the chunk; a running total gets the sum of the earlier
+chunks. The result is the same either way, and nothing is decided by the size of the input.
 """
 
 from __future__ import annotations
@@ -20,12 +21,6 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from faceoff.session import estimated_bytes
-
-
-HOT_ROWS = 5_000_000
-SMALL_INPUT = 64 * 1024 * 1024
-
 
 @dataclass(frozen=True)
 class Timeline:
@@ -33,9 +28,9 @@ class Timeline:
 
     keys: tuple[str, ...]
     order: tuple[str, ...] = ("datetime", "match_id")
-    hot_rows: int = HOT_ROWS
+    hot_rows: int | None = None    # entities with more rows are split
     grain: str = "day"
-    split: bool | None = None      # None: decide by counting; True/False: the caller knows
+    split: bool = False            # every entity is split
 
     def by(self, *keys: str) -> "Timeline":
         return replace(self, keys=keys)
@@ -60,22 +55,12 @@ class Frames:
 
 
 def _hot_entities(df: DataFrame, line: Timeline) -> DataFrame | None:
-    """Entities above ``hot_rows``; at most rows / hot_rows of them, so small by construction.
-
-    No job runs when the whole input is small by Spark's own size estimate (the one that decides
-    broadcasts) and the limit is not a small one set by the caller.
-    """
-    if line.split is False:
-        return None
-    if line.split is None and line.hot_rows >= HOT_ROWS and estimated_bytes(df) <= SMALL_INPUT:
+    """The entities to split: all, those above ``hot_rows`` (at most rows / hot_rows of them), or none."""
+    if line.split:
+        return df.select(*line.keys).distinct()
+    if line.hot_rows is None:
         return None
-    counts = df.groupBy(*line.keys).count()
-    if line.split is None:
-        largest = counts.agg(F.max("count")).first()[0]
-        if largest is None or largest <= line.hot_rows:
-            return None
-        return counts.where(F.col("count") > line.hot_rows).select(*line.keys)
-    return counts.select(*line.keys)
+    return df.groupBy(*line.keys).count().where(F.col("count") > line.hot_rows).select(*line.keys)
 
 
 def _with_chunks(df: DataFrame, hot: DataFrame, line: Timeline) -> DataFrame:

@@ -19,6 +19,7 @@ from faceoff.operators import evaluate
 from faceoff.operators.features import feature_matrix
 from faceoff.operators.longform import side_long
 from faceoff.operators.ordering import dense_index, global_position
+from faceoff.session import write_and_reread
 
 # ---- fixed values: published model settings -------------------------------------------------
 GBM_DEPTH, GBM_ROUNDS, GBM_RATE, SEED = 3, 200, 0.06, 42
@@ -316,13 +317,14 @@ def rating_agreement(replayed: DataFrame, strengths: DataFrame) -> DataFrame:
 # ---- entity factors -------------------------------------------------------------------------
 def encode_entities(train: DataFrame, rows: DataFrame) -> DataFrame:
     """Indices 1..n by name from the training entities only; unseen entities get 0."""
-    names = train.select(F.explode(F.array("team1", "team2")).alias("team")).distinct()
-    order = names.withColumn("_first", F.upper(F.substring("team", 1, 12)))
-    counts = order.groupBy("_first").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b"))
-    inside = Window.partitionBy("_first").orderBy("team")
-    vocab = order.join(offsets, "_first").select(
+    names = train.select(F.explode(F.array("team1", "team2")).alias("team")).where("team IS NOT NULL").distinct()
+    # sampled ranges of the names themselves hold about equally many, whatever the names begin with
+    ranged = write_and_reread(names.repartitionByRange("team").withColumn("_part", F.spark_partition_id()), "entity-names")
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b"))
+    inside = Window.partitionBy("_part").orderBy("team")
+    vocab = ranged.join(offsets, "_part").select(
         "team", (c("_b") + F.row_number().over(inside)).cast("long").alias("idx"))
     for n in (1, 2):
         rows = rows.join(vocab.select(c("team").alias(f"team{n}"), c("idx").alias(f"team{n}_idx")), f"team{n}", "left").withColumn(

@@ -4,10 +4,10 @@ A replay is a recurrence, so inside one pool the order of contests is a true dep
 distributed and bounded here:
 
 * pools (and K values) never exchange ratings and run in parallel;
-* a pool larger than ``slice_rows`` is cut into time slices. All pools' n-th slices form one Spark
-  job; only the rating table (one row per pool and entity) moves from slice to slice, through the
-  shared checkpoint folder, so no task ever holds more than ``slice_rows`` contests;
-* a lost executor costs one slice.
+* with ``slice_rows`` every pool is cut into time slices. All pools' n-th slices form one Spark
+  job that reads only its own slice's files; only the rating table (one row per pool and entity)
+  moves from slice to slice, through the shared checkpoint folder, so no task holds more than
+  ``slice_rows`` contests, and a lost executor costs one slice. Without it a pool is one task.
 """
 
 from __future__ import annotations
@@ -18,12 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faceoff.functions.scalar import row_log_loss
-from faceoff.operators.history import SMALL_INPUT, Timeline, with_position
-from faceoff.session import estimated_bytes, require_columns, write_and_reread
+from faceoff.operators.history import Timeline, with_position
+from faceoff.session import require_columns, write_and_reread
 
 K_VALUES = (8.0, 16.0, 32.0, 64.0)
 BASE = 1500.0
-SLICE_ROWS = 2_000_000
 _ADDED = ("elo_t1_pre", "elo_t2_pre", "elo_t1_post", "elo_t2_post")
 
 
@@ -53,12 +52,12 @@ def _state_of(table: pa.Table) -> dict[str, float]:
 def elo_replay(
     contests: DataFrame, pool: list[str], k: float = 32.0, base: float = BASE,
     order: tuple[str, ...] = ("datetime", "match_id"), snapshot: DataFrame | None = None,
-    slice_rows: int = SLICE_ROWS,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Walk-forward replay. ``pool`` names the columns that separate independent rating pools.
 
-    Needs team1, team2 and either ``result`` (1.0 = side one won) or ``winner``. A column ``k``
-    overrides the constant. ``snapshot(pool..., team, rating)`` seeds the ratings.
+    Needs team1, team2 and either ``result`` (1.0 = side one won) or ``winner``; without a known winner
+    side one did not win (0.0). A column ``k`` overrides the constant. ``snapshot(pool..., team, rating)`` seeds the ratings.
     Adds elo_t1_pre, elo_t2_pre, elo_t1_post, elo_t2_post, p_t1, result, logloss, brier.
     """
     require_columns(contests, "team1", "team2", *order, *pool)
@@ -68,20 +67,18 @@ def elo_replay(
     if "result" not in df.columns:
         require_columns(df, "winner")
         df = df.withColumn("result", (F.col("winner") == F.col("team1")).cast("double"))
+    df = df.withColumn("result", F.coalesce(F.col("result").cast("double"), F.lit(0.0)))
     if "k" not in df.columns:
         df = df.withColumn("k", F.lit(float(k)))
     schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in _ADDED]])
-    small = slice_rows >= SLICE_ROWS and estimated_bytes(df) <= SMALL_INPUT
-    if small and snapshot is None:
-        largest = 0
-    else:
-        largest = df.groupBy(*pool).count().agg(F.max("count")).first()[0] or 0
-
-    if largest <= slice_rows and snapshot is None:
-        order_by = list(order)
+    order_by = list(order)
+    if slice_rows is not None:
+        replayed = _replay_in_slices(df, pool, order, base, snapshot, slice_rows, schema)
+    elif snapshot is None:
         replayed = df.groupBy(*pool).applyInArrow(lambda t: _fold(t, order_by, base, {}), schema)
     else:
-        replayed = _replay_in_slices(df, pool, order, base, snapshot, slice_rows, largest, schema)
+        replayed = df.groupBy(*pool).cogroup(_typed(snapshot, df, pool).groupBy(*pool)).applyInArrow(
+            lambda t, state: _fold(t, order_by, base, _state_of(state)), schema)
     p = 1.0 / (1.0 + F.pow(F.lit(10.0), (F.col("elo_t2_pre") - F.col("elo_t1_pre")) / 400.0))
     return replayed.withColumn("p_t1", p).withColumns({
         "logloss": row_log_loss(F.col("p_t1"), F.col("result")),
@@ -89,23 +86,29 @@ def elo_replay(
     })
 
 
-def _replay_in_slices(df, pool, order, base, snapshot, slice_rows, largest, schema) -> DataFrame:
-    spark = df.sparkSession
-    state_schema = T.StructType([
-        *[df.schema[p] for p in pool], T.StructField("team", T.StringType()),
-        T.StructField("rating", T.DoubleType())])
-    state = snapshot.select(*[F.col(f.name).cast(f.dataType) for f in state_schema]) \
-        if snapshot is not None else spark.createDataFrame([], state_schema)
-    line = Timeline(tuple(pool), tuple(order))
+def _typed(snapshot: DataFrame | None, df: DataFrame, pool: list[str]) -> DataFrame:
+    """The snapshot (or none) as pool columns, team and rating."""
+    schema = T.StructType([*[df.schema[p] for p in pool], T.StructField("team", T.StringType()), T.StructField("rating", T.DoubleType())])
+    if snapshot is None:
+        return df.sparkSession.createDataFrame([], schema)
+    return snapshot.select(*[F.col(f.name).cast(f.dataType) for f in schema])
+
+
+def _replay_in_slices(df, pool, order, base, snapshot, slice_rows, schema) -> DataFrame:
+    state = _typed(snapshot, df, pool)
+    line = Timeline(tuple(pool), tuple(order), split=True)      # a pool is hot by nature
     rows = write_and_reread(
         with_position(df, line, "_pos").withColumn(
-            "_slice", F.floor((F.col("_pos") - 1) / slice_rows)).drop("_pos"), "replay-input")
+            "_slice", F.floor((F.col("_pos") - 1) / slice_rows)).drop("_pos"), "replay-input", by="_slice")
     order_by, done = list(order), []
+    slices = rows.agg(F.max("_slice")).first()[0]
+    if slices is None:                                           # no contests
+        return df.sparkSession.createDataFrame([], schema)
 
     def step(left: pa.Table, right: pa.Table) -> pa.Table:
         return _fold(left, order_by, base, _state_of(right))
 
-    for number in range(-(-largest // slice_rows)):
+    for number in range(int(slices) + 1):
         part = rows.where(F.col("_slice") == number).drop("_slice")
         out = part.groupBy(*pool).cogroup(state.groupBy(*pool)).applyInArrow(step, schema)
         out = write_and_reread(out, "replay-slice")

@@ -156,11 +156,11 @@ def _(c: Contests):
 @query("bootstrap_did", f"""WITH {PAIRED},
 cl AS (SELECT event_id, {", ".join(f"COALESCE(SUM(win) FILTER (WHERE treated = {t} AND {w}), 0) AS s{i}, COUNT(win) FILTER (WHERE treated = {t} AND {w}) AS n{i}" for i, (t, w) in enumerate(((1, "rel < 0"), (1, "rel >= 0"), (0, "rel < 0"), (0, "rel >= 0"))))} FROM pp GROUP BY 1),
 ix AS (SELECT *, ROW_NUMBER() OVER (ORDER BY substr(md5(event_id), 1, 3), event_id) - 1 AS i, COUNT(*) OVER () AS n FROM cl),
-nn AS (SELECT COUNT(*) AS n FROM cl), dr AS (SELECT id // n AS rep, ('0x' || substr(md5('7:' || id), 1, 8))::BIGINT % n AS i FROM (SELECT unnest(range(500 * n)) AS id, n FROM nn)),
+nn AS (SELECT COUNT(*) AS n FROM cl), dr AS (SELECT id // n AS rep, ('0x' || substr(md5('7:' || id), 1, 8))::BIGINT % n AS i FROM (SELECT unnest(range(2000 * n)) AS id, n FROM nn)),
 es AS (SELECT rep, (SUM(s1) / SUM(n1) - SUM(s0) / SUM(n0)) - (SUM(s3) / SUM(n3) - SUM(s2) / SUM(n2)) AS e FROM dr JOIN ix ON ix.i = dr.i GROUP BY rep)
 SELECT ROUND((SELECT {DID} FROM pp), 6) AS estimate, ROUND(quantile_cont(e, 0.025), 6) AS ci_low, ROUND(quantile_cont(e, 0.975), 6) AS ci_high, COUNT(*) AS n_boot, (SELECT n FROM nn) AS n_clusters FROM es""")
 def _(c: Contests):
-    return causal.bootstrap_did(paired(c), n_boot=500, seed=7).select(
+    return causal.bootstrap_did(paired(c), n_boot=2000, seed=7).select(
         *r6("estimate", "ci_low", "ci_high"), "n_boot", "n_clusters")
 
 
@@ -176,7 +176,7 @@ def _(c: Contests):
 
 @query("roster_study")
 def _(c: Contests):
-    out = causal.roster_study(with_lineups(c), n_boot=200, seed=7)
+    out = causal.roster_study(with_lineups(c), n_boot=2000, seed=7)
     return out["did"].select("estimate", "n_treated", "n_control").crossJoin(
         out["bootstrap"].select("ci_low", "ci_high", "n_clusters")).crossJoin(out["pretrend"])      # one-row frames
 
@@ -205,14 +205,14 @@ PRE = """ex AS (SELECT grp, CAST(i - len(prior) - 1 AS INT) AS step, prior[i] AS
 SELECT step, grp AS "group", ROUND(AVG(won), 6) AS won, COUNT(*) AS n FROM ex GROUP BY 1, 2"""
 
 
-@query("pre_trend", f"WITH {GAPS}, pk AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY grp ORDER BY datetime, match_id, team) AS r FROM gp WHERE grp IS NOT NULL) WHERE r <= 500), {PRE.format(src='pk')}")
+@query("pre_trend", f"WITH {GAPS}, pk AS (SELECT * FROM gp WHERE grp IS NOT NULL), {PRE.format(src='pk')}")
 def _(c: Contests):
     return causal.pre_trend(c.long()).select("step", "group", *r6("won"), "n")
 
 
 @query("pre_trend_all", f"WITH {GAPS}, pk AS (SELECT * FROM gp WHERE grp IS NOT NULL), {PRE.format(src='pk')}")
 def _(c: Contests):
-    return causal.pre_trend(c.long(), first=None).select("step", "group", *r6("won"), "n")
+    return causal.pre_trend(c.long()).select("step", "group", *r6("won"), "n")
 
 
 # ---- classical tests ------------------------------------------------------------------------

@@ -15,7 +15,8 @@ CONTRACT = ", ".join(clean.CONTRACT_COLUMNS)
 @query("scan_games", "SELECT is_total, COUNT(*) AS n, COUNT(map_name) AS n_maps, MIN(datetime) AS first, "
        "MAX(datetime) AS last FROM raw GROUP BY is_total")
 def _(c: Contests):
-    series, maps = games.split_rows(c.raw())
+    raw = c.stored_csv("raw-csv", c.raw())
+    series, maps = games.split_rows(games.scan_games(c.spark, raw))
     return series.unionByName(maps).groupBy("is_total").agg(
         F.count("*").alias("n"), F.count("map_name").alias("n_maps"),
         F.min("datetime").alias("first"), F.max("datetime").alias("last"))
@@ -26,8 +27,8 @@ SELECT match_id, game_id, map_name, game, score1_game + score2_game AS rounds FR
 """)
 def _(c: Contests):
     raw = c.raw()
-    parts = {g: raw.where(F.col("game") == g).drop("game") for g in ("csgo", "cs2")}
-    return games.union_sources(parts).select("match_id", "game_id", "map_name", "game", "rounds")
+    paths = {g: c.stored_csv(f"raw-{g}", raw.where(F.col("game") == g)) for g in ("csgo", "cs2")}
+    return games.scan_multi_source(c.spark, paths | {"none": f"{paths['cs2']}-missing"}).select("match_id", "game_id", "map_name", "game", "rounds")
 
 
 @query("scan_tiers", """

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from faceoff.operators import clean, longform, rating
-from faceoff.session import write_and_reread
+from faceoff.session import path_state, shared_folder, write_and_reread
 from faceoff.sources import derived
+from faceoff.sources.games import game_schema
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,11 +30,19 @@ class Contests:
         self.spark, self.folder, self.by_customer = spark, folder, by_customer
 
     def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.folder, self.by_customer, name)
+        state = tuple(path_state(self.spark, f"{self.folder}/{t}.parquet") for t in derived.TABLES)
+        key = (self.spark.sparkContext.applicationId, self.folder, state, self.by_customer, name)
         if key not in self._written:
             self._written[key] = write_and_reread(build(), f"contests-{name}")
         return self._written[key]
 
+    def stored_csv(self, name: str, rows: DataFrame) -> str:
+        """Folder of CSV files with a header that hold the columns of game files, in reverse order."""
+        have = [n for n in reversed(game_schema().names) if n in rows.columns]
+        path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+        rows.select(*have).write.option("header", True).csv(path)
+        return path
+
     def table(self, name: str) -> DataFrame:
         return derived.table(self.spark, self.folder, name)
 

@@ -8,21 +8,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(cores: int | str = "*", app: str = "faceoff", **extra: str) -> SparkSession:
-    """A UTC, adaptive session. Cluster deployments pass their own settings through spark-submit."""
+def build_session(cores: int | str | None = None, app: str = "faceoff", **extra: str) -> SparkSession:
+    """A UTC, adaptive session.
+
+    Master, memory and the number of shuffle partitions are the deployment's (spark-submit or its defaults);
+    ``cores`` asks for a local session of so many threads, as tests and the benchmark do.
+    """
     builder = (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(app)
+        SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
-        .config("spark.sql.shuffle.partitions", "8" if cores == "*" else str(cores))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "12g")
     )
+    if cores is not None:
+        builder = builder.master(f"local[{cores}]").config("spark.driver.memory", "12g")
+        if cores != "*":
+            builder = builder.config("spark.sql.shuffle.partitions", str(cores))
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
@@ -38,11 +43,6 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a plan; runs no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster; a scratch one only in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -55,9 +55,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def write_and_reread(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage through a parquet table in the shared folder, which survives executor loss."""
+def write_and_reread(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Cut the lineage through a parquet table in the shared folder, which survives executor loss.
+
+    ``by`` names a column with few values to lay the files out by, so that a filter on it reads only its own.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def path_state(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Change time and bytes of a file or of the files in a folder, by the store's own listing."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = store.listStatus(place)
+    return max((f.getModificationTime() for f in files), default=0), sum(f.getLen() for f in files)

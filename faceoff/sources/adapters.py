@@ -31,12 +31,22 @@ def _match_context(rows: DataFrame, best_of: Column | None = None) -> DataFrame:
     return out if best_of is None else out.withColumn("bestOf", best_of)
 
 
+def _one_row(rows: DataFrame, keys: list[str], last: bool) -> DataFrame:
+    """The last (or first) row of each key: by ``seq`` where there is one, else by the values."""
+    order = F.struct("seq", *rows.columns) if "seq" in rows.columns else F.struct(*rows.columns)
+    best = F.max_by if last else F.min_by
+    return rows.groupBy(*keys).agg(best(F.struct(*rows.columns), order).alias("_row")).select("_row.*")
+
+
 def adapt_long_stats(overview: DataFrame, infos: DataFrame, players: DataFrame, match_ids: DataFrame) -> DataFrame:
     """One row per map from a source with one row per (map, player).
 
     Maps need at least ten player rows; each side keeps its five players with most kills (ties by
-    player id). Equal shuffles on (match, map) serve the count, the ranking and the pivot.
+    player id). An id that the look-up tables repeat has its last row, a map that ``overview`` repeats its
+    first; ``seq`` columns give the order, without one the values do. Equal shuffles on (match, map) serve the count, the ranking and the pivot.
     """
+    players, match_ids = _one_row(players, ["ID"], True), _one_row(match_ids, ["ID"], True)
+    overview = _one_row(overview, ["MatchID", "MapName"], False)
     people = players.select(c("ID").alias("PlayerID"), player_label(c("NickName"), c("Name"), c("Country")).alias("label"))
     maps = overview.join(match_ids.select(c("ID").alias("MatchID"), c("Tittle").alias("slug")), "MatchID", "left")
     key = ["MatchID", "MapName"]

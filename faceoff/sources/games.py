@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,19 +28,32 @@ def game_schema() -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields])
 
 
+def _as(name: str, kind: T.DataType) -> Column:
+    """A text cell as ``kind``; what cannot be read is null. Whole numbers may be written as 7.0."""
+    cell = F.trim(F.col(f"`{name}`"))
+    if isinstance(kind, (T.LongType, T.IntegerType)):
+        number = cell.try_cast("double")
+        whole = F.when(number == F.floor(number), number.try_cast(kind))
+        return F.coalesce(cell.try_cast(kind), whole).alias(name)
+    return (F.col(f"`{name}`") if isinstance(kind, T.StringType) else cell.try_cast(kind)).alias(name)
+
+
 def scan_games(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None) -> DataFrame:
-    """Read game CSVs with a fixed schema; ``seq`` records input order for keep-first.
+    """Read game CSVs by header name; ``seq`` records input order for keep-first.
 
-    ``seq`` is (file, position) as one comparable struct, so the first row stays the first row
-    whatever the parallelism.
+    Columns may stand in any order; those outside the schema are not read, missing ones are null. The
+    files of one path share a header; a list of paths may have one header each. ``seq`` is (file,
+    position) as one comparable struct, so the first row stays the first row whatever the parallelism.
     """
-    rows = (
-        spark.read.schema(schema or game_schema()).option("header", True)
-        .option("enforceSchema", False).csv(path)
-    )
-    return rows.withColumn("seq", F.struct(
-        F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
-        F.monotonically_increasing_id()))
+    fields = (schema or game_schema()).fields
+
+    def one(place: str) -> DataFrame:
+        raw = spark.read.option("header", True).csv(place)
+        have = set(raw.columns)
+        return raw.select(*[_as(f.name, f.dataType) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in fields],
+                          F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("seq"))
+
+    return reduce(DataFrame.unionByName, [one(p) for p in ([path] if isinstance(path, str) else path)])
 
 
 def split_rows(raw: DataFrame) -> tuple[DataFrame, DataFrame]:

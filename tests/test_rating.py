@@ -69,3 +69,28 @@ def test_k_values_run_side_by_side(spark):
         want = replay_by_hand(contests(spark, 30, ("p",)).collect(), k)
         for r in out.where(F.col("k") == k).collect():
             assert r["elo_t1_pre"] == pytest.approx(want[r["match_id"]][0])
+
+
+def test_an_empty_batch_keeps_the_ratings(spark, tmp_path):
+    df, folder = contests(spark, pools=("p",)), str(tmp_path)
+    apply_batch(df, 0, folder, ["pool"])
+    apply_batch(df.limit(0), 1, folder, ["pool"])
+    first, second = ({(r["team"], r["rating"]) for r in spark.read.parquet(f"{folder}/ratings/batch={i}").collect()} for i in (0, 1))
+    assert first == second and spark.read.parquet(f"{folder}/rated/batch=1").count() == 0
+    assert rating.elo_replay(df.limit(0), ["pool"], slice_rows=5).count() == 0
+
+
+@pytest.mark.parametrize("slice_rows", [None, 7])
+def test_an_unknown_winner_counts_as_lost_by_side_one(spark, slice_rows):
+    df = contests(spark).withColumn("winner", F.when(F.col("match_id") % 5 != 0, F.col("winner")))
+    want = replay_by_hand(df.collect())
+    for r in rating.elo_replay(df, ["pool"], slice_rows=slice_rows).collect():
+        assert (r["elo_t1_pre"], r["elo_t2_pre"]) == pytest.approx(want[r["match_id"]])
+
+
+def test_a_slice_reads_only_its_own_files(spark):
+    from faceoff.session import write_and_reread
+
+    rows = write_and_reread(spark.range(1000).withColumn("_slice", F.floor(F.col("id") / 100)), "test-slices", by="_slice")
+    assert "PartitionFilters: [isnotnull(_slice" in rows.where("_slice = 3")._jdf.queryExecution().executedPlan().toString()
+    assert rows.where("_slice = 3").count() == 100

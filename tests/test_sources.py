@@ -86,3 +86,34 @@ def test_resolve_names(spark):
     assert out["cyd"] == ("ok", "Cy (Cyd), FR", 4) and out["lee"] == ("ok", "Ace (Ann Lee), UA", 4)
     assert out["nobody"] == ("missing", None, None)
     assert out["Сідні Кид"] == ("ok", "Cy (Cyd), FR", 6) and out["кид"][0] == "ok"
+
+
+def test_games_are_read_by_header_name(spark, tmp_path):
+    schema = games.game_schema()
+    extra = [f"other_{i}" for i in range(98 - len(schema))]
+    names_ = [*reversed(schema.names), *extra]
+    cells = {"match_id": "12", "game_id": "7.0", "is_total": "False", "datetime": "2024-05-01 10:00:00", "team1": " A,b ", "team1_win": "1.0",
+             "score1_game": "13", "bestOf": "x", "team1_id": "7.5"}
+    place = tmp_path / "one.csv"
+    place.write_text(",".join(names_) + "\n" + ",".join(f'"{cells.get(n, "")}"' for n in names_) + "\n")
+    second = tmp_path / "two.csv"
+    second.write_text("team1,match_id,surprise\nZ,13,1\n")
+    rows = games.scan_games(spark, [str(place), str(second)]).orderBy("match_id").collect()
+    r = rows[0]
+    assert [f.name for f in games.scan_games(spark, str(place)).schema] == [*schema.names, "seq"]
+    assert (r["match_id"], r["game_id"], r["is_total"], r["team1"], r["team1_win"], r["score1_game"], r["bestOf"], r["team1_id"]) == (
+        12, 7, False, " A,b ", 1, 13.0, None, None)
+    assert str(r["datetime"]) == "2024-05-01 10:00:00" and (rows[1]["match_id"], rows[1]["team1"], rows[1]["datetime"]) == (13, "Z", None)
+
+
+def test_repeated_look_up_ids_do_not_multiply_rows(spark):
+    people = spark.createDataFrame([(i, f"n{i}", f"p{i}", "Ukraine", 0) for i in range(10)] + [(3, "new", "p3", "Ukraine", 1)],
+                                   "ID long, NickName string, Name string, Country string, seq int")
+    ids = spark.createDataFrame([(1, "a/old-2020-01-01", 0), (1, "a/new-2020-01-01", 1)], "ID long, Tittle string, seq int")
+    overview = spark.createDataFrame([(1, "Nuke", 100, 200, 16, 3, 1, 0), (1, "Nuke", 100, 200, 1, 16, 0, 1)],
+                                     "MatchID long, MapName string, Team1 long, Team2 long, Team1_Final_Score int, Team2_Final_Score int, Team1_Win int, seq int")
+    infos = spark.createDataFrame([(1, "Nuke", 100 if i < 5 else 200, i, 20 - i, 10, 80.0, 0.7) for i in range(10)],
+                                  "MatchID long, MapName string, TeamID long, PlayerID long, Total_Kills int, Total_Deaths int, Total_ADR double, Total_KAST double")
+    out = adapters.adapt_long_stats(overview, infos, people, ids).collect()
+    assert len(out) == 1
+    assert (out[0]["score1_game"], out[0]["games_played"], out[0]["tournament"]) == (16, 1, "new-2020-01-01") and "new" in out[0]["team1_player4"]
