@@ -108,17 +108,18 @@ def eligible_controls(panel: DataFrame, pre: int = 5, post: int = 5, line: Timel
 # Controls are grouped into cells of equal covariates (per tier) and numbered by time inside a
 # cell. An event knows its insertion point in every cell, so "the d nearest controls on either
 # side" is a lookup of positions: an equi-join, never a pairing of all events with all controls.
-# Cells are visited in rings of equal covariate distance. A best candidate is final only when it
+# An event meets only the cells of its tier that have a control in its own or a neighbouring time
+# bucket of ``max_days``; cells are visited in rings of equal covariate distance. A best candidate is final only when it
 # is nearer in days than everything not looked up yet; otherwise the lookup is deepened.
 _DAY = 86_400_000_000
-MAX_CELLS = 20_000
 
 
 def _micros(name: str) -> Column:
     return F.unix_micros(F.col(name).cast("timestamp"))
 
 
-def _rings(events: DataFrame, controls: DataFrame, covariates: list[str], same_tier: bool) -> tuple[DataFrame, DataFrame]:
+def _rings(events: DataFrame, controls: DataFrame, covariates: list[str], same_tier: bool,
+           max_days: int) -> tuple[DataFrame, DataFrame]:
     """(controls with cell and position, event x cell table with ring number and insertion point)."""
     key = F.struct(*[F.col(c).cast("double").alias(c) for c in covariates])
     known = F.lit(True)
@@ -133,22 +134,22 @@ def _rings(events: DataFrame, controls: DataFrame, covariates: list[str], same_t
     pool = with_position(pool, Timeline(("cell",), ("c_ts", "c_team", "c_match")), "cpos")
     pool = write_and_reread(pool, "match-controls")
     cells = pool.groupBy("cell", "c_tier", "c_key").agg(F.count("*").alias("n_cell"))
-    many = cells.count()
-    if many > MAX_CELLS:
-        raise ValueError(f"{many} distinct covariate combinations: round the covariates first")
+    bucket = lambda name: F.floor(_micros(name) / (_DAY * (max_days + 1)))
+    dated = pool.select("cell", bucket("c_ts").alias("_bucket")).distinct()
     # an event without a tier may use every tier: it visits each one, so the join stays an equi-join
     own = F.array("tier") if same_tier else F.lit(None).cast("array<string>")
     every = cells.agg(F.collect_set(F.coalesce("c_tier", F.lit(""))).alias("_tiers"))
     asked = events.where(known).crossJoin(every).select(
         "event_id", "team", "match_id", "datetime", key.alias("e_key"),
-        F.explode(F.when(F.col("tier").isNotNull() & F.lit(same_tier), own).otherwise(F.col("_tiers"))).alias("_tier"))
+        F.explode(F.when(F.col("tier").isNotNull() & F.lit(same_tier), own).otherwise(F.col("_tiers"))).alias("_tier"),
+    ).withColumn("_bucket", F.explode(F.array(*[bucket("datetime") + k for k in (-1, 0, 1)])))
     squares = [F.pow(F.col(f"e_key.{c}") - F.col(f"c_key.{c}"), F.lit(2)) for c in covariates]
     total = squares[0]
     for s in squares[1:]:
         total = total + s
-    # cells are a summary of checked size: the distinct covariate values of a tier
-    keyed = cells.withColumn("_tier", F.coalesce("c_tier", F.lit("")))
-    near = asked.join(F.broadcast(keyed), "_tier").withColumn("distance", F.sqrt(total / len(squares)))
+    keyed = cells.join(dated, "cell").withColumn("_tier", F.coalesce("c_tier", F.lit("")))
+    near = asked.join(keyed, ["_tier", "_bucket"]).drop("_bucket").dropDuplicates(["event_id", "cell"]).withColumn(
+        "distance", F.sqrt(total / len(squares)))
     from pyspark.sql import Window
 
     ringed = near.withColumn("ring", F.dense_rank().over(Window.partitionBy("event_id").orderBy("distance")))
@@ -236,7 +237,7 @@ def nearest_control_greedy(events: DataFrame, controls: DataFrame, covariates: l
 
 
 def _match(events, controls, covariates, max_days, same_tier, replace) -> DataFrame:
-    pool, rings = _rings(events, controls, covariates, same_tier)
+    pool, rings = _rings(events, controls, covariates, same_tier, max_days)
     active = write_and_reread(_start(events), "match-active")
     held: DataFrame | None = None
     state_columns = active.columns

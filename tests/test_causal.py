@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from faceoff.operators import causal
 
@@ -60,3 +61,16 @@ def test_did_and_balance(spark):
         causal.bootstrap_did(panel, n_boot=10)
     smd = causal.balance_table(panel, ["x"]).first()["smd"]
     assert smd == float("inf")
+
+
+def test_a_continuous_covariate_has_no_limit_on_its_values(spark):
+    n = 21_000
+    base = spark.range(n).select(
+        F.concat(F.lit("c"), F.col("id")).alias("team"), F.col("id").alias("match_id"), F.lit("t").alias("tier"), F.lit(0).cast("long").alias("pos"),
+        (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(hours=(F.col("id") % 2000).cast("int"))).alias("datetime"),
+        (F.col("id") / 7.0).alias("x"))
+    events = base.where("match_id IN (70, 7000)").select(
+        F.concat(F.lit("e"), F.col("match_id")).alias("event_id"), F.lit("mine").alias("team"), (F.col("match_id") + n).alias("match_id"),
+        "datetime", "tier", "pos", (F.col("x") + 0.01).alias("x"))
+    got = {r["event_id"]: (r["control_match_id"], round(r["distance"], 6)) for r in causal.nearest_control(events, base, ["x"]).collect()}
+    assert got == {"e70": (70, 0.01), "e7000": (7000, 0.01)}
