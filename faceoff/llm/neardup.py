@@ -32,7 +32,7 @@ from faceoff.llm.graph import components
 from faceoff.llm.scratch import Scratch
 
 LEAF, LIST, TREES, STEPS = 384, 8, 3, 2
-BLOCK = 1024
+BLOCK = 256
 BUCKET_ROWS = 2_000
 LEAST_BUCKETS = 48
 SLACK = 1e-4
