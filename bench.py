@@ -51,9 +51,10 @@ def main() -> None:
     store = c.stored("features", lambda: features.build_features(replay, lineups))
     have = long.count()
     small, large = (write_and_reread(copies(long, n, have), "bench-long") for n in (100_000, 500_000))
+    published = write_and_reread(long.orderBy("datetime", "match_id", "team").limit(22_104), "bench-long")      # the published size
     panel_rows = Contests(spark, FOLDER)
-    nation_matches = clean.assert_one_to_one(panel_rows.matches(), clean.lineup_of_match(
-        panel_rows.raw(), [f"team{n}_player{i}_id" for n in (1, 2) for i in range(1, 6)]), "match_id", "left")
+    nation_matches = panel_rows.stored("with_lineups", lambda: clean.assert_one_to_one(panel_rows.matches(), clean.lineup_of_match(
+        panel_rows.raw(), [f"team{n}_player{i}_id" for n in (1, 2) for i in range(1, 6)]), "match_id", "left"))
     panel = panel_rows.stored("panel", lambda: causal.team_match_panel(nation_matches))
     windows = panel_rows.stored("windows", lambda: causal.event_windows(panel))
     controls = causal.eligible_controls(panel)
@@ -67,6 +68,7 @@ def main() -> None:
         "form_lag3": lambda: history.form_lag3(long),
         "win_streaks": lambda: history.win_streaks(long),
         "rolling_form": lambda: history.rolling_form(long),
+        "rolling_form_22k": lambda: history.rolling_form(published),
         "rolling_form_100k": lambda: history.rolling_form(small),
         "rolling_form_500k": lambda: history.rolling_form(large),
         "rest_days": lambda: history.rest_days(long),
@@ -77,6 +79,7 @@ def main() -> None:
         "build_features": lambda: features.build_features(replay, lineups),
         "drift_by_month": lambda: evaluate.drift_by_month(store, NUMERIC, "2000-01-01"),
         "team_match_panel": lambda: causal.team_match_panel(nation_matches),
+        "nearest_control_greedy": lambda: causal.nearest_control_greedy(windows.where("relative_match = 0"), controls),
         "bootstrap_did": lambda: causal.bootstrap_did(paired, cluster="team", n_boot=2000),
     }
     for name, build in runs.items():

@@ -33,6 +33,11 @@ PAGE_COUNTRY_CODES = {"ukraine": "UA", "russia": "RU", "kazakhstan": "KZ", "bela
 MONTH_NAMES = ("January", "February", "March", "April", "May", "June", "July", "August",
                "September", "October", "November", "December")
 QUOTE_MARKS = "«»„“”\"‘’'"
+YEAR_PATTERN = r"(?<!\d)(20[0-2]\d)(?!\d)"
+SEASON_PATTERN = r"(?i)\b(winter|spring|summer|fall|autumn)\b"
+NICKNAME_PATTERN = r"\s*'[^']*'\s*"
+QUOTED_PATTERN = "[«„\"“”'‘’]([^«»„“”\"'‘’]*)[»“”'’]"
+LABEL_PATTERN = r"^(.*?)\s*\((.*?)\),\s*([A-Z]{2})$"
 ELO_SCALE = 400.0
 LOSS_CLIP = 1e-15
 LOGIT_CLIP = 1e-6
@@ -55,12 +60,12 @@ def normalize_name(name: Column) -> Column:
 
 # ---- event slugs ----------------------------------------------------------------------------
 def slug_year(slug: Column) -> Column:
-    found = F.regexp_extract(slug, r"(?<!\d)(20[0-2]\d)(?!\d)", 1)
+    found = F.regexp_extract(slug, YEAR_PATTERN, 1)
     return F.when(found != "", found.cast("int"))
 
 
 def _season(slug: Column) -> Column:
-    return F.lower(F.regexp_extract(slug, r"(?i)\b(winter|spring|summer|fall|autumn)\b", 1))
+    return F.lower(F.regexp_extract(slug, SEASON_PATTERN, 1))
 
 
 def slug_game(slug: Column) -> Column:
@@ -83,7 +88,7 @@ def country_code(country: Column) -> Column:
 def player_label(nick: Column, real: Column, country: Column) -> Column:
     """'Nick (Real Name), CC'; parts that are unknown are left out."""
     nick = F.trim(F.coalesce(nick, F.lit("")))
-    real = F.regexp_replace(F.coalesce(real, F.lit("")), r"\s*'[^']*'\s*", " ")
+    real = F.regexp_replace(F.coalesce(real, F.lit("")), NICKNAME_PATTERN, " ")
     real = F.regexp_replace(F.trim(real), r"\s{2,}", " ")
     code = country_code(F.coalesce(country, F.lit("")))
     name = F.when(real != "", F.concat(nick, F.lit(" ("), real, F.lit(")"))).otherwise(nick)
@@ -107,15 +112,11 @@ def key_of(label: Column) -> Column:
 
 def name_key(value: Column) -> Column:
     """Comparison key: quoted nickname and quote marks removed, blanks collapsed, lower case."""
-    quoted = "[«„\"“”'‘’]([^«»„“”\"'‘’]*)[»“”'’]"
-    text = F.regexp_replace(F.replace(value, F.lit("_"), F.lit(" ")), quoted, " ")
+    text = F.regexp_replace(F.replace(value, F.lit("_"), F.lit(" ")), QUOTED_PATTERN, " ")
     text = F.translate(text, QUOTE_MARKS, "")
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
 
 
-LABEL_PATTERN = r"^(.*?)\s*\((.*?)\),\s*([A-Z]{2})$"
-
-
 def parse_label(label: Column) -> Column:
     """struct(nick, real, cc) of a long-form label; null when it has another shape."""
     text = F.trim(label)

@@ -134,6 +134,11 @@ def rating_lookup(names: DataFrame, ratings: DataFrame, column: str, base: float
         .drop("_exact", "_loose", "_key"))
 
 
+# fixed values: texts of the skip column
+SKIP_ODDS = "decimal odds must exceed 1.0"
+SKIP_RATING = "no rating for "
+
+
 def edge_scan(odds: DataFrame, ratings: DataFrame, min_edge: float = 0.0) -> DataFrame:
     """Price every market with the rating curve; unusable rows keep a skip reason."""
     rows = rating_lookup(rating_lookup(odds, ratings, "team1"), ratings, "team2")
@@ -141,8 +146,8 @@ def edge_scan(odds: DataFrame, ratings: DataFrame, min_edge: float = 0.0) -> Dat
     p1 = X.elo_expected(F.col("team1_rating"), F.col("team2_rating"))
     missing = F.concat_ws(", ", F.when(F.col("team1_unknown"), F.col("team1")),
                           F.when(F.col("team2_unknown"), F.col("team2")))
-    skipped = F.when((F.col("odds1") <= 1) | (F.col("odds2") <= 1), "decimal odds must exceed 1.0").when(
-        missing != "", F.concat(F.lit("no rating for "), missing))
+    skipped = F.when((F.col("odds1") <= 1) | (F.col("odds2") <= 1), SKIP_ODDS).when(
+        missing != "", F.concat(F.lit(SKIP_RATING), missing))
     priced = rows.withColumns({"skipped": skipped, "_vig": vig, "elo_p1": p1})
     priced = priced.withColumns({
         "_ev1": X.expected_value(F.col("elo_p1"), F.col("odds1")),

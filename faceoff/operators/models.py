@@ -376,7 +376,7 @@ def score_batch(model: object, names: list[str], requests: DataFrame, ratings: D
     known = {*REQUEST_DEFAULTS, "elo_diff", "is_bo1", "bo1_elo"}
     unknown = [n for n in names if n not in known and not n.startswith("tier_")]
     if unknown:
-        raise KeyError(f"no assembly rule for trained features {unknown}")
+        raise KeyError(f"the batch has no column or default for model inputs {unknown}")
     accepted = rows.where(c("best_of").isin(1, 3, 5))
 
     def inputs(sign: int) -> Column:

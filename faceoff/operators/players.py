@@ -66,7 +66,7 @@ def head_to_head(shared: DataFrame) -> DataFrame:
 
 
 def comparison_rows(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Two one-row ``aggregates`` as (metric, a, b) text lines."""
+    """Two one-row ``aggregates`` as (metric, a, b) text lines; the metric names are fixed values."""
     whole = lambda n: lambda t: F.format_string("%d", c(f"{n}_{t}").cast("long"))
     lines: list[tuple[str, object]] = [
         ("Maps played", whole("maps")), ("Kills", whole("kills")), ("Deaths", whole("deaths")),

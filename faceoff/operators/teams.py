@@ -356,6 +356,7 @@ def summary_long(team: str, window: str, vs: DataFrame, vm: DataFrame, players:
     """Every quotable figure in one (section, metric, value, extra) table.
 
     Sections are small aggregates turned to text; only their typed results meet in the union.
+    Section and metric names and the wording of value and extra are fixed values, the output contract.
     """
     def rows(df: DataFrame, section: str, *metrics: tuple[Column | str, Column, Column | None]) -> DataFrame:
         entries = [F.struct(
