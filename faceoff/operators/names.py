@@ -33,6 +33,11 @@ def _outcome(matches: DataFrame, tier: int, name: str, identity: str, only_if_si
         F.min(c(name)).alias("resolved"), F.countDistinct(identity).alias("_ids"), F.countDistinct(name).alias("n_matches"))
     if only_if_single:
         out = out.where("n_matches = 1")
+    return _answers(out, tier)
+
+
+def _answers(out: DataFrame, tier: int) -> DataFrame:
+    """(request, resolved, _ids, n_matches) as the answers of a tier."""
     single = c("_ids") == 1
     return out.select("request", F.lit(tier).alias("tier"), F.when(single, c("resolved")).alias("resolved"),
                       F.when(single, "ok").otherwise("ambiguous").alias("status"), "n_matches")
@@ -50,12 +55,14 @@ def resolve_names(requests: DataFrame, names: DataFrame, aliases: DataFrame | No
         "identity": key_of(c("player")), "_full": F.lower("player"),
         "_nick": F.lower(F.substring_index("player", " (", 1))})
     lengths = asked.select(F.length("_low").alias("n")).distinct()
+    # one row per fragment before any request meets it: a common fragment is no hot key
+    fragments = _substrings(known.select("player", "identity", "_full"), "_full", lengths).groupBy("_part").agg(
+        F.min("player").alias("resolved"), F.countDistinct("identity").alias("_ids"), F.countDistinct("player").alias("n_matches"))
     tiers = [
         _outcome(asked.join(known, c("request") == c("player")), 1, "player", "player"),
         _outcome(asked.join(known, c("_low") == c("_full")), 2, "player", "player", only_if_single=True),
         _outcome(asked.join(known, c("_low") == c("_nick")), 3, "player", "identity"),
-        _outcome(asked.join(_substrings(known.select("player", "identity", "_full"), "_full", lengths),
-                            c("_low") == c("_part")), 4, "player", "identity"),
+        _answers(asked.join(fragments, c("_low") == c("_part")), 4),
     ]
     if aliases is not None:
         keyed = asked.withColumn("_key", name_key(c("request"))).where("_key <> ''")

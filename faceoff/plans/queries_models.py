@@ -126,10 +126,10 @@ def _(c: Contests):
 
 
 @query("encode_entities", f"""
-WITH v AS (SELECT team, ROW_NUMBER() OVER (ORDER BY team) AS i FROM (SELECT team1 AS team FROM matches WHERE datetime < TIMESTAMP '1995-01-03' UNION SELECT team2 FROM matches WHERE datetime < TIMESTAMP '1995-01-03'))
+WITH v AS (SELECT team, ROW_NUMBER() OVER (ORDER BY team) AS i FROM (SELECT team1 AS team FROM matches WHERE datetime < TIMESTAMP '1997-06-01' UNION SELECT team2 FROM matches WHERE datetime < TIMESTAMP '1997-06-01'))
 SELECT match_id, COALESCE(a.i, 0) AS team1_idx, COALESCE(b.i, 0) AS team2_idx FROM matches m LEFT JOIN v a ON a.team = m.team1 LEFT JOIN v b ON b.team = m.team2""")
 def _(c: Contests):
-    early = c.matches().where("datetime < TIMESTAMP_NTZ '1995-01-03'")
+    early = c.matches().where("datetime < TIMESTAMP_NTZ '1997-06-01'")
     return models.encode_entities(early, c.matches().select("match_id", "team1", "team2")).select("match_id", "team1_idx", "team2_idx")
 
 

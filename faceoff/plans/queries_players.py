@@ -99,11 +99,11 @@ def _(c: Contests):
 
 
 SHEET = """sheet AS (SELECT DISTINCT player AS dataset_string, 'Імя «' || split_part(player, ' (', 1) || '» Прізвище ' || player_key AS native_name,
-CASE WHEN player_key LIKE 'p1%' THEN 'Fixed ' || player_key END AS corrected_latin FROM px WHERE player LIKE '%(%' AND player_key LIKE '%1|na')"""
+CASE WHEN player_key LIKE 'p1%' THEN 'Fixed ' || player_key END AS corrected_latin FROM px WHERE player LIKE '%(%')"""
 
 
 def name_sheet(c: Contests):
-    rows = player_rows(c).where(F.contains("player", F.lit("(")) & F.endswith("player_key", F.lit("1|na")))
+    rows = player_rows(c).where(F.contains("player", F.lit("(")))
     return rows.select(
         c_("player").alias("dataset_string"),
         F.concat(F.lit("Імя «"), F.substring_index("player", " (", 1), F.lit("» Прізвище "), "player_key").alias("native_name"),
