@@ -17,12 +17,44 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return quality.measure(docs, model).drop("score")
 
 
-@register("op4_ngram_jaccard_join")
+WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP4 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS.format(LOWERED)} AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS g FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * o >= 80 * (p.n + q.n - o)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+walk AS (SELECT doc_id AS v, doc_id AS root FROM documents UNION SELECT e.y, w.root FROM walk w JOIN edges e ON e.x = w.v)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT v AS doc_id, min(root) AS component_id FROM walk GROUP BY v) r USING (doc_id)
+"""
+
+
+@register("op4_ngram_jaccard_join", OP4)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, folder, "documents"))
 
 
-@register("op7_substring_dedup")
+OP7 = f"""
+WITH d AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+later AS (SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM later),
+kept AS (
+  SELECT a.doc_id, string_agg(a.word, ' ' ORDER BY a.p) AS text, count(*) AS n
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) a ANTI JOIN gone USING (doc_id, p) GROUP BY a.doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, len(d.w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept k USING (doc_id)
+"""
+
+
+@register("op7_substring_dedup", OP7)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return substring.digest(table(spark, folder, "documents"))
 
@@ -115,6 +147,21 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return chat.link(calls, results, spark.sql(TOOLS))
 
 
-@register("op8_embedding_near_dedup")
+OP8 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok
+  FROM embeddings),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE a.ok AND b.ok AND list_cosine_similarity(a.e, b.e) >= 0.93),
+walk AS (SELECT vec_id AS v, vec_id AS root FROM v UNION SELECT l.y, w.root FROM walk w JOIN links l ON l.x = w.v),
+n AS (SELECT x AS vec_id, count(*) AS n FROM links GROUP BY x)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, r.component_id, v.vec_id = r.component_id AS kept
+FROM v LEFT JOIN n USING (vec_id) JOIN (SELECT v AS vec_id, min(root) AS component_id FROM walk GROUP BY v) r USING (vec_id)
+"""
+
+
+@register("op8_embedding_near_dedup", OP8)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "embeddings"))
