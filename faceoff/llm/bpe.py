@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faceoff.llm import text as T
-from faceoff.llm.fragments import coder
+from faceoff.llm.fragments import TEXT, coder
 
 
 def _byte_of() -> dict[str, int]:
@@ -94,7 +94,7 @@ def _encode(path: str):
     def run(batches):
         code = coder(path)
         for batch in batches:
-            for block in T.blocks(batch.column("t")):
+            for block in T.blocks(batch.column("t"), TEXT):
                 starts, ends = fragments(block, path)
                 ids, size = code.encode(block.data, starts, ends)
                 edge = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(starts, block.offsets)]
@@ -121,19 +121,19 @@ def _token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8), np.cumsum(size) - size, size
 
 
-def _decode(path: str, carry: list[str], ids: str):
+def _decode(path: str, ids: str):
     def run(batches):
         data, start, size = _token_bytes(path)
         for batch in batches:
-            column = batch.column(ids).fill_null([])
-            base = column.offsets[0].as_py() if len(column) else 0
-            edge = np.asarray(column.offsets).astype(np.int64) - base
-            flat = np.asarray(column.flatten().fill_null(-1)).astype(np.int64)
+            column = batch.column("_row").field(ids)
+            column = column.fill_null([]) if column.null_count else column
+            edge, values = np.asarray(column.offsets).astype(np.int64), column.values
             texts = []
             lo = 0
             while lo < len(column):
-                hi = min(max(lo + 1, int(np.searchsorted(edge, edge[lo] + 500_000, "right")) - 1), len(column))
-                own = flat[edge[lo]:edge[hi]]
+                hi = min(max(lo + 1, int(np.searchsorted(edge, edge[lo] + 250_000, "right")) - 1), len(column))
+                own = values.slice(edge[lo], edge[hi] - edge[lo])
+                own = np.asarray(own.fill_null(-1) if own.null_count else own).astype(np.int64)
                 good = (own >= 0) & (own < len(size))
                 own = np.where(good, own, 0)
                 n = np.where(good, size[own], 0)
@@ -142,13 +142,13 @@ def _decode(path: str, carry: list[str], ids: str):
                 cut = np.concatenate([[0], np.cumsum(n)])[edge[lo:hi + 1] - edge[lo]].tolist()
                 texts += [out[a:z].decode("utf-8", "replace") for a, z in zip(cut, cut[1:], strict=False)]
                 lo = hi
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(texts, pa.string())], [*carry, "_text"])
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(texts, pa.string())], ["_row", "_text"])
     return run
 
 
 def decode(encoded: DataFrame, tokenizer: str, *, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ids, special tokens included."""
-    packed = encoded.select(F.struct(*[encoded[c] for c in encoded.columns]).alias("_row"), F.col(ids).alias("_ids"))
+    packed = encoded.select(F.struct(*[encoded[c] for c in encoded.columns]).alias("_row"))
     kind = packed.schema["_row"].dataType.simpleString()
-    out = packed.mapInArrow(_decode(tokenizer, ["_row"], "_ids"), f"_row {kind}, _text string")
+    out = packed.mapInArrow(_decode(tokenizer, ids), f"_row {kind}, _text string")
     return out.select(*[F.col("_row").getField(c).alias(c) for c in encoded.columns if c != into], F.col("_text").alias(into))

@@ -13,7 +13,9 @@ import numpy as np
 
 from faceoff.llm import text as T
 
-REMEMBER = 1_500_000
+REMEMBER = 800_000
+#: Bytes of text per block: a token id and its place take more room than the text.
+TEXT = 1 << 20
 _coders: dict[str, FragmentCoder] = {}
 
 

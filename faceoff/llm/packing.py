@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faceoff.llm import text as T
-from faceoff.llm.fragments import coder
+from faceoff.llm.fragments import TEXT, coder
 from faceoff.llm.scratch import Scratch
 
 CAPACITY = 4096
@@ -56,7 +56,7 @@ def _pieces(path: str, capacity: int, end: int):
     def run(batches):
         code = coder(path)
         for batch in batches:
-            for block in T.blocks(batch.column("t")):
+            for block in T.blocks(batch.column("t"), TEXT):
                 starts, ends = _word_parts(block)
                 ids, size = code.encode(block.data, starts, ends)
                 first = np.searchsorted(starts, block.offsets)
