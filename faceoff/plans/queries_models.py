@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +15,6 @@ from faceoff.session import shared_folder
 
 CUT = "2000-01-01"
 ROSTER = list(features.ROSTER_FEATURES)
-ROUNDS = 20
 c_ = F.col
 
 
@@ -38,13 +36,13 @@ def _(c: Contests):
 @query("fit_gbm")
 def _(c: Contests):
     train, test, _ = matrix(c)
-    return _metrics(models.predict_proba(models.fit_gbm(train, ROUNDS), test))
+    return _metrics(models.predict_proba(models.fit_gbm(train), test))
 
 
 @query("fit_gbm_isotonic")
 def _(c: Contests):
     train, test, _ = matrix(c, [])
-    return _metrics(models.predict_proba(models.fit_gbm_isotonic(train, rounds=5), test))
+    return _metrics(models.predict_proba(models.fit_gbm_isotonic(train), test))
 
 
 @query("predict_proba")
@@ -138,7 +136,7 @@ def _(c: Contests):
     rows = store(c).join(c.matches().select("match_id", "team1", "team2"), "match_id").select(
         "match_id", "datetime", "team1", "team2", "elo_diff", "form5_diff", c_("result").alias("label"))
     rows = evaluate.with_split(rows, CUT)
-    model = models.entity_factor_model(rows.where("split = 'train'"), ["elo_diff", "form5_diff"], rounds=30)
+    model = models.entity_factor_model(rows.where("split = 'train'"), ["elo_diff", "form5_diff"])
     return _metrics(model.transform(rows.where("split = 'test'")).withColumn("p", models._p()))
 
 
@@ -160,13 +158,13 @@ def _(c: Contests):
 
 @query("leakage_demo")
 def _(c: Contests):
-    return models.leakage_demo(store(c), CUT, {"lr": models.fit_logistic, "gbm": partial(models.fit_gbm, rounds=5)})
+    return models.leakage_demo(store(c), CUT, {"lr": models.fit_logistic, "gbm": models.fit_gbm})
 
 
 @query("model_table")
 def _(c: Contests):
     scored = models.compare_models(store(c), CUT, {
-        "lr": (models.fit_logistic, []), "lr+roster": (models.fit_logistic, ROSTER), "gbm": (partial(models.fit_gbm, rounds=ROUNDS), [])})
+        "lr": (models.fit_logistic, []), "lr+roster": (models.fit_logistic, ROSTER), "gbm": (models.fit_gbm, [])})
     elo = c.replay().where(f"datetime >= TIMESTAMP_NTZ '{CUT}'").select(
         "match_id", F.lit("elo_k32").alias("model"), c_("p_t1").alias("p"), c_("result").alias("y"))
     return models.model_table(scored.unionByName(elo))

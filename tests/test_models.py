@@ -1,4 +1,8 @@
+import pytest
+
+from faceoff.operators import models
 from faceoff.operators.models import encode_entities
+from faceoff.plans.catalog import QUERIES
 
 
 def test_names_are_numbered_in_plain_order(spark):
@@ -7,3 +11,20 @@ def test_names_are_numbered_in_plain_order(spark):
     rows = spark.createDataFrame([(n, "unseen") for n in names], "team1 string, team2 string")
     got = {r["team1"]: (r["team1_idx"], r["team2_idx"]) for r in encode_entities(train, rows).collect()}
     assert got == {n: (i, 0) for i, n in enumerate(sorted(names), 1)}
+
+
+class Stop(Exception):
+    pass
+
+
+@pytest.mark.parametrize("name, kind, rounds", [
+    ("fit_gbm", "GBTClassifier", 200), ("fit_gbm_isotonic", "GBTClassifier", 200), ("leakage_demo", "GBTClassifier", 200), ("model_table", "GBTClassifier", 200),
+    ("entity_factor_model", "FMClassifier", 100)])
+def test_queries_train_with_the_published_rounds(spark, monkeypatch, name, kind, rounds):
+    def stop(**settings):
+        raise Stop(settings["maxIter"])
+
+    monkeypatch.setattr(models, kind, stop)
+    with pytest.raises(Stop) as got:
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert got.value.args == (rounds,)
