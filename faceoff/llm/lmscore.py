@@ -8,6 +8,9 @@ failure sum to one. A text is one traversal from its start: the state is carried
 arcs and failures add up; a token leads to the longest history that is a state. Tokens are words (A-Z lower-cased)
 and one end.
 
+The automaton is a way to put the model; it is not built. The counts of the n-grams at every position are looked up in
+sorted arrays and interpolated, which gives the scores of that traversal; nothing is carried from token to token.
+
 Scale. Counts are over all training texts and grow with them, so no task holds the model. Texts are dealt into
 blocks of about ``BLOCK_TEXT`` bytes. A block asks for the counts of its distinct n-grams and brings its own
 training counts; requests are partitioned by n-gram hash and summed (a word that is a third of all tokens is one
