@@ -1,9 +1,12 @@
 """The registered queries against their check SQL on the smallest data."""
 
+import sys
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from faceoff.plans import catalog
 from faceoff.sources.derived import TABLES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -41,3 +44,9 @@ def test_flagship_has_rows(spark):
 
 def test_every_check_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 190
+
+
+def test_contest_queries_without_the_training_data_folder(monkeypatch):
+    for name in [m for m in sys.modules if m.startswith("faceoff.llm.")] + ["faceoff.llm", "corpus_pipeline"]:
+        monkeypatch.setitem(sys.modules, name, None)
+    assert set(entry.queries()) == set(catalog.QUERIES) and set(entry.oracle_sql()) == set(catalog.ORACLES)
