@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faceoff.llm import bpe, chat, jaccard, lmscore, neardup, packing, quality, secrets, substring, toxicity
+from faceoff.llm import bpe, chat, jaccard, lines, lmscore, neardup, packing, quality, secrets, substring, toxicity
 from faceoff.llm.registry import ORACLES, QUERIES, register, table  # noqa: F401
 
 
@@ -165,3 +165,11 @@ FROM v LEFT JOIN n USING (vec_id) JOIN (SELECT v AS vec_id, min(root) AS compone
 @register("op8_embedding_near_dedup", OP8)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@register("op13_quality_classifier")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+    docs = table(spark, folder, "documents")
+    model = lines.fit(docs, table(spark, folder, "labels"), ~held_out)
+    return lines.score(docs, model).withColumn("held_out", held_out)
