@@ -4,7 +4,7 @@ import pytest
 from faceoff.llm.queries import ORACLES, QUERIES
 
 
-@pytest.mark.parametrize("name", ["op4_ngram_jaccard_join", "op7_substring_dedup", "op8_embedding_near_dedup"])
+@pytest.mark.parametrize("name", ["op4_ngram_jaccard_join", "op7_substring_dedup", "op8_embedding_near_dedup", "op12_hard_negatives"])
 def test_query_equals_sql(spark, name):
     path = "/root/testdata/sf0.001"
     con = duckdb.connect()
