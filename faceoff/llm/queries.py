@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faceoff.llm import bpe, chat, jaccard, lines, lmscore, neardup, negatives, packing, quality, secrets, substring, toxicity
+from faceoff.llm import alignment, bpe, chat, jaccard, lines, lmscore, neardup, negatives, packing, quality, secrets, substring, toxicity
 from faceoff.llm.registry import ORACLES, QUERIES, register, table  # noqa: F401
 
 
@@ -167,6 +167,12 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "embeddings"))
 
 
+@register("op11_cross_tokenizer_alignment")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.link_counts(table(spark, folder, "documents"), *paths)
+
+
 @register("op13_quality_classifier")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
