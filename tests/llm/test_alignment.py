@@ -45,8 +45,9 @@ def grouped(text, libraries):
         return []
     ae, be = np.cumsum([len(t) for t in at]).tolist(), np.cumsum([len(t) for t in bt]).tolist()
     out, i, j = [], 0, 0
-    for end in sorted(set(ae) & set(be)):
-        p, q = ae.index(end) + 1, be.index(end) + 1
+    rank_a, rank_b = ({end: n for n, end in enumerate(x, 1)} for x in (ae, be))
+    for end in sorted(rank_a.keys() & rank_b.keys()):
+        p, q = rank_a[end], rank_b[end]
         out.append((e.ids[i:p], ids[j:q]))
         i, j = p, q
     return out
