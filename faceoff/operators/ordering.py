@@ -45,41 +45,53 @@ def last_k(df: DataFrame, keys: list[str], order: list[str], k: int, name: str =
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
-                    chunks: int = 2000) -> DataFrame:
+                    accuracy: int = 10_000) -> DataFrame:
     """Exact, linearly interpolated quantiles per key: columns keys, prob, value.
 
-    Values are counted first (combined before the shuffle), then cut into ``chunks`` equal-width
-    ranges between the key's minimum and maximum. Only range totals are accumulated per key; the
-    ranks inside a range are found per (key, range), so no task holds a whole column.
+    A mergeable rank sketch per key (memory follows ``accuracy``, not the rows) gives two splitters
+    around every wanted rank. Its rank error is bounded, so what lies between two splitters is
+    about six rows in ``accuracy`` of the key's, whatever the values are; only those are ranked.
+    Rows below a splitter are counted. Keys with fewer than two times ``accuracy`` rows are ranked whole.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(
-        F.count("*").alias("_n"))
-    spans = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"),
-                                  F.count(value).alias("_total"))
-    width = F.col("_hi") - F.col("_lo")
-    place = F.when(width > 0, F.floor((F.col("_v") - F.col("_lo")) / width * chunks)).otherwise(0)
-    placed = _join(counted, spans, keys).withColumn("_chunk", place)
-    totals = placed.groupBy(*keys, "_chunk").agg(F.sum("_n").alias("_cn"))
-    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_chunk", F.coalesce(F.sum("_cn").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys, "_chunk").orderBy("_v").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    ranked = placed.join(offsets, [*keys, "_chunk"]).withColumn(
-        "_upto", F.col("_before") + F.sum("_n").over(inside))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    margin = 3.0 / accuracy
+    ends = sorted({0.0, 1.0, *(min(max(p + d, 0.0), 1.0) for p in probs for d in (-margin, margin))})
+    sketch = rows.groupBy(*keys).agg(
+        F.count("*").alias("_total"), F.percentile_approx("_v", ends, accuracy).alias("_e"))
+    small = F.col("_total") < 2 * accuracy
+
+    def splitter(p: float, otherwise: float) -> Column:
+        at = ends.index(min(max(p, 0.0), 1.0))
+        return F.when(small, F.get("_e", F.lit(ends.index(otherwise)))).otherwise(F.get("_e", F.lit(at)))
+
+    spans = sketch.select(*keys, "_total", *[splitter(p - margin, 0.0).alias(f"_lo{i}") for i, p in enumerate(probs)],
+                          *[splitter(p + margin, 1.0).alias(f"_hi{i}") for i, p in enumerate(probs)])
+    near = _join(rows, spans, keys)
+    each = range(len(probs))
+    below = near.groupBy(*keys).agg(F.first("_total").alias("_total"), *[F.count_if(F.col("_v") < F.col(f"_lo{i}")).alias(f"_b{i}") for i in each])
+    below = below.select(*keys, "_total", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_i"), F.lit(float(p)).alias("prob"), F.col(f"_b{i}").alias("_before")) for i, p in enumerate(probs)])))
+    within = [F.col("_v").between(F.col(f"_lo{i}"), F.col(f"_hi{i}")) for i in each]
+    some = within[0]
+    for w in within[1:]:
+        some = some | w
+    counted = near.where(some).select(*keys, "_v", F.explode(F.array_compact(F.array(*[
+        F.when(w, F.lit(i)) for i, w in enumerate(within)]))).alias("_i")).groupBy(*keys, "_i", "_v").agg(F.count("*").alias("_n"))
+    inside = Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.withColumn("_upto", F.sum("_n").over(inside)).join(below, [*keys, "_i"]).withColumn("_upto", F.col("_before") + F.col("_upto"))
     # ranks covered by a value: (_upto - _n, _upto]; wanted ranks are 1-based positions
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    target = (F.col("_total") - 1) * F.col("_p")
+    target = (F.col("_total") - 1) * F.col("prob")
     low, high = F.floor(target) + 1, F.ceil(target) + 1
 
     def covers(rank: Column) -> Column:
         return (rank > F.col("_upto") - F.col("_n")) & (rank <= F.col("_upto"))
 
-    hits = ranked.withColumn("_p", F.explode(wanted)).where(covers(low) | covers(high))
-    return hits.groupBy(*keys, F.col("_p").alias("prob")).agg(
-        F.max(F.when(covers(low), F.col("_v"))).alias("_a"),
-        F.max(F.when(covers(high), F.col("_v"))).alias("_b"),
-        F.max(target - F.floor(target)).alias("_w"),
-    ).select(*keys, "prob", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_w")).alias("value"))
+    hits = ranked.groupBy(*keys, "prob").agg(
+        F.max(F.when(covers(low), F.col("_v"))).alias("_a"), F.max(F.when(covers(high), F.col("_v"))).alias("_b"),
+        F.max(target - F.floor(target)).alias("_w"))
+    missed = F.raise_error(F.lit("a wanted rank lies outside its splitters"))
+    return hits.select(*keys, "prob", F.when(F.col("_a").isNull() | F.col("_b").isNull(), missed.cast("double")).otherwise(
+        F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_w")).alias("value"))
 
 
 def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
