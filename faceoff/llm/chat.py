@@ -6,18 +6,20 @@ comes directly behind its call. Arguments are parsed once and validated against
 fields). Every call is serialised as canonical JSON: keys in order at every level, no white space, nulls left out.
 
 Input. calls (conv_id, call_id, after, turn, name, arguments), results (conv_id, call_id, turn, content), schemas (name,
-field, type, required); types are string, integer, number, boolean, array, object.
+field, type, required); types are string, integer, number, boolean, array, object. Turns that are neither call nor result may be
+given as others (conv_id, turn, role, content), so that a conversation is written whole.
 
-Results. One row per call and per result that has no place in a call: conv_id, call_id, depth, order_key, status, errors,
-record. ``order_key`` sorts a conversation in topological order. status: ok, no_result, duplicate_call (the identifier was
+Results. One row per call, per result that has no place in a call, and per other turn: conv_id, call_id, depth, order_key, status,
+errors, record. ``order_key`` sorts a conversation in topological order, other turns by turn before all calls. status: unlinked (such a
+turn; its record has the role as name and the text as result), ok, no_result, duplicate_call (the identifier was
 taken by an earlier call), repeated_result, orphan_result, cycle (no order exists), no_id. errors: comma-joined
 ``field:missing``, ``field:type``, ``field:unknown``, ``json`` (not a JSON object), ``schema`` (no schema of that name).
 
 Scale. All joins are on identifiers; no conversation is gathered in one task, so a conversation or a tool with a third of
 all rows is spread like any other. Schemas are one row per tool name; Spark broadcasts them when their size allows.
 
-Edge cases. Rows equal in all columns count once. Of several calls (results) of one identifier, the first by turn, then by
-content, holds it. A null identifier cannot be linked. A null turn sorts last; null arguments are no JSON. ``after`` that
+Edge cases. Rows equal in all columns count once. Of several calls (results) of one identifier, the first by turn, then by a
+hash of its content, holds it. A null identifier cannot be linked. A null turn sorts last; null arguments are no JSON. ``after`` that
 names no call, or null, makes a root. Field names are compared as they are. Empty tables give empty results; other columns
 are not read.
 """
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from faceoff.llm.scratch import Scratch
 
 CALLS, RESULTS = ("conv_id", "call_id", "after", "turn", "name", "arguments"), ("conv_id", "call_id", "turn", "content")
+OTHERS = ("conv_id", "turn", "role", "content")
 LATE = 2**62
 
 
@@ -65,8 +68,8 @@ def _fits(kind, wanted):
             .when(wanted == "object", kind.startswith("OBJECT")).otherwise(False))
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
-    """Calls with their results, in order, validated and serialised."""
+def link(calls: DataFrame, results: DataFrame, schemas: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """Calls with their results, in order, validated and serialised; other turns as they are."""
     scratch = Scratch(calls.sparkSession, "chat")
     calls = _first(calls.select(*CALLS).distinct(), "arguments", "name", "after", "conv_id")
     results = _first(results.select(*RESULTS).distinct(), "content", "conv_id")
@@ -96,7 +99,15 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
         "conv_id", "call_id", F.lit(None).cast("long").alias("depth"),
         F.when(F.col("call_id").isNull(), "no_id").when(F.col("called").isNull(), "orphan_result").otherwise("repeated_result").alias("status"),
         F.lit("").alias("errors"), F.lit(None).cast("string").alias("canonical"), F.lit(None).cast("string").alias("name"), F.col("content").alias("result"))
-    every = first.unionByName(rest)
+    late = lambda c: F.lpad(F.coalesce(c, F.lit(9_999_999_999)).cast("string"), 10, "0")
+    order = F.concat_ws(":", late("depth"), F.coalesce("call_id", F.lit("")))
+    every = first.unionByName(rest).withColumn("order_key", order)
+    if others is not None:
+        apart = others.select(*OTHERS).distinct()
+        every = every.unionByName(apart.select(
+            "conv_id", F.lit(None).cast("string").alias("call_id"), F.lit(None).cast("long").alias("depth"), F.lit("unlinked").alias("status"),
+            F.lit("").alias("errors"), F.lit(None).cast("string").alias("canonical"), F.col("role").alias("name"), F.col("content").alias("result"),
+            F.concat(F.lit("-"), late("turn")).alias("order_key")))
     # one key after the other, in alphabetical order; the parsed arguments print their keys in order
     part = lambda key, value, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f'"{key}":'), value))
     string = lambda c: F.regexp_replace(F.to_json(F.struct(F.col(c).cast("string").alias("v"))), r"(?s)\A\{\"v\":|\}\z", "")
@@ -104,5 +115,4 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
         ",", part("arguments", F.col("canonical"), "canonical"), part("call_id", string("call_id"), "call_id"), part("conv_id", string("conv_id"), "conv_id"),
         part("depth", F.col("depth").cast("string"), "depth"), part("errors", string("errors"), "errors"), part("name", string("name"), "name"),
         part("result", string("result"), "result"), part("status", string("status"), "status")), F.lit("}"))
-    order = F.concat_ws(":", F.lpad(F.coalesce("depth", F.lit(9_999_999_999)).cast("string"), 10, "0"), F.coalesce("call_id", F.lit("")))
-    return every.select("conv_id", "call_id", "depth", order.alias("order_key"), "status", "errors", record.alias("record"))
+    return every.select("conv_id", "call_id", "depth", "order_key", "status", "errors", record.alias("record"))

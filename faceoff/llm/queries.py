@@ -126,12 +126,17 @@ linked AS (
   FROM calls c JOIN depths d USING (conv_id, turn) LEFT JOIN results r ON r.call_id = c.call_id
   UNION ALL
   SELECT r.conv_id, r.call_id, NULL, 'orphan_result', '', NULL, NULL, r.content
-  FROM results r LEFT JOIN calls c ON r.call_id = c.call_id WHERE c.call_id IS NULL)
-SELECT conv_id, call_id, depth, lpad(CAST(coalesce(depth, 9999999999) AS VARCHAR), 10, '0') || ':' || call_id AS order_key, status, errors,
+  FROM results r LEFT JOIN calls c ON r.call_id = c.call_id WHERE c.call_id IS NULL),
+every AS (
+  SELECT *, lpad(CAST(coalesce(depth, 9999999999) AS VARCHAR), 10, '0') || ':' || call_id AS order_key FROM linked
+  UNION ALL
+  SELECT conv_id, NULL, NULL, 'unlinked', '', NULL, role, text, '-' || lpad(CAST(coalesce(turn, 9999999999) AS VARCHAR), 10, '0')
+  FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant'))
+SELECT conv_id, call_id, depth, order_key, status, errors,
   '{' || concat_ws(',', '"arguments":' || arguments, '"call_id":' || to_json(call_id), '"conv_id":' || to_json(CAST(conv_id AS VARCHAR)),
     '"depth":' || depth, '"errors":' || to_json(errors), '"name":' || to_json(name), '"result":' || to_json(result),
     '"status":' || to_json(status)) || '}' AS record
-FROM linked
+FROM every
 """
 
 
@@ -144,7 +149,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.contains("text", F.lit("\n")), "ask_lines").otherwise("ask").alias("name"),
         F.to_json(F.struct(F.length("text").alias("n_chars"), "text", "turn")).alias("arguments"))
     results = turns.where("role = 'assistant'").select("conv_id", at(1).alias("call_id"), "turn", F.col("text").alias("content"))
-    return chat.link(calls, results, spark.sql(TOOLS))
+    others = turns.where("role is null or role not in ('user', 'assistant')").select("conv_id", "turn", "role", F.col("text").alias("content"))
+    return chat.link(calls, results, spark.sql(TOOLS), others)
 
 
 OP8 = """

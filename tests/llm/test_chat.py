@@ -40,6 +40,25 @@ def test_long_chain_in_few_rounds(spark):
     assert {r[1]: r[2] for r in run(spark, calls, [])} == {f"k{i}": i for i in range(n)}
 
 
+def test_other_turns_have_rows(spark):
+    turns = [(1, 0, "system", "be kind", 1), (1, 0, "system", "be kind", 1), (1, None, None, None, 2), (None, 5, "tool", 'x "y"', 3)]
+    calls = spark.createDataFrame([(1, "a", None, 1, "f", '{"x":1}', 0)], CALL)
+    out = chat.link(calls, spark.createDataFrame([], RESULT), spark.createDataFrame(TOOL, SCHEMA),
+                    spark.createDataFrame(turns, "conv_id long, turn long, role string, content string, status int"))
+    got = sorted((tuple(r) for r in out.collect()), key=str)
+    assert got == sorted([
+        (1, "a", 0, "0000000000:a", "no_result", "", '{"arguments":{"x":1},"call_id":"a","conv_id":"1","depth":0,"errors":"","name":"f","status":"no_result"}'),
+        (1, None, None, "-0000000000", "unlinked", "", '{"conv_id":"1","errors":"","name":"system","result":"be kind","status":"unlinked"}'),
+        (1, None, None, "-9999999999", "unlinked", "", '{"conv_id":"1","errors":"","status":"unlinked"}'),
+        (None, None, None, "-0000000005", "unlinked", "", '{"errors":"","name":"tool","result":"x \\"y\\"","status":"unlinked"}')], key=str)
+
+
+def test_a_very_long_text(spark):
+    text = "word " * 400_000
+    got = run(spark, [(1, "a", None, 1, "f", json.dumps({"x": 1, "y": text}))], [(1, "a", 2, text)])
+    assert got[0][4] == "ok" and json.loads(got[0][6])["result"] == text == json.loads(got[0][6])["arguments"]["y"]
+
+
 def test_empty(spark):
     assert run(spark, [], [], []) == []
     assert [r[4] for r in run(spark, [], [(1, "a", 1, "x")], [])] == ["orphan_result"]
@@ -54,4 +73,7 @@ def test_query_equals_sql(spark, folder):
     names = [d[0] for d in result.description]
     want = sorted((tuple(dict(zip(names, r, strict=True)).items()) for r in result.fetchall()), key=str)
     got = sorted((tuple((n, r[n]) for n in names) for r in QUERIES["op10_chat_formatting"](spark, path).collect()), key=str)
-    assert got == want
+    assert got == want and len(got) == len({(d["conv_id"], d["order_key"]) for d in map(dict, got)})
+    linked = [json.loads(dict(r)["record"]) for r in got]
+    turns = sum(("arguments" in r) + (r["status"] in ("ok", "orphan_result", "unlinked")) for r in linked)
+    assert turns == con.execute("SELECT count(*) FROM conversations").fetchone()[0]
