@@ -6,7 +6,7 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import FMClassifier, GBTClassifier, LogisticRegression
+from pyspark.ml.classification import FMClassifier, LogisticRegression
 from pyspark.ml.feature import Interaction, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 
 from faceoff.functions.scalar import elo_expected, logit, row_log_loss
 from faceoff.functions.tails import t_upper_quantile
-from faceoff.operators import evaluate
+from faceoff.operators import boosting, evaluate
 from faceoff.operators.features import feature_matrix
 from faceoff.operators.longform import side_long
 from faceoff.operators.ordering import dense_index, global_position
 from faceoff.session import write_and_reread
 
 # ---- fixed values: published model settings -------------------------------------------------
-GBM_DEPTH, GBM_ROUNDS, GBM_RATE, SEED = 3, 200, 0.06, 42
+GBM_DEPTH, GBM_ROUNDS, GBM_RATE, GBM_PENALTY, SEED = 3, 200, 0.06, 1.0, 42
 PRIOR_MEAN, PRIOR_WIDTH, STRENGTH_SCALE, MIN_SERIES, POOLING = 1500.0, 350.0, 173.0, 10, 30.0
 CALIBRATION_MIN_ROWS, ECE_FACTOR = 60, 1.25
 BAND_94 = 1.8807936081512509      # normal quantile at 0.97
@@ -44,41 +44,43 @@ def fit_logistic(train: DataFrame) -> PipelineModel:
     return Pipeline(stages=[scaler, lr]).fit(train)
 
 
-def fit_gbm(train: DataFrame, rounds: int = GBM_ROUNDS) -> PipelineModel:
-    gbt = GBTClassifier(featuresCol="features", labelCol="label", maxDepth=GBM_DEPTH, maxIter=rounds,
-                        stepSize=GBM_RATE, seed=SEED)
-    return Pipeline(stages=[gbt]).fit(train)
+def fit_gbm(train: DataFrame, rounds: int = GBM_ROUNDS) -> boosting.BoostedTrees:
+    """Histogram boosting with an L2 penalty on the leaves."""
+    return boosting.fit_members(train, 1, rounds, GBM_DEPTH, GBM_RATE, GBM_PENALTY)[0]
 
 
 class AveragedCalibration:
     """Several (model, isotonic map) pairs whose calibrated probabilities are averaged."""
 
-    def __init__(self, members: list[tuple[PipelineModel, object]]) -> None:
+    def __init__(self, members: list[tuple[object, object]]) -> None:
         self.members = members
 
     def transform(self, df: DataFrame) -> DataFrame:
         kept = df.columns
         out = df
         for i, (model, iso) in enumerate(self.members):
-            scored = model.transform(out).withColumn("_p", _p())
+            scored = predict_proba(model, out).withColumnRenamed("p", "_p")
             out = iso.transform(scored).select(*kept, *[f"_c{j}" for j in range(i)], c("_iso").alias(f"_c{i}"))
         mean = reduce(lambda a, b: a + b, [c(f"_c{i}") for i in range(len(self.members))]) / len(self.members)
         return out.withColumn("p", mean).select(*kept, "p")
 
 
 def fit_gbm_isotonic(train: DataFrame, folds: int = 5, rounds: int = GBM_ROUNDS) -> AveragedCalibration:
-    """Expanding time folds: fit on the first blocks, calibrate on the next one, average."""
+    """Expanding time folds: fit on the first blocks, calibrate on the next one, average.
+
+    The models of all folds grow in the same passes over the rows.
+    """
     n = train.count()
     size = n // (folds + 1)
-    placed = global_position(train, "datetime", ["match_id"], name="_pos").persist()
+    placed = write_and_reread(global_position(train, "datetime", ["match_id"], name="_pos"), "fold-rows")
+    edges = [n - (folds - k) * size for k in range(folds)]
+    learns = reduce(lambda a, b: a + b, [F.when(c("_pos") <= edge, 1 << k).otherwise(0) for k, edge in enumerate(edges)])
+    fitted = boosting.fit_members(placed.withColumn("_member", learns), folds, rounds, GBM_DEPTH, GBM_RATE, GBM_PENALTY, member="_member")
     members = []
-    for k in range(folds):
-        edge = n - (folds - k) * size
-        model = fit_gbm(placed.where(c("_pos") <= edge).drop("_pos"), rounds)
+    for model, edge in zip(fitted, edges, strict=True):
         held = placed.where((c("_pos") > edge) & (c("_pos") <= edge + size)).drop("_pos")
-        scored = model.transform(held).withColumn("_p", _p())
+        scored = predict_proba(model, held).withColumnRenamed("p", "_p")
         members.append((model, IsotonicRegression(featuresCol="_p", labelCol="label", predictionCol="_iso").fit(scored)))
-    placed.unpersist()
     return AveragedCalibration(members)
 
 
@@ -88,7 +90,7 @@ def _p() -> Column:
 
 def predict_proba(model: object, df: DataFrame) -> DataFrame:
     """``df`` with the win probability ``p``."""
-    if isinstance(model, AveragedCalibration):
+    if isinstance(model, AveragedCalibration | boosting.BoostedTrees):
         return model.transform(df)
     return model.transform(df).withColumn("p", _p()).select(*df.columns, "p")
 

@@ -1,6 +1,8 @@
+import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 
-from faceoff.operators import models
+from faceoff.operators import boosting, models
 from faceoff.operators.models import encode_entities
 from faceoff.plans.catalog import QUERIES
 
@@ -17,14 +19,68 @@ class Stop(Exception):
     pass
 
 
-@pytest.mark.parametrize("name, kind, rounds", [
-    ("fit_gbm", "GBTClassifier", 200), ("fit_gbm_isotonic", "GBTClassifier", 200), ("leakage_demo", "GBTClassifier", 200), ("model_table", "GBTClassifier", 200),
-    ("entity_factor_model", "FMClassifier", 100)])
-def test_queries_train_with_the_published_rounds(spark, monkeypatch, name, kind, rounds):
+@pytest.mark.parametrize("name", ["fit_gbm", "fit_gbm_isotonic", "leakage_demo", "model_table"])
+def test_queries_train_with_the_published_settings(spark, monkeypatch, name):
+    def stop(train, members, *settings, **_):
+        raise Stop(settings)
+
+    monkeypatch.setattr(boosting, "fit_members", stop)
+    with pytest.raises(Stop) as got:
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert got.value.args == ((200, 3, 0.06, 1.0),)
+
+
+def test_factors_train_with_the_published_rounds(spark, monkeypatch):
     def stop(**settings):
         raise Stop(settings["maxIter"])
 
-    monkeypatch.setattr(models, kind, stop)
+    monkeypatch.setattr(models, "FMClassifier", stop)
     with pytest.raises(Stop) as got:
-        QUERIES[name](spark, "/root/testdata/sf0.001")
-    assert got.value.args == (rounds,)
+        QUERIES["entity_factor_model"](spark, "/root/testdata/sf0.001")
+    assert got.value.args == (100,)
+
+
+def plain_boosting(x, y, cuts, rounds, depth, rate, penalty, least):
+    """The same trees by loops over nodes, features and cut points."""
+    raw = np.full(len(y), np.log(y.mean() / (1 - y.mean())))
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-raw))
+        g, h = p - y, p * (1 - p)
+        nodes = [np.arange(len(y))]
+        for _ in range(depth):
+            following = []
+            for at in nodes:
+                best = (1e-12, None)
+                for j, own in enumerate(cuts):
+                    for cut in own:
+                        left, right = at[x[at, j] <= cut], at[x[at, j] > cut]
+                        if min(len(left), len(right)) >= least:
+                            gain = sum(g[s].sum() ** 2 / (h[s].sum() + penalty) for s in (left, right)) - g[at].sum() ** 2 / (h[at].sum() + penalty)
+                            if gain > best[0] + 1e-12:
+                                best = (gain, (left, right))
+                following += list(best[1]) if best[1] else [at]
+            nodes = following
+        for at in nodes:
+            raw[at] -= rate * g[at].sum() / (h[at].sum() + penalty)
+    return 1 / (1 + np.exp(-raw))
+
+
+def test_boosted_trees_equal_plain_ones(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "REFRESH", 2)
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(300, 3)), 2)
+    y = (x[:, 0] + x[:, 1] * (x[:, 2] > 0) + rng.normal(size=300) > 0).astype(float)
+    rows = [(i, Vectors.dense(v), float(t), 3 if i < 200 else 2) for i, (v, t) in enumerate(zip(x.tolist(), y, strict=True))]
+    df = spark.createDataFrame(rows, ["id", "features", "label", "m"])
+    first, every = boosting.fit_members(df.repartition(3), 2, 5, 3, 0.3, 1.0, least=10, member="m")
+    for model, own in ((first, 200), (every, 300)):
+        want = plain_boosting(x[:own], y[:own], model.cuts, 5, 3, 0.3, 1.0, 10)
+        got = {r["id"]: r["p"] for r in model.transform(df).collect()}
+        assert np.allclose([got[i] for i in range(own)], want)
+
+
+def test_boosted_trees_on_odd_features(spark):
+    rows = [(Vectors.dense([float("nan"), 1.0, float(i % 7)]), float(i % 7 > 3)) for i in range(200)] + [(Vectors.dense([0.0, 1.0, 1e300]), 1.0)]
+    df = spark.createDataFrame(rows, ["features", "label"])
+    p = [r["p"] for r in models.predict_proba(models.fit_gbm(df, 30), df).collect()]
+    assert all((v > 0.5) == (r[1] == 1.0) for v, r in zip(p, rows, strict=True))
