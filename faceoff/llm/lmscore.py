@@ -8,8 +8,10 @@ failure sum to one. A text is one traversal from its start: the state is carried
 arcs and failures add up; a token leads to the longest history that is a state. Tokens are words (A-Z lower-cased)
 and one end.
 
-The automaton is a way to put the model; it is not built. The counts of the n-grams at every position are looked up in
-sorted arrays and interpolated, which gives the scores of that traversal; nothing is carried from token to token.
+Every block of texts builds the part of the automaton that its texts can reach: the weights and targets of its n-grams' arcs and of its
+states' failure arcs. An arc of a state is addressed by the number of the n-gram it completes. Texts are cut into stretches of ``STRETCH``
+tokens that are walked side by side; a stretch inside a text first reads the ``order`` - 1 tokens before it, after which its
+state is that of the walk through the whole text.
 
 Scale. Counts are over all training texts and grow with them, so no task holds the model. Texts are dealt into
 blocks of about ``BLOCK_TEXT`` bytes. A block asks for the counts of its distinct n-grams and brings its own
@@ -39,9 +41,10 @@ BLOCK_TEXT = 16 << 20
 LEAST_BLOCKS = 48
 PART_GRAMS = 4_000_000
 HOLD = 2_000_000
+STRETCH = 256
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
-#: Weight of the shorter history's probability, in counts.
-WEIGHT = 300.0
+#: Weight K of the shorter history's probability, in counts, for histories of one token, two tokens, and so on (the last holds beyond).
+WEIGHTS = (300.0, 30.0)
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -88,8 +91,7 @@ def _vocabulary(parts: int):
     width = np.uint64(2**64 // parts + 1)
 
     def flush(keys, counts):
-        edge = np.searchsorted(keys // width, np.arange(parts + 1).astype(np.uint64))
-        rows = [(p, pack_sorted(keys[a:z]), pack(counts[a:z])) for p, (a, z) in enumerate(zip(edge, edge[1:], strict=False)) if a < z]
+        rows = _by_part(keys, counts, width)
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)],
                                           ["part", "keys", "counts"])
 
@@ -118,6 +120,13 @@ def _sum(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(values, first)
 
 
+def _by_part(keys: np.ndarray, counts: np.ndarray, width: np.uint64) -> list[tuple[int, bytes, bytes]]:
+    """Sorted keys and their counts, packed for each part that occurs."""
+    part, start = np.unique(keys // width, return_index=True)
+    edge = np.append(start, len(keys))
+    return [(p, pack_sorted(keys[a:z]), pack(counts[a:z])) for p, a, z in zip(part.tolist(), edge, edge[1:], strict=False)]
+
+
 def _size(table: pa.Table) -> pa.Table:
     keys = np.concatenate([unpack_sorted(x) for x in table.column("keys").to_pylist()])
     counts = np.concatenate([unpack(x, np.int64) for x in table.column("counts").to_pylist()])
@@ -144,8 +153,7 @@ def _request(order: int, parts: int):
 
     def run(table: pa.Table) -> pa.Table:
         *_, keys, counts, _ = _own_counts(table.column("t").combine_chunks(), np.asarray(table.column("train")), order)
-        edge = np.searchsorted(keys // width, np.arange(parts + 1).astype(np.uint64))
-        rows = [(p, pack_sorted(keys[a:z]), pack(counts[a:z])) for p, (a, z) in enumerate(zip(edge, edge[1:], strict=False)) if a < z]
+        rows = _by_part(keys, counts, width)
         block = table.column("block")[0].as_py()
         return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int64()),
                          "keys": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
@@ -171,35 +179,105 @@ def _answer(table: pa.Table) -> pa.Table:
                      "counts": pa.array([r[2] for r in rows], pa.binary())})
 
 
-def _traverse(order: int, n_train: int, vocabulary: int, texts: int, weight: float):
+class Automaton:
+    """States, arcs and failure arcs over a block's distinct n-grams; an n-gram's number is also its state's.
+
+    ``number[m - 1]`` has the number of the m-gram that ends at each token. Arcs: probability, target, and whether there is one; states:
+    failure weight, failure target, depth (tokens of history).
+    """
+
+    def __init__(self, first: np.ndarray, number: list[np.ndarray], counts: np.ndarray, n_train: int, vocabulary: int, texts: int, weights: tuple[float, ...]) -> None:
+        n, order = len(counts), len(number)
+        self.root, self.start, self.number, self.first = n, n + 1, number, first
+        at, size = np.zeros(n, np.int64), np.zeros(n, np.int64)      # where an n-gram ends once, and its tokens
+        for m, own in enumerate(number, 1):
+            here = np.flatnonzero(own >= 0)
+            at[own[here]], size[own[here]] = here, m
+        begins = np.zeros(len(number[0]) + 1, bool)
+        begins[first] = True
+        known = np.concatenate([counts, [0, texts]])
+        self.depth = np.concatenate([size, [0, 1]])
+        by_depth = np.array([weights[min(max(d - 1, 0), len(weights) - 1)] for d in range(order + 1)])
+        self.arc = np.concatenate([(counts > 0) | (size == 1), [False, False]])
+        shorter, p, self.next = np.full(n + 2, self.root), np.zeros(n + 2), np.full(n + 2, self.root)
+        for m in range(1, order + 1):
+            own = np.flatnonzero(size == m)
+            end = at[own]
+            if m == 1:
+                p[own] = (counts[own] + 1) / (n_train + vocabulary + 1)
+            else:
+                shorter[own] = number[m - 2][end]
+                before = number[m - 2][np.maximum(end - 1, 0)]
+                history = np.where(begins[end], self.start, before) if m == 2 else before
+                p[own] = (counts[own] + by_depth[m - 1] * p[shorter[own]]) / (known[history] + by_depth[m - 1])
+            self.next[own] = np.where(counts[own] > 0, own if m < order else shorter[own], self.root)
+        weight = by_depth[self.depth]
+        self.fail, self.fail_weight = shorter, np.log10(weight / (known + weight))
+        with np.errstate(divide="ignore"):
+            self.arc_weight = np.log10(p)
+
+    def walk(self) -> np.ndarray:
+        """Log10 probability of every text: one traversal from left to right, all stretches at once."""
+        order, lengths = len(self.number), np.diff(self.first)
+        pieces = -(-lengths // STRETCH)
+        text = np.repeat(np.arange(len(lengths)), pieces)
+        inner = (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * STRETCH
+        begin = self.first[:-1][text] + inner
+        warm = np.where(inner > 0, order - 1, 0)
+        todo = np.minimum(STRETCH, lengths[text] - inner) + warm
+        by_length = np.argsort(-todo, kind="stable")
+        place, warm, todo = (begin - warm)[by_length], warm[by_length], todo[by_length]
+        state = np.where(inner[by_length] > 0, self.root, self.start if order > 1 else self.root)
+        total = np.zeros(len(text))
+        grams = np.stack(self.number)
+        live = len(text)
+        for step in range(int(todo[0]) if len(todo) else 0):
+            while todo[live - 1] <= step:
+                live -= 1
+            s, here = state[:live], place[:live] + step
+            gain = np.zeros(live)
+            gram = grams[self.depth[s], here]
+            stuck = np.flatnonzero(~self.arc[gram])
+            while len(stuck):                                     # failure arcs, down to where an arc leaves
+                gain[stuck] += self.fail_weight[s[stuck]]
+                s[stuck] = self.fail[s[stuck]]
+                gram[stuck] = grams[self.depth[s[stuck]], here[stuck]]
+                stuck = stuck[~self.arc[gram[stuck]]]
+            gain += self.arc_weight[gram]
+            total[:live] += np.where(step < warm[:live], 0.0, gain)
+            state[:live] = self.next[gram]
+        out = np.empty(len(text))
+        out[by_length] = total
+        return per_text(out, np.concatenate([[0], np.cumsum(pieces)]))
+
+
+def per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sum of each text's values; every text has one at least. A text's sum does not depend on its neighbours."""
+    return np.add.reduceat(values, first[:-1]) if len(first) > 1 else np.zeros(0)
+
+
+def _traverse(order: int, n_train: int, vocabulary: int, texts: int, weights: tuple[float, ...]):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        token, first, grams, keys, counts, where = _own_counts(left.column("t").combine_chunks(), np.asarray(left.column("train")), order)
+        _, first, grams, keys, counts, where = _own_counts(left.column("t").combine_chunks(), np.asarray(left.column("train")), order)
         for k, c in zip(right.column("keys").to_pylist(), right.column("counts").to_pylist(), strict=True):
             counts[np.searchsorted(keys, unpack_sorted(k))] = unpack(c, np.int64)
-        lo, seen = 0, []
+        lo, number = 0, []
         for _, ok in grams:
-            n = np.zeros(len(token), np.int64)
-            n[ok] = counts[where[lo:lo + int(ok.sum())]]
+            own = np.full(len(ok), -1)
+            own[ok] = where[lo:lo + int(ok.sum())]
             lo += int(ok.sum())
-            seen.append(n)
-        known = seen[0]
-        p = (known + 1) / (n_train + vocabulary + 1)
-        base = np.log10(p)
-        for n in range(2, order + 1):
-            # how often the state of the last n - 1 tokens was left in training
-            state = np.zeros(len(token), np.int64)
-            state[1:] = seen[n - 2][:-1]
-            state[first[:-1]] = texts if n == 2 else 0
-            arc = seen[n - 1]
-            p = np.where(arc > 0, (arc + weight * p) / (state + weight), p * (weight / (state + weight)))
+            number.append(own)
+        known = counts[number[0]]
+        base = np.log10((known + 1) / (n_train + vocabulary + 1))
+        walked = Automaton(first, number, counts, n_train, vocabulary, texts, weights).walk()
         return pa.table({"k": left.column("k"), "n_tokens": pa.array(np.diff(first)), "n_known": pa.array(T.sums((known > 0).astype(np.int64), first)),
-                         "train_tokens": pa.array(np.full(len(first) - 1, n_train, np.int64)), "base_score": pa.array(T.sums(base, first)),
-                         "score": pa.array(T.sums(np.log10(p), first))})
+                         "train_tokens": pa.array(np.full(len(first) - 1, n_train, np.int64)), "base_score": pa.array(per_text(base, first)),
+                         "score": pa.array(walked)})
     return run
 
 
-def score(docs: DataFrame, train: Column, *, key: str = "doc_id", text: str = "text", order: int = 2,
-          weight: float = WEIGHT) -> DataFrame:
+def score(docs: DataFrame, train: Column, *, key: str = "doc_id", text: str = "text", order: int = 3,
+          weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """Every row's scores under the model of the rows for which ``train`` holds."""
     kind = dict(docs.dtypes)[key]
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"),
@@ -215,5 +293,5 @@ def score(docs: DataFrame, train: Column, *, key: str = "doc_id", text: str = "t
     asked = dealt.groupBy("block").applyInArrow(_request(order, parts), "part int, block long, keys binary, counts binary")
     answers = asked.groupBy("part").applyInArrow(_answer, "block long, keys binary, counts binary")
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        _traverse(order, n_train, vocabulary, texts, weight),
+        _traverse(order, n_train, vocabulary, texts, weights),
         f"k {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("k", key)
