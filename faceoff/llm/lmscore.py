@@ -18,7 +18,7 @@ blocks of about ``BLOCK_TEXT`` bytes. A block asks for the counts of its distinc
 training counts; requests are partitioned by n-gram hash and summed (a word that is a third of all tokens is one
 number per block), and a block gets back those that other blocks also count: the part of the automaton that its
 texts can reach. Blocks and partitions keep their size while their number grows with the corpus. Requests are sorted
-hashes, sent as differences. N, V and the number of training texts are three numbers.
+hashes, sent as differences; answers are counts in the order of the request. N, V and the number of training texts are three numbers.
 
 Results. ``score``: key, n_tokens, n_known, train_tokens, base_score (add-one unigrams), score (the model).
 
@@ -42,6 +42,8 @@ LEAST_BLOCKS = 48
 PART_GRAMS = 4_000_000
 HOLD = 2_000_000
 STRETCH = 256
+#: N-grams of two tokens and more have 56 bits, which a byte less carries; words have 64.
+GRAM_BITS = np.uint64(2**64 - 256)
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 #: Weight K of the shorter history's probability, in counts, for histories of one token, two tokens, and so on (the last holds beyond).
 WEIGHTS = (300.0, 30.0)
@@ -82,7 +84,7 @@ def histories(token: np.ndarray, first: np.ndarray, order: int) -> list[tuple[np
         else:
             ok = place >= n - 2
             context[first[:-1]] = 0
-        out.append((T.mix(context * np.uint64(0x9E3779B97F4A7C15) + token + np.uint64(n)), ok))
+        out.append((T.mix(context * np.uint64(0x9E3779B97F4A7C15) + token + np.uint64(n)) & GRAM_BITS, ok))
     return out
 
 
@@ -161,21 +163,20 @@ def _request(order: int, parts: int):
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """To each block: the totals of its n-grams where other blocks count them too."""
+    """To each block: the totals of its n-grams in their order, where other blocks count any of them too."""
     keys = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
     counts = [unpack(x, np.int64) for x in table.column("counts").to_pylist()]
     every, total = _sum(np.concatenate([k[c > 0] for k, c in zip(keys, counts, strict=True)]),
                         np.concatenate([c[c > 0] for c in counts]))
     rows = []
-    for block, k, c in zip(table.column("block").to_pylist(), keys, counts, strict=True):
+    for block, part, k, c in zip(table.column("block").to_pylist(), table.column("part").to_pylist(), keys, counts, strict=True):
         if not len(every):
             break
         at = np.minimum(np.searchsorted(every, k), len(every) - 1)
         sum_ = np.where(every[at] == k, total[at], 0)
-        other = sum_ != c
-        if other.any():
-            rows.append((block, pack_sorted(k[other]), pack(sum_[other])))
-    return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "keys": pa.array([r[1] for r in rows], pa.binary()),
+        if (sum_ != c).any():
+            rows.append((block, part, pack(sum_)))
+    return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "part": pa.array([r[1] for r in rows], pa.int32()),
                      "counts": pa.array([r[2] for r in rows], pa.binary())})
 
 
@@ -256,11 +257,16 @@ def per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, first[:-1]) if len(first) > 1 else np.zeros(0)
 
 
-def _traverse(order: int, n_train: int, vocabulary: int, texts: int, weights: tuple[float, ...]):
+def _traverse(order: int, parts: int, n_train: int, vocabulary: int, texts: int, weights: tuple[float, ...]):
+    width = np.uint64(2**64 // parts + 1)
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         _, first, grams, keys, counts, where = _own_counts(left.column("t").combine_chunks(), np.asarray(left.column("train")), order)
-        for k, c in zip(right.column("keys").to_pylist(), right.column("counts").to_pylist(), strict=True):
-            counts[np.searchsorted(keys, unpack_sorted(k))] = unpack(c, np.int64)
+        part, start = np.unique(keys // width, return_index=True)
+        edge = np.append(start, len(keys))
+        for p, c in zip(right.column("part").to_pylist(), right.column("counts").to_pylist(), strict=True):
+            at = int(np.searchsorted(part, p))
+            counts[edge[at]:edge[at + 1]] = unpack(c, np.int64)
         lo, number = 0, []
         for _, ok in grams:
             own = np.full(len(ok), -1)
@@ -291,7 +297,7 @@ def score(docs: DataFrame, train: Column, *, key: str = "doc_id", text: str = "t
     vocabulary, n_train = (x or 0 for x in found)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("k", "t"), F.lit(blocks)))
     asked = dealt.groupBy("block").applyInArrow(_request(order, parts), "part int, block long, keys binary, counts binary")
-    answers = asked.groupBy("part").applyInArrow(_answer, "block long, keys binary, counts binary")
+    answers = asked.groupBy("part").applyInArrow(_answer, "block long, part int, counts binary")
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        _traverse(order, n_train, vocabulary, texts, weights),
+        _traverse(order, parts, n_train, vocabulary, texts, weights),
         f"k {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("k", key)
