@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import FMClassifier, LogisticRegression
-from pyspark.ml.feature import Interaction, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
@@ -267,42 +267,54 @@ def strength_subset(matches: DataFrame, tier: str | None, years: tuple[int, int]
         keep.withColumnRenamed("team", "team2"), "team2", "left_semi")
 
 
-def bradley_terry(matches: DataFrame, hierarchical: bool = False) -> DataFrame:
+def bradley_terry(matches: DataFrame, hierarchical: bool = False, tolerance: float = 1e-22, most_steps: int = 500) -> DataFrame:
     """Strength per entity under a normal prior: the posterior mode with a Laplace interval.
 
-    The contest enters in both orientations, so one-hot columns for side one and side two get
-    opposite coefficients; half the prior's penalty on each equals the prior on their common value.
-    Vectors stay sparse; the interval comes from one aggregate of p (1 - p) per entity.
+    Contests collapse to a table of pairs with their number and wins, in both orientations; a contest counts once per
+    orientation, as published. The mode is found by preconditioned conjugate gradients: strengths, gradients and
+    directions stay tables keyed by entity, each step is a join with the pair table and one aggregate, and only the
+    scalar products reach the driver. It ends when the gradient's preconditioned norm is below ``tolerance``.
     """
-    both = side_long(matches).select("team", "opponent", c("win").cast("double").alias("label"))
-    counts = both.groupBy("team").agg(F.count("*").alias("n_series"))
+    both = side_long(matches).where("team IS NOT NULL AND opponent IS NOT NULL")
+    pairs = write_and_reread(both.groupBy("team", "opponent").agg(
+        F.count("*").cast("double").alias("n"), F.sum(c("win").cast("double")).alias("wins")), "strength-pairs")
     width = PRIOR_WIDTH / STRENGTH_SCALE
+    counts = pairs.groupBy("team").agg(F.sum("n").cast("long").alias("n_series"))
     sigma = (width * c("n_series") / (c("n_series") + POOLING)) if hierarchical else F.lit(width)
-    priors = counts.select("team", "n_series", sigma.alias("sigma"))
-    rows = both.join(priors.select("team", c("sigma").alias("s1")), "team").join(
-        priors.select(c("team").alias("opponent"), c("sigma").alias("s2")), "opponent")
-    n = rows.count()
-    one_hot = Pipeline(stages=[
-        StringIndexer(inputCols=["team", "opponent"], outputCols=["_i", "_j"], stringOrderType="alphabetAsc"),
-        OneHotEncoder(inputCols=["_i", "_j"], outputCols=["_a", "_b"], dropLast=False),
-        Interaction(inputCols=["s1", "_a"], outputCol="_u"), Interaction(inputCols=["s2", "_b"], outputCol="_w"),
-        VectorAssembler(inputCols=["_u", "_w"], outputCol="features"),
-    ]).fit(rows)
-    encoded = one_hot.transform(rows)
-    model = LogisticRegression(labelCol="label", fitIntercept=False, standardization=False, regParam=1.0 / (2.0 * n),
-                               maxIter=500, tol=1e-10).fit(encoded)
-    labels = list(one_hot.stages[0].labelsArray[0])
-    values = model.coefficients.toArray()[: len(labels)]       # a model is one number per entity
-    theta = matches.sparkSession.createDataFrame(
-        [(t, float(v)) for t, v in zip(labels, values, strict=True)], "team string, w double")
-    strength = theta.join(priors, "team").withColumn("theta", c("w") * c("sigma"))
-    paired = both.join(strength.select("team", c("theta").alias("t1")), "team").join(
-        strength.select(c("team").alias("opponent"), c("theta").alias("t2")), "opponent")
-    p = 1.0 / (1.0 + F.exp(c("t2") - c("t1")))
-    info = paired.groupBy("team").agg((2.0 * F.sum(p * (1.0 - p))).alias("_info"))
-    sd = STRENGTH_SCALE / F.sqrt(c("_info") + 1.0 / (c("sigma") * c("sigma")))
+    priors = counts.select("team", "n_series", (1.0 / (sigma * sigma)).alias("tau"))
+
+    def paired(state: DataFrame, *names: str) -> DataFrame:
+        mine = state.select("team", *[c(x).alias(f"{x}1") for x in names])
+        other = state.select(c("team").alias("opponent"), *[c(x).alias(f"{x}2") for x in names])
+        return pairs.join(mine, "team").join(other, "opponent")
+
+    p = 1.0 / (1.0 + F.exp(c("theta2") - c("theta1")))
+
+    def with_gradient(state: DataFrame) -> DataFrame:
+        """Uphill gradient g of the log posterior, and z = g over the curvature's diagonal."""
+        each = paired(state, "theta").groupBy("team").agg(
+            F.sum(2.0 * (c("wins") - c("n") * p)).alias("_s"), F.sum(2.0 * c("n") * p * (1.0 - p)).alias("_i"))
+        g = c("_s") - c("theta") * c("tau")
+        return state.join(each, "team").select(*state.columns, g.alias("g"), (c("_i") + c("tau")).alias("info")).withColumn("z", c("g") / c("info"))
+
+    state = write_and_reread(with_gradient(priors.withColumn("theta", F.lit(0.0))).withColumn("d", c("z")), "strength-step")
+    size = state.agg(F.sum(c("g") * c("z"))).first()[0] or 0.0
+    for _ in range(most_steps):
+        if size <= tolerance:
+            break
+        bend = paired(state, "theta", "d").agg(F.sum(c("n") * p * (1.0 - p) * F.pow(c("d1") - c("d2"), F.lit(2)))).crossJoin(
+            state.agg(F.sum(c("d") * c("d") * c("tau")), F.sum(c("g") * c("d")))).first()      # one-row frames
+        step = bend[2] / (bend[0] + bend[1])
+        moved = state.select("team", "n_series", "tau", (c("theta") + step * c("d")).alias("theta"), c("d").alias("_d"), c("g").alias("_g"))
+        new = write_and_reread(with_gradient(moved), "strength-step")
+        now, overlap = new.agg(F.sum(c("g") * c("z")), F.sum(c("_g") * c("z"))).first()
+        turn = max((now - overlap) / size, 0.0)
+        state, size = new.withColumn("d", c("z") + turn * c("_d")).drop("_d", "_g"), now
+    else:
+        raise RuntimeError(f"strengths did not settle in {most_steps} steps")
+    sd = STRENGTH_SCALE / F.sqrt("info")
     mean = PRIOR_MEAN + STRENGTH_SCALE * c("theta")
-    return strength.join(info, "team").select(
+    return state.select(
         "team", "n_series", mean.alias("posterior_mean"), (mean - BAND_94 * sd).alias("lo"), (mean + BAND_94 * sd).alias("hi"))
 
 

@@ -108,19 +108,46 @@ def _(c: Contests):
     return models.strength_subset(c.matches(), "tier1", (1997, 1999), 60).select("match_id", "team1", "team2")
 
 
-@query("bradley_terry")
+def strengths_sql(contests: str, sigma: str, steps: int = 40) -> str:
+    """Common table expressions up to ``bt``: damped diagonal Newton steps, each followed by the best common shift."""
+    parts = [f"""pr AS MATERIALIZED (SELECT team, opponent, COUNT(*)::DOUBLE AS n, SUM(win)::DOUBLE AS w FROM (
+  SELECT team1 AS team, team2 AS opponent, CAST(winner = team1 AS INT) AS win FROM {contests} UNION ALL SELECT team2, team1, CAST(winner = team2 AS INT) FROM {contests}) GROUP BY 1, 2)""",
+             f"pi AS MATERIALIZED (SELECT team, n, 1 / pow({sigma}, 2) AS tau FROM (SELECT team, SUM(n) AS n FROM pr GROUP BY 1))",
+             "t0 AS MATERIALIZED (SELECT team, n, tau, 0.0::DOUBLE AS th, 0.0::DOUBLE AS info FROM pi)"]
+    for k in range(1, steps + 1):
+        odds = "1 / (1 + exp(b.th - a.th))"
+        parts.append(f"""u{k} AS MATERIALIZED (SELECT a.team, a.n, a.tau, a.th + 0.9 * (2 * SUM(pr.w - pr.n * {odds}) - a.th * a.tau) / (2 * SUM(pr.n * {odds} * (1 - {odds})) + a.tau) AS th,
+  2 * SUM(pr.n * {odds} * (1 - {odds})) + a.tau AS info FROM t{k - 1} a JOIN pr ON pr.team = a.team JOIN t{k - 1} b ON b.team = pr.opponent GROUP BY a.team, a.n, a.tau, a.th)""")
+        parts.append(f"t{k} AS MATERIALIZED (SELECT team, n, tau, th - (SELECT SUM(th * tau) / SUM(tau) FROM u{k}) AS th, info FROM u{k})")
+    parts.append(f"bt AS (SELECT team, n AS n_series, 1500 + 173 * th AS m, 1.8807936081512509e0 * 173 / sqrt(info) AS h FROM t{steps})")
+    return ", ".join(parts)
+
+
+WIDE, POOLED = "(350.0 / 173.0)", "(350.0 / 173.0 * n / (n + 30.0))"
+STRENGTHS = "SELECT team, CAST(n_series AS BIGINT) AS n_series, ROUND(m, 3) AS posterior_mean, ROUND(m - h, 3) AS lo, ROUND(m + h, 3) AS hi FROM bt"
+
+
+def _r3(df: DataFrame) -> DataFrame:
+    return df.select("team", "n_series", *[F.round(n, 3).alias(n) for n in ("posterior_mean", "lo", "hi")])
+
+
+@query("bradley_terry", f"WITH {strengths_sql('matches', WIDE)} {STRENGTHS}")
 def _(c: Contests):
-    return models.bradley_terry(c.matches())
+    return _r3(models.bradley_terry(c.matches()))
 
 
-@query("bradley_terry_pooled")
+@query("bradley_terry_pooled", f"""WITH s AS (SELECT * FROM matches WHERE tier = 'tier1' AND year(datetime) BETWEEN 1997 AND 1999),
+kt AS (SELECT team FROM (SELECT team1 AS team FROM s UNION ALL SELECT team2 FROM s) GROUP BY team HAVING COUNT(*) >= 10),
+sb AS MATERIALIZED (SELECT * FROM s WHERE team1 IN (SELECT team FROM kt) AND team2 IN (SELECT team FROM kt)), {strengths_sql('sb', POOLED)} {STRENGTHS}""")
 def _(c: Contests):
-    return models.bradley_terry(models.strength_subset(c.matches(), "tier1", (1997, 1999)), hierarchical=True)
+    return _r3(models.bradley_terry(models.strength_subset(c.matches(), "tier1", (1997, 1999)), hierarchical=True))
 
 
-@query("rating_agreement")
+@query("rating_agreement", f"""WITH {strengths_sql('matches', WIDE)},
+ag AS (SELECT 1 / (1 + pow(10, (elo_t2_pre - elo_t1_pre) / 400)) AS e, 1 / (1 + exp((y.m - x.m) / 173)) AS s FROM elo JOIN bt x ON x.team = team1 JOIN bt y ON y.team = team2)
+SELECT COUNT(*) AS n, ROUND(AVG(ABS(e - s)), 6) AS mae, ROUND(corr(e, s), 6) AS pearson_r FROM ag""")
 def _(c: Contests):
-    return models.rating_agreement(c.replay(), models.bradley_terry(c.matches()))
+    return models.rating_agreement(c.replay(), models.bradley_terry(c.matches())).select("n", *r6("mae", "pearson_r"))
 
 
 @query("encode_entities", f"""

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
 from faceoff.operators import boosting, models
 from faceoff.operators.models import encode_entities
@@ -84,3 +85,18 @@ def test_boosted_trees_on_odd_features(spark):
     df = spark.createDataFrame(rows, ["features", "label"])
     p = [r["p"] for r in models.predict_proba(models.fit_gbm(df, 30), df).collect()]
     assert all((v > 0.5) == (r[1] == 1.0) for v, r in zip(p, rows, strict=True))
+
+
+def test_the_mode_of_sparse_contests_has_no_gradient(spark):
+    """A chain, a star and a pair apart: graphs on which steps per entity alone settle slowly."""
+    games = [(f"c{i}", f"c{i + 1}", i % 3 > 0) for i in range(30) for _ in range(20)] + [("hub", f"s{i}", i % 2 == 0) for i in range(12)] + [("x", "y", True)] * 50
+    rows = [(i, a, b, a if won else b) for i, (a, b, won) in enumerate(games)]
+    df = spark.createDataFrame(rows, "match_id int, team1 string, team2 string, winner string").withColumn("datetime", F.current_timestamp())
+    for hierarchical in (False, True):
+        got = {r["team"]: ((r["posterior_mean"] - 1500) / 173, r["n_series"]) for r in models.bradley_terry(df, hierarchical).collect()}
+        slope = {t: -th / (350 / 173 * (n / (n + 30) if hierarchical else 1)) ** 2 for t, (th, n) in got.items()}
+        for _, a, b, winner in rows:
+            p = 1 / (1 + np.exp(got[b][0] - got[a][0]))
+            slope[a] += 2 * ((winner == a) - p)
+            slope[b] -= 2 * ((winner == a) - p)
+        assert max(map(abs, slope.values())) < 1e-6
