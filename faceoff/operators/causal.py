@@ -314,11 +314,13 @@ def pretrend_screen(study: DataFrame, limit: float = 0.10) -> DataFrame:
 
 
 def bootstrap_did(panel: DataFrame, outcome: str = "win", cluster: str = "event_id", n_boot: int = 2000,
-                  seed: int = 0) -> DataFrame:
+                  seed: int = 0, chunk: int = 4096) -> DataFrame:
     """Cluster bootstrap of the DiD with 2.5 % and 97.5 % quantiles.
 
-    Rows collapse to one row of four cell sums per cluster first. Draw number i of the whole
-    bootstrap picks cluster ``md5(seed:i) mod n``, so the result does not depend on partitioning.
+    Rows collapse to one row of four cell sums per cluster first; numbered clusters form chunks. The n draws of a
+    replicate are first only counted per chunk (draw ``id`` falls into the chunk that holds ``md5(seed:id) mod n``), then
+    drawn inside the chunk (``md5(seed:replicate:chunk:j) mod size``). A chunk adds its draws up per replicate, so what is
+    shuffled is n_boot x chunks sums, never n_boot x n draws, and the result does not depend on partitioning.
     """
     if n_boot < 100:
         raise ValueError("n_boot must be at least 100")
@@ -331,12 +333,22 @@ def bootstrap_did(panel: DataFrame, outcome: str = "win", cluster: str = "event_
     if n < 2:
         raise ValueError("bootstrap requires at least two clusters")
     spark = panel.sparkSession
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")))
-    draws = spark.range(n_boot * n).select(
-        F.floor(F.col("id") / n).alias("replicate"),
-        (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n).alias("_i"))
     names = [c for c in indexed.columns if c not in ("_cluster", "_i")]
-    totals = draws.join(indexed, "_i").groupBy("replicate").agg(*[F.sum(c).alias(c) for c in names])
+
+    def draw(size: Column, *parts: Column) -> Column:
+        digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]))
+        return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % size
+
+    tasks = max(spark.sparkContext.defaultParallelism, n_boot * n // 4_000_000)
+    shares = spark.range(0, n_boot * n, 1, tasks).select(
+        F.floor(F.col("id") / n).alias("replicate"), F.floor(draw(F.lit(n), F.col("id")) / chunk).alias("_chunk")).groupBy(
+        "replicate", "_chunk").agg(F.count("*").alias("_m"))
+    # one row per chunk: its clusters' cells in order
+    held = indexed.groupBy(F.floor(F.col("_i") / chunk).alias("_chunk")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_i", *names))), lambda x: F.struct(*[x[c].alias(c) for c in names])).alias("_cells"))
+    inside = shares.join(held, "_chunk").select("replicate", "_chunk", "_cells", F.explode(F.sequence(F.lit(1), F.col("_m"))).alias("_j"))
+    drawn = inside.select("replicate", F.get("_cells", draw(F.size("_cells"), F.col("replicate"), F.col("_chunk"), F.col("_j")).cast("int")).alias("_c"))
+    totals = drawn.groupBy("replicate").agg(*[F.sum(F.col("_c")[c]).alias(c) for c in names])
 
     def mean(name: str) -> Column:
         return F.try_divide(F.col(f"s_{name}"), F.col(f"n_{name}"))

@@ -156,11 +156,13 @@ def _(c: Contests):
 @query("bootstrap_did", f"""WITH {PAIRED},
 cl AS (SELECT event_id, {", ".join(f"COALESCE(SUM(win) FILTER (WHERE treated = {t} AND {w}), 0) AS s{i}, COUNT(win) FILTER (WHERE treated = {t} AND {w}) AS n{i}" for i, (t, w) in enumerate(((1, "rel < 0"), (1, "rel >= 0"), (0, "rel < 0"), (0, "rel >= 0"))))} FROM pp GROUP BY 1),
 ix AS (SELECT *, ROW_NUMBER() OVER (ORDER BY substr(md5(event_id), 1, 3), event_id) - 1 AS i, COUNT(*) OVER () AS n FROM cl),
-nn AS (SELECT COUNT(*) AS n FROM cl), dr AS (SELECT id // n AS rep, ('0x' || substr(md5('7:' || id), 1, 8))::BIGINT % n AS i FROM (SELECT unnest(range(2000 * n)) AS id, n FROM nn)),
+nn AS (SELECT COUNT(*) AS n FROM cl),
+sh AS (SELECT id // n AS rep, (('0x' || substr(md5('7:' || id), 1, 8))::BIGINT % n) // 16 AS ch, n, COUNT(*) AS m FROM (SELECT unnest(range(2000 * n)) AS id, n FROM nn) GROUP BY ALL),
+dr AS (SELECT rep, ch * 16 + ('0x' || substr(md5('7:' || rep || ':' || ch || ':' || j), 1, 8))::BIGINT % least(16, n - ch * 16) AS i FROM (SELECT rep, ch, n, unnest(range(1, m + 1)) AS j FROM sh)),
 es AS (SELECT rep, (SUM(s1) / SUM(n1) - SUM(s0) / SUM(n0)) - (SUM(s3) / SUM(n3) - SUM(s2) / SUM(n2)) AS e FROM dr JOIN ix ON ix.i = dr.i GROUP BY rep)
 SELECT ROUND((SELECT {DID} FROM pp), 6) AS estimate, ROUND(quantile_cont(e, 0.025), 6) AS ci_low, ROUND(quantile_cont(e, 0.975), 6) AS ci_high, COUNT(*) AS n_boot, (SELECT n FROM nn) AS n_clusters FROM es""")
 def _(c: Contests):
-    return causal.bootstrap_did(paired(c), n_boot=2000, seed=7).select(
+    return causal.bootstrap_did(paired(c), n_boot=2000, seed=7, chunk=16).select(
         *r6("estimate", "ci_low", "ci_high"), "n_boot", "n_clusters")
 
 

@@ -63,6 +63,33 @@ def test_did_and_balance(spark):
     assert smd == float("inf")
 
 
+def test_bootstrap_draws_like_a_plain_loop_over_chunks(spark):
+    import hashlib
+
+    import numpy as np
+
+    rng = random.Random(9)
+    rows = [(f"c{i % 23:02d}", i % 2, (i // 2) % 2, float(rng.randrange(2))) for i in range(400)]
+    df = spark.createDataFrame(rows, "event_id string, treated int, post int, win double")
+    got = causal.bootstrap_did(df, n_boot=150, seed=3, chunk=5).first()
+    number = lambda *parts: int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+    names = sorted({r[0] for r in rows}, key=lambda k: (hashlib.md5(k.encode()).hexdigest()[:3], k))
+    n, found = len(names), []
+    for r in range(150):
+        chunks = [number(3, r * n + j) % n // 5 for j in range(n)]
+        total = {}
+        for ch in set(chunks):
+            for j in range(1, chunks.count(ch) + 1):
+                own = names[ch * 5 + number(3, r, ch, j) % min(5, n - ch * 5)]
+                for _, t, p, w in (x for x in rows if x[0] == own):
+                    s = total.setdefault((t, p), [0, 0])
+                    s[0], s[1] = s[0] + w, s[1] + 1
+        if all(k in total for k in ((0, 0), (0, 1), (1, 0), (1, 1))):
+            m = {k: v[0] / v[1] for k, v in total.items()}
+            found.append((m[1, 1] - m[1, 0]) - (m[0, 1] - m[0, 0]))
+    assert got["n_boot"] == len(found) and [got["ci_low"], got["ci_high"]] == pytest.approx(np.quantile(found, [0.025, 0.975]).tolist())
+
+
 def test_a_continuous_covariate_has_no_limit_on_its_values(spark):
     n = 21_000
     base = spark.range(n).select(
