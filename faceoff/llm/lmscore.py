@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from faceoff.llm import text as T
 from faceoff.llm.packed import pack, pack_sorted, unpack, unpack_sorted
 
-BLOCK_TEXT = 16 << 20
+BLOCK_TEXT = 10 << 20
 LEAST_BLOCKS = 48
 PART_GRAMS = 4_000_000
 HOLD = 2_000_000
@@ -139,14 +139,16 @@ def _own_counts(column: pa.Array, train: np.ndarray, order: int):
     """Distinct n-grams of a block with its training counts, and where each n-gram occurrence is among them."""
     token, first = tokens(column)
     grams = histories(token, first, order)
-    weight = np.repeat(train, np.diff(first)).astype(np.int64)
     every = np.concatenate([g[ok] for g, ok in grams])
     order_ = np.argsort(every)
-    fresh = np.concatenate([[True], every[order_][1:] != every[order_][:-1]]) if len(every) else np.zeros(0, bool)
-    where = np.empty(len(every), np.int64)
-    where[order_] = np.cumsum(fresh) - 1
-    keys = every[order_][fresh]
-    counts = np.bincount(where, weights=np.concatenate([weight[ok] for _, ok in grams]), minlength=len(keys)).astype(np.int64)
+    every = every[order_]
+    fresh = np.concatenate([[True], every[1:] != every[:-1]]) if len(every) else np.zeros(0, bool)
+    where = np.empty(len(every), np.int32)
+    where[order_] = np.cumsum(fresh, dtype=np.int32) - 1
+    keys = every[fresh]
+    del every, order_, fresh
+    learned = np.repeat(train, np.diff(first))
+    counts = np.bincount(where[np.concatenate([learned[ok] for _, ok in grams])], minlength=len(keys))
     return token, first, grams, keys, counts, where
 
 
@@ -269,7 +271,7 @@ def _traverse(order: int, parts: int, n_train: int, vocabulary: int, texts: int,
             counts[edge[at]:edge[at + 1]] = unpack(c, np.int64)
         lo, number = 0, []
         for _, ok in grams:
-            own = np.full(len(ok), -1)
+            own = np.full(len(ok), -1, np.int32)
             own[ok] = where[lo:lo + int(ok.sum())]
             lo += int(ok.sum())
             number.append(own)
