@@ -13,9 +13,9 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faceoff.functions.scalar import elo_expected, logit, row_log_loss
+from faceoff.functions.scalar import elo_expected, row_log_loss
 from faceoff.functions.tails import t_upper_quantile
-from faceoff.operators import boosting, evaluate
+from faceoff.operators import boosting, calibration, evaluate
 from faceoff.operators.features import feature_matrix
 from faceoff.operators.longform import side_long
 from faceoff.operators.ordering import dense_index, global_position
@@ -101,8 +101,8 @@ def calibrate_per_group(train: DataFrame, test: DataFrame, method: str = "platt"
                         ece_factor: float = ECE_FACTOR) -> tuple[DataFrame, DataFrame]:
     """Calibrate ``p`` per group from train rows (p, label). Returns (test with p_cal, decisions).
 
-    One aggregate decides about every group; only the kept groups are fitted. Groups that were
-    skipped or never seen keep their probability.
+    One aggregate decides about every group; the kept groups are fitted side by side, however many
+    they are. Groups that were skipped or never seen keep their probability.
     """
     if method not in ("isotonic", "platt") or select not in ("all", "overconfident"):
         raise ValueError(f"unknown method or selection: {method!r}, {select!r}")
@@ -113,26 +113,10 @@ def calibrate_per_group(train: DataFrame, test: DataFrame, method: str = "platt"
     if select == "overconfident":
         reason = reason.when(c("group_ece") <= ece_factor * c("overall_ece"), "well-calibrated-on-train")
     decisions = stats.join(per_group, group).crossJoin(overall).select(group, "n", reason.alias("skipped"))
-    kept = sorted(r[group] for r in decisions.where("skipped IS NULL").select(group).limit(1001).collect())
-    if len(kept) > 1000:
-        raise ValueError(f"{group} has more than 1000 values; calibrate on a coarser label")
-    if method == "platt":
-        x = F.array(logit(c("p")))
-        shape = lambda df: df.withColumn("_x", array_to_vector(x))
-    else:
-        shape = lambda df: df
-    parts = [test.where(~c(group).isin(kept) | c(group).isNull()).withColumn("p_cal", c("p"))]
-    for value in kept:
-        rows, asked = shape(train.where(c(group) == value)), shape(test.where(c(group) == value))
-        if method == "platt":
-            fitted = LogisticRegression(featuresCol="_x", labelCol="label", regParam=1.0 / max(rows.count(), 1),
-                                        standardization=False).fit(rows)
-            out = fitted.transform(asked).withColumn("p_cal", _p())
-        else:
-            out = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="p_cal").fit(rows).transform(asked)
-        parts.append(out.select(*test.columns, "p_cal"))
-    joined = reduce(DataFrame.unionByName, parts)
-    return joined.withColumn("p_cal", F.greatest(F.least("p_cal", F.lit(1.0)), F.lit(0.0))), decisions
+    kept = train.join(decisions.where("skipped IS NULL").select(group), group, "left_semi")
+    fitted = (calibration.platt if method == "platt" else calibration.isotonic)(kept, test, group, into="_cal")
+    value = F.coalesce("_cal", "p")
+    return fitted.select(*test.columns, F.greatest(F.least(value, F.lit(1.0)), F.lit(0.0)).alias("p_cal")), decisions
 
 
 def tier_calibration_report(train: DataFrame, test: DataFrame, group: str = "tier") -> DataFrame:

@@ -70,6 +70,45 @@ def _(c: Contests):
     return models.tier_calibration_report(train, test)
 
 
+CALIBRATED = f"""cr AS (SELECT match_id, tier, ROUND(p_t1, 2) AS p, result AS y, datetime < TIMESTAMP '{CUT}' AS train FROM elo),
+ce AS MATERIALIZED (SELECT tier, p, SUM(y) AS s, COUNT(*)::DOUBLE AS n FROM cr WHERE train AND tier IS NOT NULL GROUP BY 1, 2)"""
+
+
+def platt_sql(steps: int = 15) -> str:
+    """Newton steps on the slope and offset of every tier, up to ``w<steps>``."""
+    parts = ["lx AS MATERIALIZED (SELECT tier, ln(p / (1 - p)) AS x, s, n FROM ce)", "w0 AS MATERIALIZED (SELECT DISTINCT tier, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM ce)"]
+    for k in range(1, steps + 1):
+        q = "1 / (1 + exp(-(a * x + b)))"
+        parts.append(f"""g{k} AS MATERIALIZED (SELECT tier, a, b, SUM((s - n * {q}) * x) - a AS ga, SUM(s - n * {q}) AS gb, SUM(n * {q} * (1 - {q}) * x * x) + 1 AS haa, SUM(n * {q} * (1 - {q}) * x) AS hab, SUM(n * {q} * (1 - {q})) AS hbb
+  FROM lx JOIN w{k - 1} USING (tier) GROUP BY tier, a, b)""")
+        parts.append(f"w{k} AS MATERIALIZED (SELECT tier, a + (ga * hbb - gb * hab) / (haa * hbb - hab * hab) AS a, b + (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM g{k})")
+    return ", ".join(parts)
+
+
+def _elo_split(c: Contests):
+    rows = c.replay().select("match_id", "datetime", "tier", F.round("p_t1", 2).alias("p"), c_("result").alias("label"))
+    early = F.col("datetime") < F.lit(CUT).cast(rows.schema["datetime"].dataType)
+    return rows.where(early), rows.where(~early)
+
+
+@query("platt_by_tier", f"""WITH {CALIBRATED}, {platt_sql()}
+SELECT match_id, tier, p, ROUND(COALESCE(1 / (1 + exp(-(a * ln(p / (1 - p)) + b))), p), 6) AS p_cal FROM cr LEFT JOIN w15 USING (tier) WHERE NOT train""")
+def _(c: Contests):
+    train, test = _elo_split(c)
+    return models.calibrate_per_group(train, test, "platt")[0].select("match_id", "tier", "p", *r6("p_cal"))
+
+
+@query("isotonic_by_tier", f"""WITH {CALIBRATED},
+cu AS (SELECT *, SUM(s) OVER o AS cs, SUM(n) OVER o AS cn, ROW_NUMBER() OVER o AS i FROM ce WINDOW o AS (PARTITION BY tier ORDER BY p)),
+mm AS (SELECT a.tier, a.i, b.i AS j, b.p, MIN((b.cs - a.cs + a.s) / (b.cn - a.cn + a.n)) OVER (PARTITION BY a.tier, a.i ORDER BY b.i DESC) AS low FROM cu a JOIN cu b ON a.tier = b.tier AND a.i <= b.i),
+kn AS (SELECT tier, p, MAX(low) AS v FROM mm GROUP BY tier, p)
+SELECT match_id, cr.tier, cr.p, ROUND(COALESCE(CASE WHEN lo.p IS NULL THEN hi.v WHEN hi.p IS NULL OR lo.p = hi.p THEN lo.v ELSE lo.v + (hi.v - lo.v) * (cr.p - lo.p) / (hi.p - lo.p) END, cr.p), 6) AS p_cal
+FROM cr ASOF LEFT JOIN kn lo ON lo.tier = cr.tier AND lo.p <= cr.p ASOF LEFT JOIN kn hi ON hi.tier = cr.tier AND hi.p >= cr.p WHERE NOT cr.train""")
+def _(c: Contests):
+    train, test = _elo_split(c)
+    return models.calibrate_per_group(train, test, "isotonic")[0].select("match_id", "tier", "p", *r6("p_cal"))
+
+
 CUTOFFS = ["1995-06-01", "1998-01-01", "1999-01-01", "2000-01-01", "2001-01-01"]
 
 
