@@ -106,62 +106,108 @@ def eligible_controls(panel: DataFrame, pre: int = 5, post: int = 5, line: Timel
 
 # ---- matched controls -----------------------------------------------------------------------
 # Controls are grouped into cells of equal covariates (per tier) and numbered by time inside a
-# cell. An event knows its insertion point in every cell, so "the d nearest controls on either
-# side" is a lookup of positions: an equi-join, never a pairing of all events with all controls.
-# An event meets only the cells of its tier that have a control in its own or a neighbouring time
-# bucket of ``max_days``; cells are visited in rings of equal covariate distance. A best candidate is final only when it
+# cell. An event knows its insertion point in every cell it has met, so "the d nearest controls on
+# either side" is a lookup of positions: an equi-join, never a pairing of all events with all controls.
+# Cells lie in a grid: per tier and covariate, quantile edges over its distinct values, so that a grid
+# square holds about ``SQUARE`` cells. An event meets the cells of the squares around its own, of those
+# only the ones with a control in its own or a neighbouring time bucket of ``max_days``, and of those only
+# the ones nearer than everything outside these squares: they are its rings of equal covariate distance, complete as far as
+# they go. Who finds nothing there widens its squares outward. A best candidate is final only when it
 # is nearer in days than everything not looked up yet; otherwise the lookup is deepened.
 _DAY = 86_400_000_000
+#: Cells of a grid square, and edges of one covariate in one tier at most.
+SQUARE, EDGES = 64, 1000
 
 
 def _micros(name: str) -> Column:
     return F.unix_micros(F.col(name).cast("timestamp"))
 
 
-def _rings(events: DataFrame, controls: DataFrame, covariates: list[str], same_tier: bool,
-           max_days: int) -> tuple[DataFrame, DataFrame]:
-    """(controls with cell and position, event x cell table with ring number and insertion point)."""
-    key = F.struct(*[F.col(c).cast("double").alias(c) for c in covariates])
-    known = F.lit(True)
-    for c in covariates:
-        known = known & F.col(c).isNotNull()
-    # equal covariate values with different tiers are different cells; a null tier only matters
-    # when the event's own tier is unknown
-    cell = F.concat_ws("|", F.coalesce("tier", F.lit("")), F.to_json(key))
-    pool = controls.where(known).select(
-        F.col("team").alias("c_team"), F.col("match_id").alias("c_match"), F.col("datetime").alias("c_ts"),
-        F.col("tier").alias("c_tier"), F.col("pos").alias("c_pos"), key.alias("c_key"), cell.alias("cell"))
-    pool = with_position(pool, Timeline(("cell",), ("c_ts", "c_team", "c_match")), "cpos")
-    pool = write_and_reread(pool, "match-controls")
-    cells = pool.groupBy("cell", "c_tier", "c_key").agg(F.count("*").alias("n_cell"))
-    bucket = lambda name: F.floor(_micros(name) / (_DAY * (max_days + 1)))
-    dated = pool.select("cell", bucket("c_ts").alias("_bucket")).distinct()
-    # an event without a tier may use every tier: it visits each one, so the join stays an equi-join
-    own = F.array("tier") if same_tier else F.lit(None).cast("array<string>")
-    every = cells.agg(F.collect_set(F.coalesce("c_tier", F.lit(""))).alias("_tiers"))
-    asked = events.where(known).crossJoin(every).select(
-        "event_id", "team", "match_id", "datetime", key.alias("e_key"),
-        F.explode(F.when(F.col("tier").isNotNull() & F.lit(same_tier), own).otherwise(F.col("_tiers"))).alias("_tier"),
-    ).withColumn("_bucket", F.explode(F.array(*[bucket("datetime") + k for k in (-1, 0, 1)])))
-    squares = [F.pow(F.col(f"e_key.{c}") - F.col(f"c_key.{c}"), F.lit(2)) for c in covariates]
-    total = squares[0]
-    for s in squares[1:]:
-        total = total + s
-    keyed = cells.join(dated, "cell").withColumn("_tier", F.coalesce("c_tier", F.lit("")))
-    near = asked.join(keyed, ["_tier", "_bucket"]).drop("_bucket").dropDuplicates(["event_id", "cell"]).withColumn(
-        "distance", F.sqrt(total / len(squares)))
-    from pyspark.sql import Window
-
-    ringed = near.withColumn("ring", F.dense_rank().over(Window.partitionBy("event_id").orderBy("distance")))
-    # insertion point: how many controls of the cell lie before the event
-    marks = ringed.select("cell", F.col("datetime").alias("ts"), F.lit(1).alias("kind"), "event_id", F.lit(0).alias("one"))
-    steps = pool.select("cell", F.col("c_ts").alias("ts"), F.lit(0).alias("kind"),
-                        F.lit(None).cast("string").alias("event_id"), F.lit(1).alias("one"))
-    placed = prior_totals(steps.unionByName(marks), Timeline(("cell",), ("ts", "kind", "event_id")),
-                          {"at": ("sum", F.col("one"))}).where("kind = 1").select("cell", "event_id", "at")
-    rings = ringed.join(placed, ["cell", "event_id"]).select(
-        "event_id", F.col("ring").alias("ring_no"), "cell", "distance", "at", "n_cell")
-    return pool, write_and_reread(rings, "match-rings")
+class _Rings:
+    """The cells around every event, met ring by ring outward."""
+
+    def __init__(self, events: DataFrame, controls: DataFrame, covariates: list[str], same_tier: bool, max_days: int) -> None:
+        self.covariates, self.n = covariates, len(covariates)
+        key = F.struct(*[F.col(c).cast("double").alias(c) for c in covariates])
+        known = F.lit(True)
+        for c in covariates:
+            known = known & F.col(c).isNotNull()
+        # equal covariate values with different tiers are different cells; a null tier only matters
+        # when the event's own tier is unknown
+        cell = F.concat_ws("|", F.coalesce("tier", F.lit("")), F.to_json(key))
+        pool = controls.where(known).select(
+            F.col("team").alias("c_team"), F.col("match_id").alias("c_match"), F.col("datetime").alias("c_ts"),
+            F.coalesce("tier", F.lit("")).alias("_tier"), F.col("pos").alias("c_pos"), key.alias("c_key"), cell.alias("cell"))
+        pool = with_position(pool, Timeline(("cell",), ("c_ts", "c_team", "c_match")), "cpos")
+        self.pool = write_and_reread(pool, "match-controls")
+        cells = self.pool.groupBy("cell", "_tier", "c_key").agg(F.count("*").alias("n_cell"))
+        grid = write_and_reread(self._grid(cells), "match-grid")
+        bucket = lambda name: F.floor(_micros(name) / (_DAY * (max_days + 1)))
+        dated = self.pool.select("cell", bucket("c_ts").alias("_bucket")).distinct()
+        self.cells = write_and_reread(cells.join(dated, "cell").join(grid, "_tier").select(
+            "cell", "_tier", "c_key", "n_cell", "_bucket", *[self._bin("c_key", i).alias(f"_g{i}") for i in range(self.n)]), "match-cells")
+        # an event without a tier may use every tier: it visits each one, so the join stays an equi-join
+        own = F.array("tier") if same_tier else F.lit(None).cast("array<string>")
+        every = grid.agg(F.collect_set("_tier").alias("_tiers"))
+        asked = events.where(known).crossJoin(every).select(
+            "event_id", "team", "match_id", "datetime", key.alias("e_key"),
+            F.explode(F.when(F.col("tier").isNotNull() & F.lit(same_tier), own).otherwise(F.col("_tiers"))).alias("_tier"))
+        self.asked = write_and_reread(asked.withColumn("_bucket", bucket("datetime")).join(grid, "_tier"), "match-asked")
+
+    def _grid(self, cells: DataFrame) -> DataFrame:
+        """Quantile edges per tier and covariate."""
+        probs = [i / EDGES for i in range(1, EDGES)]
+        found = cells.groupBy("_tier").agg(F.count("*").alias("_n"), *[
+            F.percentile_approx(F.col("c_key")[c], probs, 10_000).alias(f"_q{i}") for i, c in enumerate(self.covariates)])
+        bins = F.least(F.lit(EDGES), F.ceil(F.pow(F.col("_n") / SQUARE, F.lit(1.0 / self.n)))).cast("int")
+        steps = F.when(bins > 1, F.sequence(F.lit(1), bins - 1)).otherwise(F.array().cast("array<int>"))
+
+        def edges(quantiles: str) -> Column:
+            return F.array_distinct(F.transform(steps, lambda k: F.get(quantiles, (F.floor(k * EDGES / bins) - 1).cast("int"))))
+
+        return found.select("_tier", *[edges(f"_q{i}").alias(f"_e{i}") for i in range(self.n)])
+
+    def _bin(self, key: str, i: int) -> Column:
+        return F.size(F.filter(f"_e{i}", lambda x: x <= F.col(key)[self.covariates[i]]))
+
+    def meet(self, waiting: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+        """Rings of (event_id, known, last) events out to ``radius`` squares, and (event_id, known, last) from then on.
+
+        ``known`` is the distance below which all cells have been met, ``last`` the number of rings so far.
+        """
+        asked = self.asked.join(waiting, "event_id")
+        reach = None
+        for i, c in enumerate(self.covariates):
+            v, at, edges = F.col("e_key")[c], self._bin("e_key", i), F.col(f"_e{i}")
+            below = F.when(at - radius > 0, v - F.get(edges, at - radius - 1)).otherwise(float("inf"))
+            above = F.when(at + radius < F.size(edges), F.get(edges, at + radius) - v).otherwise(float("inf"))
+            side = F.least(below, above)
+            reach = side if reach is None else F.least(reach, side)
+            asked = asked.withColumn(f"_g{i}", F.explode(F.sequence(F.greatest(F.lit(0), at - radius), F.least(F.size(edges), at + radius))))
+        asked = asked.withColumn("_reach", reach / F.sqrt(F.lit(float(self.n))))
+        limits = asked.groupBy("event_id", "known", "last").agg(F.min("_reach").alias("_limit"))
+        squares = [F.pow(F.col("e_key")[c] - F.col("c_key")[c], F.lit(2)) for c in self.covariates]
+        total = squares[0]
+        for q in squares[1:]:
+            total = total + q
+        near = asked.withColumn("_bucket", F.explode(F.array(*[F.col("_bucket") + k for k in (-1, 0, 1)]))).join(
+            self.cells, ["_tier", "_bucket", *[f"_g{i}" for i in range(self.n)]]).select(
+            "event_id", "datetime", "cell", "n_cell", F.sqrt(total / self.n).alias("distance")).dropDuplicates(["event_id", "cell"])
+        near = near.join(limits, "event_id").where((F.col("distance") >= F.col("known")) & (F.col("distance") < F.col("_limit")))
+        from pyspark.sql import Window
+
+        ringed = near.withColumn("ring_no", F.col("last") + F.dense_rank().over(Window.partitionBy("event_id").orderBy("distance")))
+        ringed = write_and_reread(ringed.select("event_id", "datetime", "cell", "n_cell", "distance", "ring_no"), "match-near")
+        # insertion point: how many controls of the cell lie before the event
+        marks = ringed.select("cell", F.col("datetime").alias("ts"), F.lit(1).alias("kind"), "event_id", F.lit(0).alias("one"))
+        steps = self.pool.join(ringed.select("cell").distinct(), "cell", "left_semi").select(
+            "cell", F.col("c_ts").alias("ts"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("event_id"), F.lit(1).alias("one"))
+        placed = prior_totals(steps.unionByName(marks), Timeline(("cell",), ("ts", "kind", "event_id")),
+                              {"at": ("sum", F.col("one"))}).where("kind = 1").select("cell", "event_id", "at")
+        rings = write_and_reread(ringed.join(placed, ["cell", "event_id"]).select("event_id", "ring_no", "cell", "distance", "at", "n_cell"), "match-rings")
+        ends = ringed.groupBy("event_id").agg(F.max("ring_no").alias("_end"))
+        after = limits.join(ends, "event_id", "left").select("event_id", F.col("_limit").alias("known"), F.coalesce("_end", "last").cast("int").alias("last"))
+        return rings, write_and_reread(after, "match-reach")
 
 
 def _propose(active: DataFrame, pool: DataFrame, rings: DataFrame, taken: DataFrame | None, max_days: int) -> DataFrame:
@@ -237,12 +283,14 @@ def nearest_control_greedy(events: DataFrame, controls: DataFrame, covariates: l
 
 
 def _match(events, controls, covariates, max_days, same_tier, replace) -> DataFrame:
-    pool, rings = _rings(events, controls, covariates, same_tier, max_days)
+    near = _Rings(events, controls, covariates, same_tier, max_days)
     active = write_and_reread(_start(events), "match-active")
+    radius = 1
+    rings, reach = near.meet(active.select("event_id", F.lit(0.0).alias("known"), F.lit(0).alias("last")), radius)
     held: DataFrame | None = None
     state_columns = active.columns
     while True:
-        step = write_and_reread(_propose(active, pool, rings, None if replace else held, max_days), "match-step")
+        step = write_and_reread(_propose(active, near.pool, rings, None if replace else held, max_days), "match-step")
         offers = step.where("final").select(*state_columns, "best.*")
         if replace:
             held = offers if held is None else held.unionByName(offers)
@@ -255,12 +303,27 @@ def _match(events, controls, covariates, max_days, same_tier, replace) -> DataFr
             kept = write_and_reread(kept, "match-held")
             lost = everyone.join(kept.select("event_id"), "event_id", "left_anti").select(*state_columns)
             held = kept
-        retry = step.where(~F.col("final") & (F.col("next_ring") <= F.col("last_ring"))).select(
+        inside = F.coalesce(F.col("next_ring") <= F.col("last_ring"), F.lit(False))
+        open_ = step.where(~F.col("final"))
+        following = open_.where(inside).select(
             *[F.col({"ring": "next_ring", "depth": "next_depth", "span": "next_span"}.get(c, c)).alias(c) for c in state_columns])
-        following = retry if lost is None else retry.unionByName(lost)
-        active = write_and_reread(following, "match-active")
-        if active.isEmpty():
+        if lost is not None:
+            following = following.unionByName(lost)
+        # who found nothing in its rings widens its squares
+        beyond = open_.where(~inside).join(reach.where(F.col("known") < float("inf")), "event_id").select(
+            *[(F.col("last") + 1).alias(c) if c == "ring" else F.lit(4).alias(c) if c == "span" else F.lit(16).alias(c) if c == "depth" else F.col(c)
+              for c in state_columns], F.lit(True).alias("waits"))
+        active = write_and_reread(following.withColumn("waits", F.lit(False)).unionByName(beyond), "match-active")
+        left = active.groupBy("waits").count().collect()
+        if not left:
             return _pair_columns(held)
+        if any(r["waits"] for r in left):
+            radius = 2 * radius + 1
+            waiting = active.where("waits").select("event_id").join(reach, "event_id")
+            more, after = near.meet(waiting, radius)
+            rings = rings.unionByName(more)
+            reach = write_and_reread(reach.join(after.select("event_id"), "event_id", "left_anti").unionByName(after), "match-reach")
+        active = active.drop("waits")
 
 
 def paired_event_panel(panel: DataFrame, windows: DataFrame, pairs: DataFrame, pre: int = 5, post: int = 5) -> DataFrame:

@@ -35,8 +35,9 @@ def serial(events, controls, covariates, replace):
     return out
 
 
-@pytest.mark.parametrize("seed,covariates,replace", [(1, [6], False), (2, [6, 7], False), (3, [6], True)])
-def test_matching_equals_the_serial_loop(spark, seed, covariates, replace):
+@pytest.mark.parametrize("seed,covariates,replace,square", [(1, [6], False, 64), (2, [6, 7], False, 1), (3, [6], True, 1)])
+def test_matching_equals_the_serial_loop(spark, monkeypatch, seed, covariates, replace, square):
+    monkeypatch.setattr(causal, "SQUARE", square)
     events, controls = instance(seed)
     names = ["pre_stable_matches" if k == 6 else "wins" for k in covariates]
     fn = causal.nearest_control if replace else causal.nearest_control_greedy
