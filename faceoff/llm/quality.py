@@ -6,9 +6,9 @@ A text's score is its mean log ratio trusted / raw per n-gram; n-grams typical o
 counts and rare among trusted texts. A document is kept if it passes the fixed rules and its score reaches
 the threshold, which is fitted once on labelled documents and is then the same for every document.
 
-Bounds. Trusted documents, and the labelled ones the threshold is fitted on, are the ``sample`` (20,000)
-labelled rows per class that come first by a hash of doc_id. Raw counts cover all documents. A model is
-``BUCKETS`` numbers and a threshold, whatever the input.
+Bounds. Every trusted document is counted and every labelled one helps to place the threshold: labels are joined to
+the texts, counts fit in ``BUCKETS`` buckets, scores in steps of 1 / ``STEPS``. A model is ``BUCKETS`` numbers and a
+threshold, whatever the input.
 
 Edge cases. Null or empty text: no words, which fails the fixed rules. A text shorter than one n-gram has
 score 0. Null labels are ignored; a doc_id labelled twice differently is ignored. Without labels of both
@@ -29,6 +29,8 @@ from faceoff.llm import text as T
 
 GRAM = 4
 BUCKETS = 1 << 15
+#: Steps of a score of 1, in which the labelled documents are counted.
+STEPS = 10_000
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -63,7 +65,11 @@ def _edges(size: np.ndarray) -> np.ndarray:
 
 def _scores(block: T.Block, ratio: np.ndarray) -> np.ndarray:
     bucket, size = _grams(block)
-    return T.sums(ratio[bucket], _edges(size)) / np.maximum(size, 1)
+    out, some = np.zeros(len(size)), size > 0
+    if some.any():
+        # a text's sum does not depend on its neighbours
+        out[some] = np.add.reduceat(ratio[bucket], _edges(size)[:-1][some]) / size[some]
+    return out
 
 
 def _repeated(owner: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -107,61 +113,49 @@ def _base_failed(m: dict[str, np.ndarray]) -> np.ndarray:
     return (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
 
 
-def _counter(trusted: np.ndarray, text: str, key: str):
-    def count(batches):
-        raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            ids = np.asarray(batch.column(key).fill_null(-1))
-            chosen = np.isin(ids, trusted) & ~np.asarray(batch.column(key).is_null())
-            for block in T.blocks(batch.column(text)):
-                bucket, size = _grams(block)
-                raw += np.bincount(bucket, minlength=BUCKETS)
-                mine = np.repeat(chosen[block.lo:block.hi], size)
-                good += np.bincount(bucket[mine], minlength=BUCKETS)
-        some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(good[some])], ["bucket", "raw", "good"])
-    return count
+def _counter(batches):
+    raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        chosen = np.asarray(batch.column("_y").fill_null(0)) == 1
+        for block in T.blocks(batch.column("_t")):
+            bucket, size = _grams(block)
+            raw += np.bincount(bucket, minlength=BUCKETS)
+            mine = np.repeat(chosen[block.lo:block.hi], size)
+            good += np.bincount(bucket[mine], minlength=BUCKETS)
+    some = np.flatnonzero(raw)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(good[some])], ["bucket", "raw", "good"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality",
-        sample: int = 20_000) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality") -> QualityModel:
     """Count both multinomials over the corpus and place the threshold."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("_k"), F.col(text).cast("string").alias("_t"))
     marked = (labels.select(F.col(key).cast("long").alias("_k"), F.col(label).cast("int").alias("_y"))
               .where("_k is not null and _y in (0, 1)").groupBy("_k").agg(F.min("_y").alias("_y"), F.max("_y").alias("_z"))
               .where("_y = _z").select("_k", "_y"))
-    chosen = {y: np.array([r[0] for r in marked.where(F.col("_y") == y).orderBy(F.xxhash64("_k"), "_k").limit(sample)
-                           .select("_k").collect()], np.int64) for y in (0, 1)}
-    counts = (rows.mapInArrow(_counter(chosen[1], "_t", "_k"), "bucket long, raw long, good long")
+    counts = (rows.join(marked, "_k", "left").select("_t", "_y").mapInArrow(_counter, "bucket long, raw long, good long")
               .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect())
     raw, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in counts:
         raw[r["bucket"]], good[r["bucket"]] = r["raw"], r["good"]
-    if not len(chosen[0]) or not good.sum():
+    if not good.sum():
         return QualityModel(np.zeros(BUCKETS), -np.inf)
     ratio = np.log((good + 1) / (good.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
-    wanted = spark.createDataFrame([(int(k), y) for y, ids in chosen.items() for k in ids], "_k long, _y int")
-    judged = (rows.join(F.broadcast(wanted), "_k").select(F.col("_k").alias("doc_id"), "_y", F.col("_t").alias("text"))
+    judged = (rows.join(marked, "_k").select("_y", F.col("_t").alias("text"))
               .mapInArrow(_judge(QualityModel(ratio, -np.inf), ["_y"]), "_y int, base_failed boolean, score double")
-              .where("not base_failed").select("_y", "score").collect())
-    return QualityModel(ratio, _threshold(np.array([r[0] for r in judged]), np.array([r[1] for r in judged])))
+              .where("not base_failed").groupBy(F.floor(F.col("score") * STEPS).alias("step")).agg(
+                  F.count_if(F.col("_y") == 1).alias("good"), F.count_if(F.col("_y") == 0).alias("bad")).orderBy("step").collect())
+    return QualityModel(ratio, _threshold(*(np.array([r[c] for r in judged], np.int64) for c in ("step", "good", "bad"))))
 
 
-def _threshold(y: np.ndarray, score: np.ndarray) -> float:
-    """The cut with the least weighted error; the middle of the gap that it lies in."""
-    if not (y == 0).any() or not (y == 1).any():
+def _threshold(step: np.ndarray, good: np.ndarray, bad: np.ndarray) -> float:
+    """The cut between score steps with the least weighted error; the middle of the gap that it lies in."""
+    if not good.sum() or not bad.sum():
         return -np.inf
-    order = np.argsort(score, kind="stable")
-    y, score = y[order], score[order]
-    below_good = np.concatenate([[0], np.cumsum(y == 1)]) / (y == 1).sum()
-    below_bad = np.concatenate([[0], np.cumsum(y == 0)]) / (y == 0).sum()
-    cost = TRUST_WEIGHT * below_good + 1 - below_bad
-    edge = np.concatenate([[True], score[1:] > score[:-1], [True]])        # equal scores are never parted
-    at = int(np.flatnonzero(edge)[np.argmin(cost[edge])])
+    below_good, below_bad = (np.concatenate([[0], np.cumsum(n)]) / n.sum() for n in (good, bad))
+    at = int(np.argmin(TRUST_WEIGHT * below_good + 1 - below_bad))
     if at == 0:
         return -np.inf
-    return float(score[-1] if at == len(score) else (score[at - 1] + score[at]) / 2)
+    return float((step[-1] + 1 if at == len(step) else (step[at - 1] + 1 + step[at]) / 2) / STEPS)
 
 
 def _judge(model: QualityModel, carry: list[str], measures: bool = False):

@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,3 +55,26 @@ def test_keep_is_measure_applied(odd, labels):
 def test_empty_tables(none, labels):
     model = quality.fit(none, labels)
     assert quality.measure(none, model).count() == 0 and quality.keep(none, model).count() == 0
+
+
+def test_ratio_and_threshold_equal_plain_counting_of_all_labelled_texts(odd, odd_rows, spark):
+    marks = [(r[0], 1 if r[0] % 3 else 0) for r in odd_rows if r[0] != 13] + [(13, 0), (13, 1), (None, 1), (17, None)]
+    model = quality.fit(odd.withColumn("_y", F.lit(1)).withColumn("step", F.lit("x")), spark.createDataFrame(marks, "doc_id long, quality int"))
+    agreed = {k: y for k, y in marks if k is not None and y is not None and k != 13}
+
+    def grams(text):
+        raw = (text or "").encode()
+        return [(int.from_bytes(raw[i:i + 4], "little") * 2654435761 % 2**32) >> 17 for i in range(len(raw) - 3)]
+
+    raw, good = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    for k, t, *_ in odd_rows:
+        for b in grams(t):
+            raw[b] += 1
+            good[b] += agreed.get(k) == 1
+    ratio = np.log((good + 1) / (good.sum() + quality.BUCKETS)) - np.log((raw + 1) / (raw.sum() + quality.BUCKETS))
+    assert np.allclose(model.ratio, ratio)
+    scored = [(np.mean([ratio[b] for b in grams(t)]), agreed[k]) for k, t, *_ in odd_rows if k in agreed and not plain(t)[-1]]
+    n = [sum(y == v for _, y in scored) for v in (0, 1)]
+    cost = lambda cut: quality.TRUST_WEIGHT * sum(y and s < cut for s, y in scored) / n[1] + sum(not y and s >= cut for s, y in scored) / n[0]
+    best = min(cost(c) for c in [-np.inf, *(s + 1e-12 for s, _ in scored)])
+    assert min(n) and cost(model.threshold) <= best + 1e-9
