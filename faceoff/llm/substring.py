@@ -24,8 +24,8 @@ Results. ``duplicate_factors``: key, start, length (words), ref_key, ref_start.
 documents with kept words joined by one space where something was removed. ``digest``: counts and a hash.
 
 Edge cases. Null or empty text: no words, nothing removed. Fewer than ``window`` words: nothing removed. Null
-keys come after all others in no order among them, so their texts never are a reference for each other, only
-use others'. Rows that share a key begin at the same place: neither is earlier than the other at equal starts.
+keys come after all others in no order among them, so their texts never are a reference for each other; they
+use others' and, for a passage no row with a key has, their own earlier places. The largest long is read as a null key. Rows that share a key begin at the same place: neither is earlier than the other at equal starts.
 Empty tables give empty results. Extra columns pass through ``remove_duplicates`` and are not read elsewhere.
 """
 
@@ -191,6 +191,13 @@ def _earlier(blocks: int):
         group, first, k, place, r = _occurrences(table)
         ref_key, ref_start = k[first][group], place[first][group]
         hit = (ref_key != LAST) & ((k > ref_key) | (place > ref_start))
+        # no row with a key has it: rows without one are each their own reference
+        own = np.flatnonzero(ref_key == LAST)
+        own = own[np.lexsort((place[own], r[own], group[own]))]
+        start = np.ones(len(own), bool)
+        start[1:] = (group[own][1:] != group[own][:-1]) | (r[own][1:] != r[own][:-1])
+        ref_start[own] = place[own[np.flatnonzero(start)[np.cumsum(start) - 1]]] if len(own) else ref_start[own]
+        hit[own] = place[own] > ref_start[own]
         return _sent(r[hit], place[hit], ref_key[hit], ref_start[hit], blocks)
     return run
 
@@ -267,7 +274,8 @@ def duplicate_factors(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     by_block, hits = _parse(docs, key, text, [text], window)
     out = by_block.cogroup(hits.groupBy("block")).applyInArrow(
         _list_factors(window), "k long, start long, length long, ref_key long, ref_start long")
-    return out.select(F.when(F.col("k") != LAST, F.col("k")).alias(key), "start", "length", "ref_key", "ref_start")
+    return out.select(F.when(F.col("k") != LAST, F.col("k")).alias(key), "start", "length", F.when(F.col("ref_key") != LAST, F.col("ref_key")).alias("ref_key"),
+                      "ref_start")
 
 
 def digest(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 20) -> DataFrame:

@@ -73,5 +73,16 @@ def test_null_keys_and_repeated_rows(spark):
     assert got_rows == [("4", 30, 0), ("4", 30, 0), ("4", 31, 30), ("None", 30, 30), ("None", 30, 30)]
 
 
+def test_a_row_without_key_repeats_itself(spark):
+    t = " ".join(f"t{i}" for i in range(25))
+    rows = [(5, f"{t} {t}"), (None, " ".join(f"u{i}" for i in range(25)) + " " + " ".join(f"u{i}" for i in range(25))),
+            (None, "x " + " ".join(f"u{i}" for i in range(25)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in substring.digest(docs).collect())
+    assert got == [("5", 50, 25), ("None", 26, 0), ("None", 50, 25)]
+    factors = sorted((str(r["doc_id"]), r["start"], r["length"], r["ref_key"], r["ref_start"]) for r in substring.duplicate_factors(docs).collect())
+    assert factors == [("5", 25, 25, 5, 0), ("None", 25, 25, None, 0)]
+
+
 def test_empty(none):
     assert substring.digest(none).count() == 0 and substring.remove_duplicates(none).count() == 0
