@@ -43,6 +43,31 @@ def _answers(out: DataFrame, tier: int) -> DataFrame:
                       F.when(single, "ok").otherwise("ambiguous").alias("status"), "n_matches")
 
 
+def _loose(keyed: DataFrame, sheet: DataFrame) -> DataFrame:
+    """Requests whose key lies inside an alias, or all of whose words are words of it: resolved, _ids, n_matches.
+
+    Aliases are summed up per fragment before any request meets them, so a request of one letter costs one row. Words in another
+    order than the alias's can only add matches for keys of several words: these read the postings of their rarest word,
+    compare the others there, and count what no fragment has counted.
+    """
+    lengths = keyed.select(F.length("_key").alias("n")).distinct()
+    fragments = _substrings(sheet, "_alias", lengths).groupBy("_part").agg(
+        F.min("canonical").alias("resolved"), F.countDistinct("canonical").alias("n_matches"))
+    inside = keyed.join(fragments, c("_key") == c("_part")).select("request", "resolved", "n_matches")
+    words: Column = F.array_distinct(F.split("_key", " "))
+    postings = sheet.withColumn("_have", F.array_distinct(F.split("_alias", " "))).withColumn("_word", F.explode("_have"))
+    common = postings.groupBy("_word").agg(F.count("*").alias("_n"))
+    several = keyed.withColumn("_want", words).where(F.contains("_key", F.lit(" "))).withColumn("_word", F.explode("_want"))
+    rarest = several.join(common, "_word").groupBy("request", "_key", "_want").agg(
+        F.min_by("_word", F.struct("_n", "_word")).alias("_word"), F.count("*").alias("_known")).where(F.size("_want") == c("_known"))
+    met = rarest.join(postings, "_word").where(F.forall("_want", lambda w: F.array_contains("_have", w))).select("request", "_key", "canonical").distinct()
+    own = sheet.groupBy("canonical").agg(F.collect_set("_alias").alias("_all"))      # a name's own aliases
+    apart = met.join(own, "canonical").where(~F.exists("_all", lambda a: F.contains(a, c("_key")))).groupBy("request").agg(
+        F.min("canonical").alias("resolved"), F.count("*").alias("n_matches"))
+    return inside.unionByName(apart).groupBy("request").agg(F.min("resolved").alias("resolved"), F.sum("n_matches").alias("n_matches")).withColumn(
+        "_ids", c("n_matches"))
+
+
 def resolve_names(requests: DataFrame, names: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """request -> (resolved, status ok / ambiguous / missing, tier, n_matches).
 
@@ -68,14 +93,7 @@ def resolve_names(requests: DataFrame, names: DataFrame, aliases: DataFrame | No
         keyed = asked.withColumn("_key", name_key(c("request"))).where("_key <> ''")
         sheet = aliases.select("canonical", name_key(c("alias")).alias("_alias")).distinct()
         tiers.append(_outcome(keyed.join(sheet, c("_key") == c("_alias")), 5, "canonical", "canonical"))
-        key_lengths = keyed.select(F.length("_key").alias("n")).distinct()
-        inside = keyed.join(_substrings(sheet, "_alias", key_lengths), c("_key") == c("_part")).select("request", "canonical")
-        words: Column = F.array_distinct(F.split("_key", " "))
-        asked_words = keyed.select("request", F.size(words).alias("_want"), F.explode(words).alias("_word"))
-        alias_words = sheet.select("canonical", "_alias", F.explode(F.array_distinct(F.split("_alias", " "))).alias("_word"))
-        all_words = asked_words.join(alias_words, "_word").groupBy("request", "canonical", "_alias", "_want").agg(
-            F.count("*").alias("_got")).where("_got = _want").select("request", "canonical")
-        tiers.append(_outcome(inside.unionByName(all_words).distinct(), 6, "canonical", "canonical"))
+        tiers.append(_answers(_loose(keyed, sheet), 6))
     first = reduce(DataFrame.unionByName, tiers).groupBy("request").agg(
         F.min_by(F.struct("tier", "resolved", "status", "n_matches"), "tier").alias("_o"))
     return asked.select("request").join(first, "request", "left").select(

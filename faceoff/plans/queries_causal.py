@@ -153,13 +153,17 @@ def _(c: Contests):
         *r6("lead_minus_one", "max_abs_lead_difference"), "passes_screen")
 
 
-@query("bootstrap_did", f"""WITH {PAIRED},
-cl AS (SELECT event_id, {", ".join(f"COALESCE(SUM(win) FILTER (WHERE treated = {t} AND {w}), 0) AS s{i}, COUNT(win) FILTER (WHERE treated = {t} AND {w}) AS n{i}" for i, (t, w) in enumerate(((1, "rel < 0"), (1, "rel >= 0"), (0, "rel < 0"), (0, "rel >= 0"))))} FROM pp GROUP BY 1),
+def bootstrap_sql(chunk: int) -> str:
+    """Common table expressions up to ``es``: one estimate per replicate."""
+    return f"""cl AS (SELECT event_id, {", ".join(f"COALESCE(SUM(win) FILTER (WHERE treated = {t} AND {w}), 0) AS s{i}, COUNT(win) FILTER (WHERE treated = {t} AND {w}) AS n{i}" for i, (t, w) in enumerate(((1, "rel < 0"), (1, "rel >= 0"), (0, "rel < 0"), (0, "rel >= 0"))))} FROM pp GROUP BY 1),
 ix AS (SELECT *, ROW_NUMBER() OVER (ORDER BY substr(md5(event_id), 1, 3), event_id) - 1 AS i, COUNT(*) OVER () AS n FROM cl),
 nn AS (SELECT COUNT(*) AS n FROM cl),
-sh AS (SELECT id // n AS rep, (('0x' || substr(md5('7:' || id), 1, 8))::BIGINT % n) // 16 AS ch, n, COUNT(*) AS m FROM (SELECT unnest(range(2000 * n)) AS id, n FROM nn) GROUP BY ALL),
-dr AS (SELECT rep, ch * 16 + ('0x' || substr(md5('7:' || rep || ':' || ch || ':' || j), 1, 8))::BIGINT % least(16, n - ch * 16) AS i FROM (SELECT rep, ch, n, unnest(range(1, m + 1)) AS j FROM sh)),
-es AS (SELECT rep, (SUM(s1) / SUM(n1) - SUM(s0) / SUM(n0)) - (SUM(s3) / SUM(n3) - SUM(s2) / SUM(n2)) AS e FROM dr JOIN ix ON ix.i = dr.i GROUP BY rep)
+sh AS (SELECT id // n AS rep, (('0x' || substr(md5('7:' || id), 1, 8))::BIGINT % n) // {chunk} AS ch, n, COUNT(*) AS m FROM (SELECT unnest(range(2000 * n)) AS id, n FROM nn) GROUP BY ALL),
+dr AS (SELECT rep, ch * {chunk} + ('0x' || substr(md5('7:' || rep || ':' || ch || ':' || j), 1, 8))::BIGINT % least({chunk}, n - ch * {chunk}) AS i FROM (SELECT rep, ch, n, unnest(range(1, m + 1)) AS j FROM sh)),
+es AS (SELECT rep, (SUM(s1) / SUM(n1) - SUM(s0) / SUM(n0)) - (SUM(s3) / SUM(n3) - SUM(s2) / SUM(n2)) AS e FROM dr JOIN ix ON ix.i = dr.i GROUP BY rep)"""
+
+
+@query("bootstrap_did", f"""WITH {PAIRED}, {bootstrap_sql(16)}
 SELECT ROUND((SELECT {DID} FROM pp), 6) AS estimate, ROUND(quantile_cont(e, 0.025), 6) AS ci_low, ROUND(quantile_cont(e, 0.975), 6) AS ci_high, COUNT(*) AS n_boot, (SELECT n FROM nn) AS n_clusters FROM es""")
 def _(c: Contests):
     return causal.bootstrap_did(paired(c), n_boot=2000, seed=7, chunk=16).select(
@@ -176,11 +180,16 @@ def _(c: Contests):
         "covariate", "treated_n", "control_n", *r6("treated_mean", "control_mean", "smd"))
 
 
-@query("roster_study")
+@query("roster_study", f"""WITH {PAIRED}, {STUDY}, {bootstrap_sql(4096)}
+SELECT (SELECT ROUND({DID}, 6) FROM pp) AS estimate, (SELECT COUNT(*) FILTER (WHERE treated = 1) FROM pp) AS n_treated, (SELECT COUNT(*) FILTER (WHERE treated = 0) FROM pp) AS n_control,
+(SELECT ROUND(quantile_cont(e, 0.025), 6) FROM es) AS ci_low, (SELECT ROUND(quantile_cont(e, 0.975), 6) FROM es) AS ci_high, (SELECT n FROM nn) AS n_clusters,
+ROUND(MAX(t - k) FILTER (WHERE rel = -1), 6) AS lead_minus_one, ROUND(MAX(ABS(t - k)) FILTER (WHERE rel < 0), 6) AS max_abs_lead_difference,
+MAX(ABS(t - k)) FILTER (WHERE rel < 0) <= 0.10 AS passes_screen FROM st""")
 def _(c: Contests):
     out = causal.roster_study(with_lineups(c), n_boot=2000, seed=7)
-    return out["did"].select("estimate", "n_treated", "n_control").crossJoin(
-        out["bootstrap"].select("ci_low", "ci_high", "n_clusters")).crossJoin(out["pretrend"])      # one-row frames
+    return out["did"].select(*r6("estimate"), "n_treated", "n_control").crossJoin(
+        out["bootstrap"].select(*r6("ci_low", "ci_high"), "n_clusters")).crossJoin(
+        out["pretrend"].select(*r6("lead_minus_one", "max_abs_lead_difference"), "passes_screen"))      # one-row frames
 
 
 GAPS = """gp AS (SELECT l.match_id, l.team, l.datetime, l.tier, l.win - f AS y, prior, CASE WHEN r >= 30 THEN 'treated' WHEN r <= 14 THEN 'control' END AS grp FROM (

@@ -117,3 +117,22 @@ def test_repeated_look_up_ids_do_not_multiply_rows(spark):
     out = adapters.adapt_long_stats(overview, infos, people, ids).collect()
     assert len(out) == 1
     assert (out[0]["score1_game"], out[0]["games_played"], out[0]["tournament"]) == (16, 1, "new-2020-01-01") and "new" in out[0]["team1_player4"]
+
+
+def test_loose_names_equal_plain_matching(spark):
+    import random
+
+    from faceoff.operators.names import _loose
+
+    rng = random.Random(6)
+    parts = ["a", "ab", "bo", "cab", "do"]
+    sheet = sorted({(f"N{rng.randrange(12)}", " ".join(rng.choice(parts) for _ in range(rng.randrange(1, 4)))) for _ in range(60)})
+    asks = sorted({" ".join(rng.choice([*parts, "b", "zz"]) for _ in range(rng.randrange(1, 4))) for _ in range(40)})
+    keyed = spark.createDataFrame([(f"r{i}", a) for i, a in enumerate(asks)], "request string, _key string")
+    got = {r["request"]: (r["resolved"], r["_ids"], r["n_matches"]) for r in _loose(keyed, spark.createDataFrame(sheet, "canonical string, _alias string")).collect()}
+    want = {}
+    for i, a in enumerate(asks):
+        hit = {n for n, alias in sheet if a in alias or set(a.split(" ")) <= set(alias.split(" "))}
+        if hit:
+            want[f"r{i}"] = (min(hit), len(hit), len(hit))
+    assert got == want
