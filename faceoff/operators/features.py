@@ -133,6 +133,22 @@ def leakage_guard(names: list[str], extra: list[str] = ()) -> None:
             raise LeakageError(f"feature {name!r} is not on the pre-match allowlist")
 
 
+def leakage_report(rows: DataFrame, key: str = "match_id") -> DataFrame:
+    """What the guard says of every column of a table: feature, verdict (pre_match, post_outcome, not_listed), values known."""
+    names = [n for n in rows.columns if n != key]
+    counts = rows.agg(*[F.count(F.col(f"`{n}`")).alias(f"n{i}") for i, n in enumerate(names)])
+
+    def verdict(name: str) -> str:
+        try:
+            leakage_guard([], [name])
+        except LeakageError:
+            return "post_outcome" if name in FORBIDDEN_FEATURES else "not_listed"
+        return "pre_match"
+
+    return counts.select(F.inline(F.array(*[
+        F.struct(F.lit(n).alias("feature"), F.lit(verdict(n)).alias("verdict"), F.col(f"n{i}").alias("n_values")) for i, n in enumerate(names)])))
+
+
 def feature_columns(store: DataFrame, extra: list[str] = (), tiers: list[str] | None = None) -> tuple[DataFrame, list[str]]:
     """The store with one-hot tier columns, and the ordered list of model inputs.
 

@@ -209,6 +209,17 @@ def _(c: Contests):
     return features.feature_summary(store(c), list(NUMERIC)).select("feature", *r6("mean", "std", "min", "max"))
 
 
+GUARDED = {**dict.fromkeys(("elo_diff", "form5_diff", "rest_days_diff", "is_bo1", "h2h_t1_win_share", "roster_stability_diff", "standin_diff", "bo1_elo"), "pre_match"),
+           **dict.fromkeys(("games_played", "winner", "t1_series_score", "t2_series_score"), "post_outcome"), "tournament": "not_listed", "team1": "not_listed"}
+
+
+@query("leakage_guard", f"WITH {FEATURES}, gj AS (SELECT fs.*, m.games_played, m.winner, m.t1_series_score, m.t2_series_score, m.tournament, m.team1 FROM fs JOIN matches m USING (match_id)) " + " UNION ALL ".join(
+    f"SELECT '{n}' AS feature, '{v}' AS verdict, COUNT({n}) AS n_values FROM gj" for n, v in GUARDED.items()))
+def _(c: Contests):
+    after = c.matches().select("match_id", "games_played", "winner", "t1_series_score", "t2_series_score", "tournament", "team1")
+    return features.leakage_report(store(c).select("match_id", *[n for n, v in GUARDED.items() if v == "pre_match"]).join(after, "match_id"))
+
+
 @query("feature_matrix", f"""WITH {FEATURES} SELECT match_id, CASE WHEN datetime < TIMESTAMP '{CUT}' THEN 'train' ELSE 'test' END AS split, ROUND(elo_diff, 6) AS elo_diff,
 ROUND(form5_diff, 6) AS form5_diff, ROUND(rest_days_diff, 8) AS rest_days_diff, CAST(is_bo1 AS DOUBLE) AS is_bo1, CAST(tier = 'tier1' AS DOUBLE) AS tier_tier1, CAST(tier = 'tier2' AS DOUBLE) AS tier_tier2,
 CAST(tier = 'tier3' AS DOUBLE) AS tier_tier3, roster_stability_diff, standin_diff FROM fs""")
