@@ -273,3 +273,18 @@ SELECT a.team, CAST(MAX(a.n) AS INT) AS n_months, ROUND(AVG(ABS((a.elo - b.elo)
 def _(c: Contests):
     return forecast.holt_forecast(rating.monthly_last(c.replay())).where("step = 1").select("team", "n_months", *r6("mape_naive"))
 
+
+
+@query("holt_smooth", """
+WITH p AS (SELECT match_id, datetime, team1 AS team, elo_t1_post AS elo FROM elo UNION ALL SELECT match_id, datetime, team2, elo_t2_post FROM elo),
+t AS (SELECT team FROM p GROUP BY team ORDER BY COUNT(*) DESC, team LIMIT 10),
+m AS (SELECT team, strftime(datetime, '%Y-%m') AS month, arg_max(elo, (datetime, match_id)) AS elo FROM p WHERE team IN (SELECT team FROM t) GROUP BY 1, 2),
+sr AS (SELECT team, elo, ROW_NUMBER() OVER (PARTITION BY team ORDER BY month) AS i, COUNT(*) OVER (PARTITION BY team) AS n FROM m),
+ho(team, n, i, lv, tr, sse) AS (
+  SELECT a.team, a.n, 2::BIGINT, b.elo, b.elo - a.elo, 0.0::DOUBLE FROM sr a JOIN sr b ON b.team = a.team AND a.i = 1 AND b.i = 2
+  UNION ALL
+  SELECT h.team, h.n, h.i + 1, 0.3e0 * s.elo + 0.7e0 * (h.lv + h.tr), 0.3e0 * s.elo + 0.7e0 * (h.lv + h.tr) - h.lv, h.sse + pow(s.elo - h.lv - h.tr, 2)
+  FROM ho h JOIN sr s ON s.team = h.team AND s.i = h.i + 1)
+SELECT team, CAST(n AS INT) AS n_months, ROUND(lv, 6) AS level, ROUND(tr, 6) AS trend, ROUND(sse / (n - 2), 6) AS mse FROM ho WHERE i = n AND n > 2""")
+def _(c: Contests):
+    return forecast.smooth_at(rating.monthly_last(c.replay()), 0.3).select("team", "n_months", *r6("level", "trend", "mse"))
