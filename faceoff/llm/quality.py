@@ -29,6 +29,8 @@ from faceoff.llm import text as T
 
 GRAM = 4
 BUCKETS = 1 << 15
+#: Labels are sent to every executor up to this number (about 24 bytes each); more are joined by a shuffle of the texts.
+SENT_LABELS = 2_000_000
 #: Steps of a score of 1, in which the labelled documents are counted.
 STEPS = 10_000
 SYMBOLS = np.zeros(256, bool)
@@ -127,11 +129,13 @@ def _counter(batches):
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality") -> QualityModel:
-    """Count both multinomials over the corpus and place the threshold."""
+    """Count both multinomials over the corpus and place the threshold; the size of the labels decides how they are joined."""
     rows = docs.select(F.col(key).cast("long").alias("_k"), F.col(text).cast("string").alias("_t"))
     marked = (labels.select(F.col(key).cast("long").alias("_k"), F.col(label).cast("int").alias("_y"))
               .where("_k is not null and _y in (0, 1)").groupBy("_k").agg(F.min("_y").alias("_y"), F.max("_y").alias("_z"))
               .where("_y = _z").select("_k", "_y"))
+    if marked.count() <= SENT_LABELS:
+        marked = F.broadcast(marked)
     counts = (rows.join(marked, "_k", "left").select("_t", "_y").mapInArrow(_counter, "bucket long, raw long, good long")
               .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect())
     raw, good = np.zeros(BUCKETS), np.zeros(BUCKETS)

@@ -57,7 +57,9 @@ def test_empty_tables(none, labels):
     assert quality.measure(none, model).count() == 0 and quality.keep(none, model).count() == 0
 
 
-def test_ratio_and_threshold_equal_plain_counting_of_all_labelled_texts(odd, odd_rows, spark):
+@pytest.mark.parametrize("sent", [0, 2_000_000])
+def test_ratio_and_threshold_equal_plain_counting_of_all_labelled_texts(odd, odd_rows, spark, monkeypatch, sent):
+    monkeypatch.setattr(quality, "SENT_LABELS", sent)
     marks = [(r[0], 1 if r[0] % 3 else 0) for r in odd_rows if r[0] != 13] + [(13, 0), (13, 1), (None, 1), (17, None)]
     model = quality.fit(odd.withColumn("_y", F.lit(1)).withColumn("step", F.lit("x")), spark.createDataFrame(marks, "doc_id long, quality int"))
     agreed = {k: y for k, y in marks if k is not None and y is not None and k != 13}
