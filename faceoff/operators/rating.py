@@ -4,16 +4,22 @@ A replay is a recurrence, so inside one pool the order of contests is a true dep
 distributed and bounded here:
 
 * pools (and K values) never exchange ratings and run in parallel;
-* with ``slice_rows`` every pool is cut into time slices. All pools' n-th slices form one Spark
+* every pool is cut into time slices of ``slice_rows`` contests. All pools' n-th slices form one Spark
   job that reads only its own slice's files; only the rating table (one row per pool and entity)
-  moves from slice to slice, through the shared checkpoint folder, so no task holds more than
-  ``slice_rows`` contests, and a lost executor costs one slice. Without it a pool is one task.
+  moves from slice to slice, through the shared checkpoint folder, and a lost executor costs one slice;
+* a contest depends only on the last contest of either side, so inside a slice the connected components
+  of the graph of contests are independent. They are packed into lots, and the lots are replayed in parallel.
+
+No task holds more than ``slice_rows`` contests. What stays serial is the number of slices.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +29,8 @@ from faceoff.session import require_columns, write_and_reread
 
 K_VALUES = (8.0, 16.0, 32.0, 64.0)
 BASE = 1500.0
+SLICE_ROWS = 100_000
+LOT_ROWS = 2_000
 _ADDED = ("elo_t1_pre", "elo_t2_pre", "elo_t1_post", "elo_t2_post")
 
 
@@ -52,12 +60,13 @@ def _state_of(table: pa.Table) -> dict[str, float]:
 def elo_replay(
     contests: DataFrame, pool: list[str], k: float = 32.0, base: float = BASE,
     order: tuple[str, ...] = ("datetime", "match_id"), snapshot: DataFrame | None = None,
-    slice_rows: int | None = None,
+    slice_rows: int | None = None, lot_rows: int = LOT_ROWS,
 ) -> DataFrame:
     """Walk-forward replay. ``pool`` names the columns that separate independent rating pools.
 
     Needs team1, team2 and either ``result`` (1.0 = side one won) or ``winner``; without a known winner
     side one did not win (0.0). A column ``k`` overrides the constant. ``snapshot(pool..., team, rating)`` seeds the ratings.
+    Lots of components are filled up to ``lot_rows`` contests; a null pool or entity is one like any other.
     Adds elo_t1_pre, elo_t2_pre, elo_t1_post, elo_t2_post, p_t1, result, logloss, brier.
     """
     require_columns(contests, "team1", "team2", *order, *pool)
@@ -71,14 +80,7 @@ def elo_replay(
     if "k" not in df.columns:
         df = df.withColumn("k", F.lit(float(k)))
     schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in _ADDED]])
-    order_by = list(order)
-    if slice_rows is not None:
-        replayed = _replay_in_slices(df, pool, order, base, snapshot, slice_rows, schema)
-    elif snapshot is None:
-        replayed = df.groupBy(*pool).applyInArrow(lambda t: _fold(t, order_by, base, {}), schema)
-    else:
-        replayed = df.groupBy(*pool).cogroup(_typed(snapshot, df, pool).groupBy(*pool)).applyInArrow(
-            lambda t, state: _fold(t, order_by, base, _state_of(state)), schema)
+    replayed = _replay_in_slices(df, pool, order, base, snapshot, slice_rows or SLICE_ROWS, lot_rows, schema)
     p = 1.0 / (1.0 + F.pow(F.lit(10.0), (F.col("elo_t2_pre") - F.col("elo_t1_pre")) / 400.0))
     return replayed.withColumn("p_t1", p).withColumns({
         "logloss": row_log_loss(F.col("p_t1"), F.col("result")),
@@ -94,32 +96,74 @@ def _typed(snapshot: DataFrame | None, df: DataFrame, pool: list[str]) -> DataFr
     return snapshot.select(*[F.col(f.name).cast(f.dataType) for f in schema])
 
 
-def _replay_in_slices(df, pool, order, base, snapshot, slice_rows, schema) -> DataFrame:
-    state = _typed(snapshot, df, pool)
-    line = Timeline(tuple(pool), tuple(order), split=True)      # a pool is hot by nature
-    rows = write_and_reread(
-        with_position(df, line, "_pos").withColumn(
-            "_slice", F.floor((F.col("_pos") - 1) / slice_rows)).drop("_pos"), "replay-input", by="_slice")
-    order_by, done = list(order), []
+def components(first: np.ndarray, second: np.ndarray, n: int) -> np.ndarray:
+    """The smallest entity number that each of ``n`` entities is connected to by contests."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[first], label[second])
+        new = label.copy()
+        np.minimum.at(new, first, least)
+        np.minimum.at(new, second, least)
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new
+
+
+def _lots(lot_rows: int):
+    """Appends to one slice of one pool the lot of each contest; a component is never parted."""
+    def run(rows: pa.Table) -> pa.Table:
+        sides = pa.chunked_array([*rows["team1"].chunks, *rows["team2"].chunks], rows["team1"].type)
+        codes = np.asarray(sides.combine_chunks().dictionary_encode(null_encoding="encode").indices)
+        first, second = codes[:len(rows)], codes[len(rows):]
+        label = components(first, second, int(codes.max(initial=-1)) + 1)[first]
+        _, of, size = np.unique(label, return_inverse=True, return_counts=True)
+        lot = (np.cumsum(size) - size) // lot_rows
+        return rows.append_column("_lot", pa.array(lot[of], pa.int64()))
+    return run
+
+
+def placed_in_slices(df: DataFrame, pool: list[str], order, slice_rows: int, lot_rows: int = LOT_ROWS) -> DataFrame:
+    """The contests with ``_slice`` (time slice of the pool) and ``_lot`` (independent inside the slice)."""
+    keys = {f"_key{i}": F.coalesce(F.concat(F.lit("="), F.col(p).cast("string")), F.lit("")) for i, p in enumerate(pool)}
+    line = Timeline(tuple(keys), tuple(order), split=True)      # a pool is hot by nature; a null one is a pool
+    cut = with_position(df.withColumns(keys), line, "_pos").withColumn(
+        "_slice", F.floor((F.col("_pos") - 1) / slice_rows)).drop("_pos", *keys)
+    schema = T.StructType([*cut.schema.fields, T.StructField("_lot", T.LongType())])
+    return cut.groupBy(*pool, "_slice").applyInArrow(_lots(lot_rows), schema)
+
+
+def _replay_in_slices(df, pool, order, base, snapshot, slice_rows, lot_rows, schema) -> DataFrame:
+    rows = write_and_reread(placed_in_slices(df, pool, order, slice_rows, lot_rows), "replay-input", by="_slice")
+    state = None if snapshot is None else _typed(snapshot, df, pool)
+    order_by, result = list(order), None
     slices = rows.agg(F.max("_slice")).first()[0]
     if slices is None:                                           # no contests
         return df.sparkSession.createDataFrame([], schema)
 
     def step(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _fold(left, order_by, base, _state_of(right))
+        return _fold(left.drop_columns(["_lot"]), order_by, base, _state_of(right))
 
     for number in range(int(slices) + 1):
         part = rows.where(F.col("_slice") == number).drop("_slice")
-        out = part.groupBy(*pool).cogroup(state.groupBy(*pool)).applyInArrow(step, schema)
-        out = write_and_reread(out, "replay-slice")
-        done.append(out)
-        state = write_and_reread(advance(state, out, pool, order), "replay-state")
-    result = done[0]
-    for more in done[1:]:
-        result = result.unionByName(more)
+        if state is None:                                        # nobody is rated yet
+            out = part.groupBy(*pool, "_lot").applyInArrow(lambda t: _fold(t.drop_columns(["_lot"]), order_by, base, {}), schema)
+        else:
+            names = [*pool, "team"]
+            sides = part.select(*pool, "_lot", F.explode(F.array("team1", "team2"))).distinct().toDF(*pool, "_lot", "team")
+            known = sides.alias("l").join(state.alias("r"), _same(names)).select("l.*", "r.rating")
+            out = part.groupBy(*pool, "_lot").cogroup(known.groupBy(*pool, "_lot")).applyInArrow(step, schema)
+        if number < slices:                                      # the last slice feeds no other
+            out = write_and_reread(out, "replay-slice")
+            state = write_and_reread(advance(state, out, pool, order), "replay-state")
+        result = out if result is None else result.unionByName(out)
     return result
 
 
+def _same(names: list[str]) -> Column:
+    return reduce(Column.__and__, [F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}")) for n in names])
+
+
 def final_ratings(replayed: DataFrame, pool: list[str],
                   order: tuple[str, ...] = ("datetime", "match_id")) -> DataFrame:
     """Latest post-match rating per (pool, entity); combined before the shuffle."""
@@ -127,10 +171,12 @@ def final_ratings(replayed: DataFrame, pool: list[str],
         F.max_by("elo", F.struct(*order)).alias("rating"))
 
 
-def advance(state: DataFrame, replayed: DataFrame, pool: list[str], order) -> DataFrame:
+def advance(state: DataFrame | None, replayed: DataFrame, pool: list[str], order) -> DataFrame:
     """The rating table after a slice: new ratings where an entity played, the old one elsewhere."""
     new = final_ratings(replayed, pool, order)
-    old = state.join(new, [*pool, "team"], "left_anti")
+    if state is None:
+        return new
+    old = state.alias("l").join(new.alias("r"), _same([*pool, "team"]), "left_anti")
     return old.unionByName(new)
 
 

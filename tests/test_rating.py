@@ -94,3 +94,66 @@ def test_a_slice_reads_only_its_own_files(spark):
     rows = write_and_reread(spark.range(1000).withColumn("_slice", F.floor(F.col("id") / 100)), "test-slices", by="_slice")
     assert "PartitionFilters: [isnotnull(_slice" in rows.where("_slice = 3")._jdf.queryExecution().executedPlan().toString()
     assert rows.where("_slice = 3").count() == 100
+
+
+def islands(spark, n=240, groups=8):
+    """Contests of entities that only meet inside their group of three."""
+    rows = []
+    for i in range(n):
+        g = (i * 5) % groups
+        a, b = f"g{g}t{i % 3}", f"g{g}t{(i + 1) % 3}"
+        rows.append((i, T0 + timedelta(hours=i), a, b, a if i % 4 else b, "p"))
+    return spark.createDataFrame(rows, "match_id long, datetime timestamp, team1 string, team2 string, winner string, pool string")
+
+
+def test_components_of_a_slice_replay_apart_and_give_the_serial_ratings(spark):
+    df = islands(spark)
+    order = ("datetime", "match_id")
+    placed = rating.placed_in_slices(df, ["pool"], order, slice_rows=80, lot_rows=1)
+    assert {r["_slice"]: r["n"] for r in placed.groupBy("_slice").agg(F.countDistinct("_lot").alias("n")).collect()} == {0: 8, 1: 8, 2: 8}
+    side = placed.select("_slice", "_lot", F.explode(F.array("team1", "team2")).alias("team"))
+    assert side.groupBy("_slice", "team").agg(F.countDistinct("_lot").alias("n")).where("n > 1").isEmpty()
+    want = replay_by_hand(df.collect())
+    for lot_rows in (1, 25):
+        got = rating.elo_replay(df, ["pool"], slice_rows=80, lot_rows=lot_rows).collect()
+        assert len(got) == 240
+        for r in got:
+            assert (r["elo_t1_pre"], r["elo_t2_pre"]) == pytest.approx(want[r["match_id"]])
+
+
+def test_null_pools_and_entities_are_like_any_other(spark):
+    df = contests(spark).withColumn("pool", F.when(F.col("pool") == "p", "p")).withColumn(
+        "team2", F.when(F.col("team2") != "t9", F.col("team2")))
+    want = replay_by_hand(df.collect())
+    got = rating.elo_replay(df, ["pool"], slice_rows=15, lot_rows=1).collect()
+    assert len(got) == 60
+    for r in got:
+        assert (r["elo_t1_pre"], r["elo_t2_pre"]) == pytest.approx(want[r["match_id"]])
+
+
+def test_components_reach_the_end_of_a_long_chain():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    names = rng.permutation(4000)
+    first, second = np.concatenate([names[:1999], names[2000:3999]]), np.concatenate([names[1:2000], names[2001:4000]])
+    label = rating.components(first, second, 4000)
+    assert set(label[names[:2000]]) == {names[:2000].min()} and set(label[names[2000:]]) == {names[2000:].min()}
+
+
+def test_a_stream_of_files_is_rated_as_one_replay(spark, tmp_path):
+    from faceoff.streaming.incremental import rate_stream
+
+    df, source, folder = contests(spark, pools=("p",)), str(tmp_path / "in"), str(tmp_path / "out")
+    for low in (0, 25, 40):
+        high = {0: 25, 25: 40, 40: 60}[low]
+        df.where(f"match_id >= {low} AND match_id < {high}").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        started = rate_stream(stream, folder, str(tmp_path / "progress"), ["pool"])
+        started.awaitTermination(120)
+        started.stop()
+    rated = {r["match_id"]: (r["elo_t1_pre"], r["elo_t2_pre"]) for r in spark.read.parquet(f"{folder}/rated").collect()}
+    want = replay_by_hand(df.collect())
+    assert rated.keys() == want.keys()
+    for k, v in want.items():
+        assert rated[k] == pytest.approx(v)
