@@ -8,7 +8,8 @@ form candidate components. A list that is full of such edges is saturated: it ma
 components. So lists are enlarged: further passes over fresh leaves only look outside the own component, until a pass
 joins nothing. Links are then exact inside a component: its members are compared in blocks, in double precision, and
 only counts and a spanning forest leave a task, never pairs. An audit compares a fixed number of vectors with all rows
-by brute force; below the wanted recall, more passes follow.
+by brute force. Passes go on, each over one more tree of leaves than the last, until both the share of the audited links that
+were found and the share of the audited vectors that have all of theirs reach RECALL; a huge component cannot outweigh missed pairs.
 
 Scale. Leaves and blocks have bounded sizes; an over-full leaf is split by hash. A component of s classes costs s / BLOCK
 copies of each of its vectors. Equal vectors, even a third of all rows, are one class.
@@ -36,7 +37,7 @@ BLOCK = 256
 BUCKET_ROWS = 2_000
 LEAST_BUCKETS = 48
 SLACK = 1e-4
-AUDIT, RECALL, PASSES = 500, 0.99, 6
+AUDIT, RECALL = 500, 0.99
 
 
 def _prepare(batches):
@@ -181,7 +182,7 @@ def _block(threshold: float):
 
 
 def _audit(threshold: float, probes: dict):
-    """Links of the audited vectors, counted over all rows."""
+    """Links of the audited vectors, counted over all rows; those within 1e-12 of the threshold hang on rounding and do not count."""
     def run(batches):
         total = {g: np.zeros(len(p[0]), np.int64) for g, p in probes.items()}
         for batch in batches:
@@ -191,7 +192,7 @@ def _audit(threshold: float, probes: dict):
                     at = pa.array(np.flatnonzero(grp == g))
                     c, x = probes[int(g)]
                     y = _matrix(batch.column("unit").take(at), x.shape[1])
-                    link = (x @ y.T >= threshold) & (c[:, None] != np.asarray(batch.column("c").take(at))[None, :])
+                    link = (x @ y.T >= threshold + 1e-12) & (c[:, None] != np.asarray(batch.column("c").take(at))[None, :])
                     total[int(g)] += link @ np.asarray(batch.column("m").take(at))
         rows = [(int(k), int(n)) for g, p in probes.items() for k, n in zip(p[0], total[g], strict=True) if n]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["c", "n"])
@@ -241,18 +242,21 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", embedding: str =
     near = graph.where(F.col("s") >= threshold - SLACK).select(F.col("u").alias("a"), F.col("v").alias("b"))
     roots = components(near, scratch)
     tree = TREES
-    for attempt in range(PASSES):
+    width = 1
+    while True:
         # saturated lists: look outside the own component until nothing joins
         while True:
             named = v.select("c", "dim", "unit").join(roots.withColumnRenamed("v", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-            more = scratch.keep(leaves([tree]).join(named, "c").groupBy("leaf").applyInArrow(_leaf(threshold - SLACK), "u long, v long, s double"))
-            tree += 1
+            more = scratch.keep(leaves(list(range(tree, tree + width))).join(named, "c").groupBy("leaf").applyInArrow(_leaf(threshold - SLACK), "u long, v long, s double"))
+            tree += width
             if more.isEmpty():
                 break
             roots = components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).union(more.select("u", "v")), scratch)
         counted = _counts(v, roots, threshold, scratch)
-        if attempt == PASSES - 1 or _recall(v, counted, threshold) >= RECALL:
+        if _recall(v, counted, threshold) >= RECALL:
             break
+        scratch.drop(counted)
+        width += 1
     exact = components(counted.where("to >= 0").select(F.col("c").alias("a"), F.col("to").alias("b")), scratch)
     links = counted.groupBy("c").agg(F.sum("n").alias("n"))
     final = (v.select("c", "label", "dim", "raw", "rep", "m").join(links, "c", "left").join(exact.withColumnRenamed("v", "c"), "c", "left")
@@ -276,7 +280,7 @@ def _counts(v: DataFrame, roots: DataFrame, threshold: float, scratch: Scratch)
 
 
 def _recall(v: DataFrame, counted: DataFrame, threshold: float) -> float:
-    """Share of the audited vectors' links that were found."""
+    """The lower of two shares: audited links that were found, and audited vectors with links that have all of them."""
     chosen = v.select("c", "grp", "dim", "unit").orderBy(F.xxhash64("c", F.lit(20)), "c").limit(AUDIT).collect()
     probes = {}
     for r in chosen:
@@ -287,5 +291,6 @@ def _recall(v: DataFrame, counted: DataFrame, threshold: float) -> float:
         return 1.0
     true = v.select("c", "grp", "m", "unit").mapInArrow(_audit(threshold, packed), "c long, n long").groupBy("c").agg(F.sum("n").alias("n"))
     found = counted.groupBy("c").agg(F.sum("n").alias("found"))
-    total, got = true.join(found, "c", "left").agg(F.sum("n"), F.sum(F.least("n", F.coalesce("found", F.lit(0))))).first()
-    return got / total if total else 1.0
+    have = F.coalesce("found", F.lit(0))
+    total, got, whole = true.join(found, "c", "left").agg(F.sum("n"), F.sum(F.least("n", have)), F.avg((have >= F.col("n")).cast("int"))).first()
+    return min(got / total, whole) if total else 1.0

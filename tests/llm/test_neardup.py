@@ -73,3 +73,32 @@ def test_large_component_in_blocks(spark, monkeypatch):
 
 def test_empty(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_a_large_component_does_not_hide_missed_pairs_from_the_audit(spark):
+    rng = np.random.default_rng(4)
+    vectors = []
+    for size in [120] + [2] * 20:
+        centre = rng.normal(size=32)
+        vectors += [centre + rng.normal(size=32) * .01 for _ in range(size)]
+    units = [x / np.linalg.norm(x) for x in vectors]
+    v = spark.createDataFrame([(i, 0, 32, 1, bytearray(x.tobytes())) for i, x in enumerate(units)], "c long, grp long, dim int, m long, unit binary")
+    links = [(i, 119 if i < 120 else 1, -1) for i in range(160)]
+    schema = "c long, n long, to long"
+    assert neardup._recall(v, spark.createDataFrame(links, schema), .93) == 1.0
+    missed = spark.createDataFrame(links[:140], schema)
+    assert neardup._recall(v, missed, .93) == 140 / 160          # 99.9 % of the links
+
+
+def test_passes_go_on_until_the_audit_is_content(spark, monkeypatch):
+    rows = clustered(np.random.default_rng(6), 300)
+    asked, real = [], neardup._recall
+
+    def strict(*args):
+        asked.append(real(*args))
+        return 0.0 if len(asked) < 3 else asked[-1]
+
+    monkeypatch.setattr(neardup, "_recall", strict)
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted(tuple(r) for r in neardup.near_duplicates(docs).collect())
+    assert len(asked) == 3 and got == brute(rows)
