@@ -188,15 +188,25 @@ def row_log_loss(p: Column, y: Column) -> Column:
 
 
 # ---- text rendering -------------------------------------------------------------------------
+def fixed_point(value: Column, digits: int, sign: str = "") -> Column:
+    """Text of a number with ``digits`` decimals, null for null; an exact tie of the stored double goes to the even digit.
+
+    ``sign`` "+" also shows the sign of positive numbers. Java's ``%.nf`` would round the shortest decimal half up instead.
+    """
+    number, shape = value.cast("double"), "0" + ("." + "0" * digits if digits else "")
+    text = F.call_function("format_number", number, F.lit(f"+{shape};-{shape}" if sign == "+" else shape))
+    inf = F.lit(float("inf"))
+    return F.when(number == inf, F.lit(f"{sign}inf")).when(number == -inf, F.lit("-inf")).otherwise(text)
+
+
 def render_number(value: Column, digits: int = 2) -> Column:
     number = value.cast("double")
-    return F.when(number.isNull() | F.isnan(number), "—").otherwise(
-        F.format_string(f"%.{digits}f", number))
+    return F.when(number.isNull() | F.isnan(number), "—").otherwise(fixed_point(number, digits))
 
 
 def render_share(value: Column, digits: int = 1) -> Column:
     return F.when(value.isNull() | F.isnan(value.cast("double")), "—").otherwise(
-        F.concat(F.format_string(f"%.{digits}f", value.cast("double") * 100.0), F.lit("%")))
+        F.concat(fixed_point(value.cast("double") * 100.0, digits), F.lit("%")))
 
 
 def month_label(ts: Column) -> Column:

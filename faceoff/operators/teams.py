@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faceoff.functions.scalar import fixed_point
 from faceoff.operators.history import TEAM, Timeline, longest_runs, prior_totals
 from faceoff.operators.longform import side_long
 
@@ -348,7 +349,11 @@ def lineup_table(maps: DataFrame, team: str) -> DataFrame:
 
 
 def _percent(value: Column, digits: int) -> Column:
-    return F.concat(F.format_string(f"%.{digits}f", value * 100.0), F.lit("%"))
+    return F.concat(_decimals(value * 100.0, digits), F.lit("%"))
+
+
+def _decimals(value: Column, digits: int, sign: str = "") -> Column:
+    return F.coalesce(fixed_point(value, digits, sign), F.lit("null"))
 
 
 def summary_long(team: str, window: str, vs: DataFrame, vm: DataFrame, players: DataFrame,
@@ -387,8 +392,8 @@ def summary_long(team: str, window: str, vs: DataFrame, vm: DataFrame, players:
         ("maps_with_rows", c("n_maps"), F.concat(F.lit("coverage "), _percent(F.try_divide(c("n_maps"), c("expected")), 1))),
         ("series_without_map_rows", c("no_rows"), F.lit("series-level facts still counted; map-level facts cannot")),
         ("longest_win_streak", c("longest_win_run"), None), ("longest_loss_streak", c("longest_loss_run"), None),
-        ("series_win_rate", F.format_string("%.4f", c("win_rate")), None),
-        ("map_win_rate", F.format_string("%.4f", c("map_win_rate")), None))]
+        ("series_win_rate", _decimals(c("win_rate"), 4), None),
+        ("map_win_rate", _decimals(c("map_win_rate"), 4), None))]
     parts.append(rows(format_table(vs), "format", (c("format"), c("record"), _percent(c("win_rate"), 1))))
     won = lambda rate: F.concat(_percent(c(rate), 1), F.lit(" won"))
     parts.append(rows(
@@ -398,7 +403,7 @@ def summary_long(team: str, window: str, vs: DataFrame, vm: DataFrame, players:
         ("series_going_the_distance", c("decider_series"), won("decider_win_rate")),
         ("sweeps_for", c("sweeps_for"), None), ("sweeps_against", c("sweeps_against"), None),
         ("series_lost_by_one_map", c("one_map_losses"), None)))
-    f1 = lambda name: F.format_string("%.1f", c(name))
+    f1 = lambda name: _decimals(c(name), 1)
     parts.append(rows(
         elo_section(vs), "elo",
         ("elo_window_start", f1("elo_start"), None), ("elo_window_end", f1("elo_end"), None),
@@ -415,12 +420,12 @@ def summary_long(team: str, window: str, vs: DataFrame, vm: DataFrame, players:
         F.lit(", avg elo "), f1("avg_elo")))))
     parts.append(rows(map_table(vm), "map", (c("map"), c("record"), F.concat(
         _percent(c("win_rate"), 0), F.lit(" over "), c("maps"), F.lit(", avg round diff "),
-        F.format_string("%+.2f", c("avg_round_diff")), F.lit(", OT "), c("overtime")))))
+        _decimals(c("avg_round_diff"), 2, "+"), F.lit(", OT "), c("overtime")))))
     parts.append(rows(opponent_table(vs, vm), "opponent", (c("opponent"), c("record"), F.concat(
         _percent(c("win_rate"), 0), F.lit(", maps "), c("map_record"), F.lit(", avg opp elo "), f1("avg_opp_elo")))))
     day = lambda name: F.to_date(c(name)).cast("string")
     parts.append(rows(players, "player", (c("player"), F.concat(c("maps"), F.lit(" maps")), F.concat(
-        F.lit("K/D "), F.format_string("%.2f", c("kd")), F.lit(", ADR "), f1("adr"), F.lit(", KAST "),
+        F.lit("K/D "), _decimals(c("kd"), 2), F.lit(", ADR "), f1("adr"), F.lit(", KAST "),
         _percent(c("kast"), 1), F.lit(", map wr "), _percent(c("map_win_rate"), 0), F.lit(", "),
         day("first"), F.lit(".."), day("last")))))
     parts.append(rows(fives, "lineup", (c("lineup"), F.concat(c("series"), F.lit(" series")), F.concat(

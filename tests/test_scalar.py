@@ -66,3 +66,15 @@ def test_tails():
     assert chi2_upper_one(3.841458820694124) == pytest.approx(0.05, abs=1e-9)
     assert t_quantile(0.975, 8) == pytest.approx(2.306004, abs=1e-5)
     assert math.isclose(t_two_sided(0.0, 5), 1.0)
+
+
+def test_numbers_are_rendered_from_their_exact_value(spark):
+    values = [0.25, 0.35, 2.5, 1234567.125, 0.125, -0.25, -0.001, 99999.995, 0.0, 0.0025, 0.0035]
+    rows = spark.createDataFrame([(v,) for v in [*values, float("inf"), None]], "x double").select(
+        "x", X.render_number(F.col("x"), 2).alias("n"), X.render_share(F.col("x")).alias("s"),
+        X.fixed_point(F.col("x"), 2, "+").alias("signed")).collect()
+    for r in rows:
+        if r["x"] is None:
+            assert (r["n"], r["s"], r["signed"]) == ("—", "—", None)
+        else:
+            assert (r["n"], r["s"], r["signed"]) == (f"{r['x']:.2f}", f"{r['x'] * 100.0:.1f}%", f"{r['x']:+.2f}")
