@@ -19,9 +19,9 @@ ORACLES: dict[str, str] = {}
 class Contests:
     """The given tables and the contest tables Spark derives from all of their rows.
 
-    Derived tables are written once per session and folder into the shared folder and read back,
+    Pairing, maps and series are written once per session and folder into the shared folder and read back,
     as an ingestion job would store them: later queries then scan parquet with pushed filters and
-    pruned columns instead of repeating the joins.
+    pruned columns instead of repeating the joins. The wide rows are projections of these narrow tables.
     """
 
     _written: dict[tuple, DataFrame] = {}
@@ -49,11 +49,17 @@ class Contests:
     def derive(self, name: str) -> DataFrame:
         return derived.derive(self.spark, self.folder, name, self.by_customer)
 
+    def pairing(self) -> DataFrame:
+        return self.stored("pairing", lambda: self.derive("pairing"))
+
+    def maps(self) -> DataFrame:
+        return self.stored("maps", lambda: derived.maps(self.spark, self.folder, self.pairing()))
+
     def map_rows(self) -> DataFrame:
-        return self.stored("map_rows", lambda: self.derive("map_rows"))
+        return derived.map_rows(self.maps())
 
     def series_rows(self) -> DataFrame:
-        return self.stored("series_rows", lambda: self.derive("series_rows"))
+        return derived.series_rows(self.stored("series", lambda: derived.series(self.pairing(), self.maps())))
 
     def raw(self) -> DataFrame:
         return self.series_rows().unionByName(self.map_rows())

@@ -78,3 +78,19 @@ def test_split_path_orders_only_day_summaries_per_team(matches):
     by_team_only = [line for line in windows if re.search(r"\], \[team#\d+\], \[_chunk", line)]
     assert by_team_only and len(by_team_only) < len(windows)
     assert not any(re.search(r"\], \[team#\d+\], \[datetime", line) for line in windows)
+
+
+def test_wide_rows_are_projections_of_narrow_stored_tables(spark):
+    from faceoff.plans.registry import Contests
+    from faceoff.sources import derived
+
+    folder = "/root/testdata/sf0.001"
+    c = Contests(spark, folder)
+    for name in ("map_rows", "series_rows"):
+        got, want = getattr(c, name)(), derived.derive(spark, folder, name)
+        assert got.dtypes == want.dtypes and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+        plan = got.select("match_id", "team1_player1_kills")._jdf.queryExecution().executedPlan().toString()
+        assert "kills" not in plan.split("ReadSchema")[-1]
+    assert len(c.maps().columns) < 30
+    met = derived.lines_met(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert met.count("Exchange hashpartitioning(") + met.count("Exchange rangepartitioning(") == 1
