@@ -102,8 +102,15 @@ SHEET = """sheet AS (SELECT DISTINCT player AS dataset_string, 'Імя «' || sp
 CASE WHEN player_key LIKE 'p1%' THEN 'Fixed ' || player_key END AS corrected_latin FROM px WHERE player LIKE '%(%')"""
 
 
+def player_names(c: Contests):
+    """The distinct names and their keys: all that name lists read of the rows per player and map."""
+    slots = F.explode(F.array(*[f"team{n}_player{i}" for n in (1, 2) for i in range(1, 6)]))
+    return c.stored("names", lambda: c.map_rows().select(slots.alias("player")).where(F.trim("player") != "").distinct().withColumn(
+        "player_key", X.key_of(c_("player"))))
+
+
 def name_sheet(c: Contests):
-    rows = player_rows(c).where(F.contains("player", F.lit("(")))
+    rows = player_names(c).where(F.contains("player", F.lit("(")))
     return rows.select(
         c_("player").alias("dataset_string"),
         F.concat(F.lit("Імя «"), F.substring_index("player", " (", 1), F.lit("» Прізвище "), "player_key").alias("native_name"),
@@ -133,7 +140,7 @@ rq AS (SELECT DISTINCT trim(r) AS request FROM (
 
 
 def requests(c: Contests):
-    rows, sheet, nation = player_rows(c).select("player").distinct(), name_sheet(c), c.table("nation")
+    rows, sheet, nation = player_names(c).select("player"), name_sheet(c), c.table("nation")
     p, n = c_("player"), c_("native_name")
     parts = [
         rows.select(p), rows.select(F.concat(F.lit("  "), F.upper(p))),
@@ -162,7 +169,7 @@ f AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY request ORDER BY tier) AS r FROM
 SELECT rq.request, CASE WHEN ids = 1 THEN resolved END AS resolved, CASE WHEN ids IS NULL THEN 'missing' WHEN ids = 1 THEN 'ok' ELSE 'ambiguous' END AS status, tier, COALESCE(n, 0) AS n_matches
 FROM rq LEFT JOIN f ON f.request = rq.request AND r = 1""")
 def _(c: Contests):
-    return names.resolve_names(requests(c), player_rows(c), files.name_aliases(name_sheet(c)))
+    return names.resolve_names(requests(c), player_names(c), files.name_aliases(name_sheet(c)))
 
 
 @query("asof_tenure", """

@@ -94,3 +94,15 @@ def test_wide_rows_are_projections_of_narrow_stored_tables(spark):
     assert len(c.maps().columns) < 30
     met = derived.lines_met(spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert met.count("Exchange hashpartitioning(") + met.count("Exchange rangepartitioning(") == 1
+
+
+def test_names_are_resolved_without_the_rows_per_player_and_map(spark, monkeypatch):
+    from faceoff.plans import queries_players
+    from faceoff.plans.catalog import QUERIES
+
+    def stop(*_):
+        raise AssertionError("player rows were built")
+
+    monkeypatch.setattr(queries_players.longform, "player_long", stop)
+    monkeypatch.setattr(queries_players.Contests, "_written", {})
+    assert QUERIES["resolve_names"](spark, "/root/testdata/sf0.001").count() > 1000
