@@ -4,13 +4,15 @@ A replay is a recurrence, so inside one pool the order of contests is a true dep
 distributed and bounded here:
 
 * pools (and K values) never exchange ratings and run in parallel;
-* every pool is cut into time slices of ``slice_rows`` contests. All pools' n-th slices form one Spark
-  job that reads only its own slice's files; only the rating table (one row per pool and entity)
-  moves from slice to slice, through the shared checkpoint folder, and a lost executor costs one slice;
+* every pool is cut into time slices of ``slice_rows`` contests, which are replayed side by side, first from the snapshot, then
+  from the ratings at which the slices before ended, until no start differs from what was used. The first pass settles
+  the first slice, every further pass at least one more; where entities play often in a slice its end hardly depends on its start and a
+  handful of passes settles all slices, however many. Only slices whose start moved are replayed again, and only the table of
+  ratings (pool, slice, entity) passes between them, through the shared checkpoint folder;
 * a contest depends only on the last contest of either side, so inside a slice the connected components
   of the graph of contests are independent. They are packed into lots, and the lots are replayed in parallel.
 
-No task holds more than ``slice_rows`` contests. What stays serial is the number of slices.
+No task holds more than ``slice_rows`` contests at a time. Entities with about one contest per slice take the most passes.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +33,8 @@ K_VALUES = (8.0, 16.0, 32.0, 64.0)
 BASE = 1500.0
 SLICE_ROWS = 100_000
 LOT_ROWS = 2_000
+#: Rating points by which a slice's start may differ from the end before it; doubles near 1,500 are 2e-13 apart.
+SETTLED = 1e-10
 _ADDED = ("elo_t1_pre", "elo_t2_pre", "elo_t1_post", "elo_t2_post")
 
 
@@ -134,30 +138,56 @@ def placed_in_slices(df: DataFrame, pool: list[str], order, slice_rows: int, lot
 
 
 def _replay_in_slices(df, pool, order, base, snapshot, slice_rows, lot_rows, schema) -> DataFrame:
-    rows = write_and_reread(placed_in_slices(df, pool, order, slice_rows, lot_rows), "replay-input", by="_slice")
-    state = None if snapshot is None else _typed(snapshot, df, pool)
-    order_by, result = list(order), None
-    slices = rows.agg(F.max("_slice")).first()[0]
-    if slices is None:                                           # no contests
+    rows = write_and_reread(placed_in_slices(df, pool, order, slice_rows, lot_rows), "replay-input")
+    last = rows.agg(F.max("_slice")).first()[0]
+    if last is None:                                             # no contests
         return df.sparkSession.createDataFrame([], schema)
+    order_by, lots, known = list(order), [*pool, "_slice", "_lot"], _typed(snapshot, df, pool)
 
     def step(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _fold(left.drop_columns(["_lot"]), order_by, base, _state_of(right))
-
-    for number in range(int(slices) + 1):
-        part = rows.where(F.col("_slice") == number).drop("_slice")
-        if state is None:                                        # nobody is rated yet
-            out = part.groupBy(*pool, "_lot").applyInArrow(lambda t: _fold(t.drop_columns(["_lot"]), order_by, base, {}), schema)
-        else:
-            names = [*pool, "team"]
-            sides = part.select(*pool, "_lot", F.explode(F.array("team1", "team2"))).distinct().toDF(*pool, "_lot", "team")
-            known = sides.alias("l").join(state.alias("r"), _same(names)).select("l.*", "r.rating")
-            out = part.groupBy(*pool, "_lot").cogroup(known.groupBy(*pool, "_lot")).applyInArrow(step, schema)
-        if number < slices:                                      # the last slice feeds no other
-            out = write_and_reread(out, "replay-slice")
-            state = write_and_reread(advance(state, out, pool, order), "replay-state")
-        result = out if result is None else result.unionByName(out)
-    return result
+        return _fold(left.drop_columns(["_slice", "_lot"]), order_by, base, _state_of(right))
+
+    sides = rows.select(*lots, F.explode(F.array("team1", "team2")).alias("team")).distinct()
+    first = sides.alias("l").join(known.alias("r"), _same([*pool, "team"]), "left").select(
+        "l.*", F.coalesce("r.rating", F.lit(float(base))).alias("rating"))
+    first = write_and_reread(first, "replay-first")
+    starts = first if last == 0 else _settled_starts(rows, first, pool, order_by, base, int(last))
+    return rows.groupBy(*lots).cogroup(starts.groupBy(*lots)).applyInArrow(step, schema)
+
+
+def _settled_starts(rows: DataFrame, first: DataFrame, pool: list[str], order: list[str], base: float, last: int) -> DataFrame:
+    """The rating of every entity at the start of each slice it plays in, from those before the first."""
+    lots = [*pool, "_slice", "_lot"]
+    slim = rows.select(*lots, *[o for o in order if o not in lots], "team1", "team2", "result", *(["k"] if "k" not in pool else []))
+    before = Window.partitionBy(*pool, "team").orderBy("_slice")
+    fields = [*[first.schema[n] for n in (*lots, "team")], *[T.StructField(n, T.DoubleType()) for n in ("first", "used", "rating")]]
+
+    def end(left: pa.Table, right: pa.Table) -> pa.Table:
+        used = _state_of(right)
+        done = _fold(left, order, base, used)
+        after = dict(used)
+        for t1, t2, a, b in zip(*[done[n].to_pylist() for n in ("team1", "team2", "elo_t1_post", "elo_t2_post")], strict=True):
+            after[t1], after[t2] = a, b
+        out = right.rename_columns([*right.column_names[:-1], "used"])
+        return out.append_column("rating", pa.array([after[t] for t in out["team"].to_pylist()], pa.float64()))
+
+    moved, ends = first.withColumn("first", F.col("rating")).select(*lots, "team", "first", "rating"), None
+    for _ in range(last + 1):                                    # slice n is settled by pass n at the latest
+        again = slim if ends is None else _of_lots(slim, moved, lots)
+        fresh = again.groupBy(*lots).cogroup(moved.groupBy(*lots)).applyInArrow(end, T.StructType(fields))
+        if ends is not None:
+            fresh = fresh.unionByName(_of_lots(ends, moved, lots, "left_anti"))
+        ends = write_and_reread(fresh, "replay-ends")
+        starts = write_and_reread(ends.withColumn("_start", F.coalesce(F.lag("rating").over(before), "first")).select(
+            *lots, "team", "first", F.col("_start").alias("rating"), (F.abs(F.col("_start") - F.col("used")) > SETTLED).alias("_moved")), "replay-starts")
+        if starts.where("_moved").isEmpty():
+            break
+        moved = _of_lots(starts.drop("_moved"), starts.where("_moved"), lots)
+    return starts.select(*lots, "team", "rating")
+
+
+def _of_lots(df: DataFrame, some: DataFrame, lots: list[str], how: str = "left_semi") -> DataFrame:
+    return df.alias("l").join(some.select(*lots).distinct().alias("r"), _same(lots), how)
 
 
 def _same(names: list[str]) -> Column:

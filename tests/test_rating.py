@@ -157,3 +157,34 @@ def test_a_stream_of_files_is_rated_as_one_replay(spark, tmp_path):
     assert rated.keys() == want.keys()
     for k, v in want.items():
         assert rated[k] == pytest.approx(v)
+
+
+def test_many_slices_settle_in_a_handful_of_passes(spark, monkeypatch):
+    written = []
+    keep = rating.write_and_reread
+
+    def counted(df, label, *more, **by):
+        written.append(label)
+        return keep(df, label, *more, **by)
+
+    monkeypatch.setattr(rating, "write_and_reread", counted)
+    df = contests(spark, 6000, ("p",))
+    want = replay_by_hand(df.collect())
+    got = rating.elo_replay(df, ["pool"], slice_rows=300).collect()
+    assert max(abs(r["elo_t1_pre"] - want[r["match_id"]][0]) for r in got) < 1e-9 and len(got) == 6000
+    assert len(written) < 20                                     # twenty slices, forty tables when one waited for the other
+
+
+@pytest.mark.parametrize("entities", [12, 200, 4000])
+def test_rare_entities_settle_to_the_serial_ratings(spark, entities):
+    import random
+
+    draw = random.Random(3)
+    rows = []
+    for i in range(1200):
+        a, b = draw.sample(range(entities), 2)
+        rows.append((i, T0 + timedelta(hours=i), f"t{a}", f"t{b}", f"t{a if draw.random() < 0.6 else b}", "p"))
+    df = spark.createDataFrame(rows, contests(spark, 1).schema)
+    want = replay_by_hand(df.collect())
+    got = rating.elo_replay(df, ["pool"], slice_rows=100, snapshot=spark.createDataFrame([("p", "t1", 1500.0)], "pool string, team string, rating double")).collect()
+    assert max(abs(r["elo_t1_pre"] - want[r["match_id"]][0]) for r in got) < 1e-8
