@@ -9,7 +9,7 @@ from faceoff.operators import longform, names, players
 from faceoff.plans.queries_history import r6
 from faceoff.plans.registry import Contests, query
 from faceoff.session import shared_folder
-from faceoff.sources import adapters, files, text
+from faceoff.sources import adapters, derived, files, text
 
 c_ = F.col
 
@@ -260,7 +260,8 @@ def _(c: Contests):
 def block_source(c: Contests):
     """The derived maps in the layout of the source with three map blocks per player row."""
     k = c_("game_id") - c_("match_id") * 100 - 1
-    maps = c.map_rows().withColumns({
+    # the narrow maps go to their match's place before they widen to ten rows of players: grouping these moves nothing
+    maps = derived.map_rows(c.maps().repartition("match_id")).withColumns({
         "mm": c_("match_id") * 10 + F.floor(k / 3), "block": (k % 3 + 1).cast("int"),
         "mn": F.concat_ws(" ", "map_name", (k + 1).cast("string"))})
     fields = ["kills", "deaths", "assists", "adr", "kast"]
@@ -268,13 +269,13 @@ def block_source(c: Contests):
         F.struct(F.lit(n * 10 + i).alias("seq"), c_(f"team{n}").alias("team"), c_(f"team{n}_player{i}_id").alias("pid"),
                  *[c_(f"team{n}_player{i}_{f}").alias(f) for f in fields])
         for n in (1, 2) for i in range(1, 6)])
-    long = maps.select("mm", "block", "mn", "datetime", "tournament", "bestOf", F.inline(slots)).where("pid IS NOT NULL")
+    long = maps.select(c_("match_id").alias("own"), "mm", "block", "mn", "datetime", "tournament", "bestOf", F.inline(slots)).where("pid IS NOT NULL")
     at = lambda i, name: F.max(F.when(c_("block") == i, c_(name)))
-    people = long.groupBy(c_("mm").alias("match_id"), "seq", "team", "pid").agg(
+    people = long.groupBy("own", c_("mm").alias("match_id"), "seq", "team", "pid").agg(
         F.min(F.to_date("datetime")).alias("date"), F.min("tournament").alias("event_name"), F.min("bestOf").alias("best_of"),
         *[at(i, "mn").alias(f"map_{i}") for i in (1, 2, 3)],
         *[at(i, f).alias(f"m{i}_{f}") for i in (1, 2, 3) for f in fields]).withColumns({
-            "player_name": F.concat(F.lit(" P"), "pid"), "country": F.expr(COUNTRY.format(x="pid"))})
+            "player_name": F.concat(F.lit(" P"), "pid"), "country": F.expr(COUNTRY.format(x="pid"))}).drop("own")
     results = maps.select(
         c_("mm").alias("match_id"), c_("mn").alias("map_name"), c_("team1").alias("team_1"), c_("team2").alias("team_2"),
         c_("score1_game").cast("int").alias("result_1"), c_("score2_game").cast("int").alias("result_2"),

@@ -106,3 +106,12 @@ def test_names_are_resolved_without_the_rows_per_player_and_map(spark, monkeypat
     monkeypatch.setattr(queries_players.longform, "player_long", stop)
     monkeypatch.setattr(queries_players.Contests, "_written", {})
     assert QUERIES["resolve_names"](spark, "/root/testdata/sf0.001").count() > 1000
+
+
+def test_player_rows_of_the_block_source_are_grouped_where_they_are_made(spark):
+    from faceoff.plans import queries_players
+    from faceoff.plans.registry import Contests
+
+    people, _ = queries_players.block_source(Contests(spark, "/root/testdata/sf0.001"))
+    plan = people._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1 and plan.index("Exchange hashpartitioning(") > plan.rindex("Generate")
