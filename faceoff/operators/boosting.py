@@ -1,9 +1,10 @@
 """Boosted trees for a binary label, grown from histograms that Spark aggregates.
 
-Every tree level is one aggregate: (member, node, feature, bin) -> sums of gradient, curvature and rows. The driver sees those sums, whose
-number is bounded by members x nodes x features x bins, and picks the splits; a leaf's value has an L2 penalty. Rows stay where they are,
-binned once and stored in blocks with their raw scores; the scores are brought up to date in a stored table every ``REFRESH`` trees, so a pass
-never replays more than that. Several models (members) over the same rows, such as those of folds, grow side by side in the same passes.
+Every tree level is one pass: (member, node, feature, bin) -> sums of gradient, curvature and rows. A pass is a single stage of at most
+``TASKS`` tasks; each sends one histogram, whose size is members x nodes x features x bins whatever the number of rows, and the driver adds
+them up and picks the splits; a leaf's value has an L2 penalty. Rows stay where they are, binned once and stored in blocks, feature by feature,
+with their raw scores; the scores are brought up to date in a stored table every ``REFRESH`` trees, so a pass never replays more than that.
+Several models (members) over the same rows, such as those of folds, grow side by side in the same passes.
 
 Null and NaN features are binned as the smallest value. Features are numbers in ``features``, the label is 0 or 1.
 """
@@ -24,6 +25,8 @@ from faceoff.session import write_and_reread
 BINS = 255
 #: Rows of a stored block, and trees after which the stored scores are brought up to date.
 BLOCK, REFRESH = 65_536, 20
+#: Most tasks of a pass, and so most histograms that the driver adds up.
+TASKS = 64
 BLOCKS = "x binary, y binary, member binary, raw binary, n int"
 
 
@@ -35,12 +38,9 @@ class BoostedTrees:
     start: float
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
 
-    def raw(self, x: np.ndarray, first: int = 0) -> np.ndarray:
-        """Sum of leaf values, from tree ``first`` on, of rows of bin numbers; the start is not in it."""
-        out = np.zeros(len(x))
-        for tree in self.trees[first:]:
-            out += tree[2][leaf_of(tree, x)]
-        return out
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        """Sum of leaf values of bin numbers (feature, row); the start is not in it."""
+        return added(self.trees, x)
 
     def transform(self, df: DataFrame, into: str = "p") -> DataFrame:
         """``df`` with the probability of label 1."""
@@ -56,25 +56,36 @@ class BoostedTrees:
 
 
 def binned(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
-    """Bin of every value: how many cuts lie below it."""
-    out = np.empty(x.shape, np.uint8)
+    """Bin of every value, (feature, row): how many cuts lie below it."""
+    out = np.empty(x.shape[::-1], np.uint8)
     for j, c in enumerate(cuts):
-        out[:, j] = np.searchsorted(c, np.nan_to_num(x[:, j].astype(float), nan=-np.inf, posinf=np.inf, neginf=-np.inf), "left")
+        out[j] = np.searchsorted(c, np.nan_to_num(x[:, j].astype(float), nan=-np.inf, posinf=np.inf, neginf=-np.inf), "left")
     return out
 
 
-def leaf_of(tree: tuple, x: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """The node, in heap order, that each row reaches after ``depth`` levels (all by default)."""
+def place_of(tree: tuple, x: np.ndarray, depth: int) -> np.ndarray:
+    """The node that each row reaches after ``depth`` levels, counted from the left of that level."""
     feature, cut, _ = tree
-    node, rows = np.zeros(len(x), np.int64), np.arange(len(x))
-    depth = int(np.log2(len(feature) + 1)) if depth is None else depth
-    for _ in range(depth):
-        f = feature[node]
-        right = (f >= 0) & (x[rows, np.maximum(f, 0)] > cut[node])
-        node = 2 * node + 1 + right
+    node = np.zeros(x.shape[1], np.uint8 if depth <= 8 else np.uint32)
+    for level in range(depth):
+        right = np.zeros(x.shape[1], bool)
+        for i in range(2**level):
+            f = feature[2**level - 1 + i]
+            if f >= 0:
+                right |= (node == i) & (x[f] > cut[2**level - 1 + i])
+        node = 2 * node + right
     return node
 
 
+def added(trees: list[tuple], x: np.ndarray) -> np.ndarray:
+    """Sum of the trees' leaf values."""
+    out = np.zeros(x.shape[1])
+    for tree in trees:
+        depth = int(np.log2(len(tree[0]) + 1))
+        out += tree[2][2**depth - 1:].take(place_of(tree, x, depth))
+    return out
+
+
 def split(hist: np.ndarray, penalty: float, least: int) -> tuple[int, int, float]:
     """Best (feature, bin, gain) of a node's histogram (feature, bin, [gradient, curvature, rows]); feature -1 without a gain."""
     left = hist.cumsum(1)
@@ -113,43 +124,40 @@ def _unpack(batch: pa.RecordBatch, width: int, members: int):
     for i in range(len(batch)):
         n = batch.column("n")[i].as_py()
         get = lambda c, kind: np.frombuffer(batch.column(c)[i].as_buffer(), kind)  # noqa: E731, B023
-        yield get("x", np.uint8).reshape(n, width), get("y", np.uint8), get("member", np.int64), get("raw", np.float64).reshape(members, n)
+        yield get("x", np.uint8).reshape(width, n), get("y", np.uint8), get("member", np.int64), get("raw", np.float64).reshape(members, n)
 
 
-def _histograms(models: list[BoostedTrees], since: int, growing: list[tuple], level: int):
-    """(member, node, feature, bin, g, h, n) of a task's rows at a level of the trees that grow."""
-    width = len(models[0].cuts)
+def _histograms(width: int, starts: list[float], recent: list[list[tuple]], growing: list[tuple], level: int):
+    """A task's histogram (member, node, feature, bin, [gradient, curvature, rows]) at a level of the trees that grow.
+
+    ``recent`` are the trees, per member, that the stored scores lack.
+    """
+    members, nodes = len(starts), 2**level
 
     def run(batches):
-        size = (len(models), 2**level, width, BINS + 1)
-        total = np.zeros((*size, 3))
+        total = np.zeros((members, nodes, width, BINS + 1, 3))
         for batch in batches:
-            for x, y, member, raw in _unpack(batch, width, len(models)):
-                for k, model in enumerate(models):
-                    at = np.flatnonzero(member >> k & 1)
-                    if not len(at):
-                        continue
-                    own = x[at]
-                    p = 1.0 / (1.0 + np.exp(-(model.start + raw[k, at] + model.raw(own, since))))
-                    node = leaf_of(growing[k], own, level) - (2**level - 1)
-                    place = ((node[:, None] * width + np.arange(width)) * (BINS + 1) + own).ravel()
-                    for s, v in enumerate((p - y[at], p * (1 - p), np.ones(len(at)))):
-                        total[k, ..., s] += np.bincount(place, weights=np.repeat(v, width), minlength=int(np.prod(size[1:]))).reshape(size[1:])
-        k, node, f, b = np.nonzero(total[..., 2])
-        cells = total[k, node, f, b]
-        yield pa.RecordBatch.from_arrays(
-            [*(pa.array(c.astype(np.int32)) for c in (k, node, f, b)), *(pa.array(np.ascontiguousarray(cells[:, i])) for i in range(3))],
-            ["member", "node", "feature", "bin", "g", "h", "n"])
+            for x, y, member, raw in _unpack(batch, width, members):
+                for k in range(members):
+                    mine = (member >> k & 1).astype(bool)
+                    every = mine.all()
+                    own, label = (x, y) if every else (x[:, mine], y[mine])
+                    p = 1.0 / (1.0 + np.exp(-(starts[k] + (raw[k] if every else raw[k, mine]) + added(recent[k], own))))
+                    g, h = p - label, p * (1 - p)
+                    first = place_of(growing[k], own, level).astype(np.int64) * (BINS + 1)
+                    for j in range(width):
+                        at = first + own[j]
+                        for s, v in enumerate((g, h, None)):
+                            total[k, :, j, :, s] += np.bincount(at, v, nodes * (BINS + 1)).reshape(nodes, BINS + 1)
+        yield pa.RecordBatch.from_pydict({"sums": pa.array([total.tobytes()], pa.binary())})
     return run
 
 
-def _refresh(models: list[BoostedTrees], since: int):
-    width = len(models[0].cuts)
-
+def _refresh(width: int, recent: list[list[tuple]]):
     def run(batches):
         for batch in batches:
-            for x, y, member, raw in _unpack(batch, width, len(models)):
-                now = np.stack([raw[k] + model.raw(x, since) for k, model in enumerate(models)])
+            for x, y, member, raw in _unpack(batch, width, len(recent)):
+                now = np.stack([raw[k] + added(trees, x) for k, trees in enumerate(recent)])
                 yield pa.RecordBatch.from_pydict({"x": [x.tobytes()], "y": [y.tobytes()], "member": [member.tobytes()], "raw": [now.tobytes()],
                                                   "n": pa.array([len(y)], pa.int32())})
     return run
@@ -171,15 +179,12 @@ def fit_members(train: DataFrame, members: int, rounds: int, depth: int, rate: f
     shares = rows.agg(*[F.avg(F.when(F.col("member").bitwiseAND(1 << k) != 0, F.col("label"))).alias(f"s{k}") for k in range(members)]).first()
     models = [BoostedTrees(cuts, float(np.log(max(s or 0.0, 1e-12) / max(1 - (s or 0.0), 1e-12)))) for s in shares]
     state = write_and_reread(rows.mapInArrow(_store(cuts, members), BLOCKS), "boosting-blocks")
-    since = 0
+    tasks, since = min(train.sparkSession.sparkContext.defaultParallelism, TASKS), 0
     for _ in range(rounds):
         growing = [(np.full(2**depth - 1, -1), np.zeros(2**depth - 1, np.int64), np.zeros(2 ** (depth + 1) - 1)) for _ in models]
         for level in range(depth):
-            sums = state.mapInArrow(_histograms(models, since, growing, level), "member int, node int, feature int, bin int, g double, h double, n double")
-            got = sums.groupBy("member", "node", "feature", "bin").agg(F.sum("g"), F.sum("h"), F.sum("n")).toPandas().to_numpy(float)
-            hist = np.zeros((len(models), 2**level, width, BINS + 1, 3))
-            at = tuple(got[:, i].astype(int) for i in range(4))
-            hist[at] = got[:, 4:]
+            sums = state.coalesce(tasks).mapInArrow(_histograms(width, [m.start for m in models], [m.trees[since:] for m in models], growing, level), "sums binary")
+            hist = sum(np.frombuffer(r["sums"]) for r in sums.collect()).reshape(len(models), 2**level, width, BINS + 1, 3)
             for k, node in np.ndindex(len(models), 2**level):
                 feature, cut, value = growing[k]
                 here = 2**level - 1 + node
@@ -192,6 +197,6 @@ def fit_members(train: DataFrame, members: int, rounds: int, depth: int, rate: f
         for model, tree in zip(models, growing, strict=True):
             model.trees.append(tree)
         if len(models[0].trees) - since == REFRESH and len(models[0].trees) < rounds:
-            state = write_and_reread(state.mapInArrow(_refresh(models, since), BLOCKS), "boosting-blocks")
+            state = write_and_reread(state.coalesce(tasks).mapInArrow(_refresh(width, [m.trees[since:] for m in models]), BLOCKS), "boosting-blocks")
             since = len(models[0].trees)
     return models

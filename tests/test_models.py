@@ -80,6 +80,34 @@ def test_boosted_trees_equal_plain_ones(spark, monkeypatch):
         assert np.allclose([got[i] for i in range(own)], want)
 
 
+def test_a_pass_of_boosting_is_one_stage(spark):
+    rows = [(Vectors.dense([float(i % 7), float(i % 5)]), float(i % 7 > 3)) for i in range(200)]
+    df = spark.createDataFrame(rows, ["features", "label"]).repartition(4).persist()
+    df.count()
+    tracker, stages = spark.sparkContext.statusTracker(), []
+    for rounds in (1, 4):
+        group = f"boosting-{rounds}"
+        spark.sparkContext.setJobGroup(group, group)
+        boosting.fit_members(df, 1, rounds, 2, 0.3, 1.0)
+        stages.append(sum(len(tracker.getJobInfo(job).stageIds) for job in tracker.getJobIdsForGroup(group)))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    df.unpersist()
+    assert stages[1] - stages[0] == 3 * 2
+
+
+def test_rows_reach_the_leaf_of_every_node_that_splits():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 9, (4, 500), np.uint8)
+    tree = (np.array([1, 3, -1, 0, 2, -1, 1]), rng.integers(0, 8, 7), rng.normal(size=15))
+    want = []
+    for row in x.T:
+        node = 0
+        while node < 7:
+            node = 2 * node + 1 + int(tree[0][node] >= 0 and row[max(tree[0][node], 0)] > tree[1][node])
+        want.append(tree[2][node])
+    assert np.allclose(boosting.added([tree, tree], x), 2 * np.array(want))
+
+
 def test_boosted_trees_on_odd_features(spark):
     rows = [(Vectors.dense([float("nan"), 1.0, float(i % 7)]), float(i % 7 > 3)) for i in range(200)] + [(Vectors.dense([0.0, 1.0, 1e300]), 1.0)]
     df = spark.createDataFrame(rows, ["features", "label"])
