@@ -421,6 +421,7 @@ def dated_roster_ab(store: DataFrame, tenure: DataFrame, cutoff: str) -> DataFra
     added = ["tenure_min_diff", "tenure_avg_diff", "recent_join_diff"]
     joined = base.join(tenure.select("match_id", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in added]), "match_id")
     wide = VectorAssembler(inputCols=["features", *added], outputCol="_x").transform(joined)
+    wide = write_and_reread(wide.select("match_id", "label", "split", "features", "_x"), "dated-rows")      # read by two fits and their scores
     parts = []
     for label, column, k in (("current", "features", len(names)), ("with dated roster", "_x", len(names) + len(added))):
         rows = wide.select("match_id", "label", "split", c(column).alias("features"))

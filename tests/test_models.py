@@ -115,6 +115,25 @@ def test_boosted_trees_on_odd_features(spark):
     assert all((v > 0.5) == (r[1] == 1.0) for v, r in zip(p, rows, strict=True))
 
 
+def test_dated_rosters_are_derived_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(v):
+        seen.add(1)
+        return v
+
+    rows = spark.range(120).select(
+        F.col("id").alias("match_id"), F.expr("make_date(if(id < 80, 1995, 2000), 1, 1 + CAST(id % 28 AS INT))").cast("timestamp_ntz").alias("datetime"),
+        F.lit("tier1").alias("tier"), (F.col("id") % 3 == 0).alias("is_bo1"), (F.col("id") % 2).cast("double").alias("result"),
+        *[((F.col("id") * k) % 11).cast("double").alias(n) for k, n in enumerate(
+            ("elo_diff", "form5_diff", "rest_days_diff", "h2h_t1_win_share", "roster_stability_diff", "standin_diff"), 2)])
+    tenure = spark.range(120).select(F.col("id").alias("match_id"), *[F.udf(count, "double")((F.col("id") % 7).cast("double")).alias("tenure_min_diff")],
+                                     F.lit(0.0).alias("tenure_avg_diff"), F.lit(None).cast("double").alias("recent_join_diff"))
+    out = models.dated_roster_ab(rows, tenure, "1997-06-01").collect()
+    assert [(r["label"], r["n"]) for r in out] == [("current", 40), ("with dated roster", 40)]
+    assert seen.value == 120
+
+
 def test_the_mode_of_sparse_contests_has_no_gradient(spark):
     """A chain, a star and a pair apart: graphs on which steps per entity alone settle slowly."""
     games = [(f"c{i}", f"c{i + 1}", i % 3 > 0) for i in range(30) for _ in range(20)] + [("hub", f"s{i}", i % 2 == 0) for i in range(12)] + [("x", "y", True)] * 50
