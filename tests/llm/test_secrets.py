@@ -113,3 +113,63 @@ def test_values_are_not_on_both_sides_of_the_split(monkeypatch):
     values = lambda b: {v.tobytes() for v in np.ascontiguousarray(b[:, secrets.BEFORE:secrets.SPAN - secrets.AFTER])}
     fitted = set().union(*(values(b) for kind, b in seen[:next(i for i, s in enumerate(seen) if s[0] == "held")]))
     assert len(first_held) and not fitted & values(first_held)
+
+
+def test_gradient_equals_differences_of_the_loss(model):
+    texts, y = secrets.generated(60, seed=4)
+    block = next(T.blocks(pa.array(texts), limit=1 << 30))
+    s, e = secrets.candidates(block)
+    x, y = secrets.windows_of(block, s, e), np.array(y, float)[np.searchsorted(block.offsets, s, "right") - 1]
+    mild = secrets._shaped(secrets._flat(model) * .3)
+    flat, (loss, got) = secrets._flat(mild), secrets.gradient(x, y, mild)
+    raw = secrets._forward(x, mild.conv, mild.shift)[2] @ mild.out + mild.bias
+    assert loss == pytest.approx((np.logaddexp(0, raw) - y * raw).sum(), rel=1e-4)
+
+    def value(flat):
+        at = secrets._shaped(flat)
+        raw = secrets._forward(x, at.conv, at.shift)[2] @ at.out + at.bias
+        return (np.logaddexp(0, raw) - y * raw).sum()
+
+    for at in [*np.argsort(-np.abs(got))[:40:4], len(flat) - 1, len(flat) - 40, len(flat) - 70]:
+        step = np.zeros(len(flat))
+        step[at] = 1e-5
+        assert got[at] == pytest.approx((value(flat + step) - value(flat - step)) / 2e-5, rel=.02, abs=.02)
+
+
+def test_every_labelled_piece_is_learned_from_and_calibrates(spark, monkeypatch):
+    """Far more pieces than the sample holds: all of them reach the gradient or the threshold."""
+    rng = random.Random(2)
+    texts = [" ".join(t) for t in zip(*[iter(secrets.generated(600, seed=21)[0])] * 5, strict=True)]
+    texts += [f"token = {''.join(rng.choice('abcdefXYZ0123456789') for _ in range(24))}" for _ in range(80)] + [texts[0], None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sums, added = [], secrets._added
+    monkeypatch.setattr(secrets, "_added", lambda *a: (sums.append(added(*a)), sums[-1])[1])
+    small = secrets.fit(docs, sample=10, generate=200)
+    pairs = [p for b in T.blocks(pa.array([t or "" for t in texts])) for p in secrets._label(b)]
+    w, y = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+    held = secrets.held_out(w)
+    distinct = lambda rows: len({v.tobytes() for v in rows})
+    want = [[int((m & (y == k)).sum()) for k in (0, 1)] + [distinct(w[m & (y == 2)])] for m in (~held, held)]
+    assert min(want[0]) > 20
+    assert sums[0][:, 0].tolist() == want[0]
+    assert all(c.sum(1).tolist() == want[1] for c in sums[1])
+    # one partition or three, the same model
+    again = secrets.fit(docs.coalesce(1), sample=10, generate=200)
+    assert again.threshold == pytest.approx(small.threshold, abs=1e-6) and np.allclose(secrets._flat(again), secrets._flat(small), atol=1e-6)
+
+
+def test_pieces_outside_the_sample_change_the_model(spark):
+    """The same sample, more pieces beyond it: the fit on the sample alone could not tell them apart."""
+    many = [" ".join(secrets.generated(400, seed=31)[0][i::40]) for i in range(40)]
+    docs = lambda rows: spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+
+    def first(rows):
+        got = secrets._labelled(5)([pa.RecordBatch.from_arrays([pa.array(rows)], ["t"])])
+        return {(int(k.as_py()), v.as_py()) for b in got for k, v in zip(b.column("y"), b.column("w"), strict=True)}
+
+    def learned(text):
+        return all(not secrets.held_out(w).any() and len(w) for b in T.blocks(pa.array([text])) for w, _ in secrets._label(b))
+
+    extra = next(t for t in secrets.generated(400, seed=32)[0] if first([*many, t]) == first(many) and learned(t))
+    a, b = (secrets.fit(docs(rows), sample=5, generate=200) for rows in (many, [*many, *[extra] * 50]))
+    assert not np.allclose(secrets._flat(a), secrets._flat(b), atol=1e-4)
