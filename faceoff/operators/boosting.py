@@ -2,8 +2,10 @@
 
 Every tree level is one pass: (member, node, feature, bin) -> sums of gradient, curvature and rows. A pass is a single stage of at most
 ``TASKS`` tasks; each sends one histogram, whose size is members x nodes x features x bins whatever the number of rows, and the driver adds
-them up and picks the splits; a leaf's value has an L2 penalty. Rows stay where they are, binned once and stored in blocks, feature by feature,
-with their raw scores; the scores are brought up to date in a stored table every ``REFRESH`` trees, so a pass never replays more than that.
+them up and picks the splits; a leaf's value has an L2 penalty. Rows are binned once; those with the same bins and members have the same score in every
+pass, so they are one cell with its rows and their labels added up. Cells are never more than rows, and where features have few bins or depend on each
+other far fewer, the more so the more rows there are. They are stored in blocks, feature by feature, with their raw scores; the scores are brought up to
+date in a stored table every ``REFRESH`` trees, so a pass never replays more than that.
 Several models (members) over the same rows, such as those of folds, grow side by side in the same passes.
 
 Null and NaN features are binned as the smallest value. Features are numbers in ``features``, the label is 0 or 1.
@@ -23,11 +25,11 @@ from pyspark.sql import functions as F
 from faceoff.session import write_and_reread
 
 BINS = 255
-#: Rows of a stored block, and trees after which the stored scores are brought up to date.
+#: Cells of a stored block, and trees after which the stored scores are brought up to date.
 BLOCK, REFRESH = 65_536, 20
 #: Most tasks of a pass, and so most histograms that the driver adds up.
 TASKS = 64
-BLOCKS = "x binary, y binary, member binary, raw binary, n int"
+BLOCKS = "x binary, rows binary, ones binary, member binary, raw binary, n int"
 
 
 @dataclass
@@ -72,7 +74,7 @@ def place_of(tree: tuple, x: np.ndarray, depth: int) -> np.ndarray:
         for i in range(2**level):
             f = feature[2**level - 1 + i]
             if f >= 0:
-                right |= (node == i) & (x[f] > cut[2**level - 1 + i])
+                right |= (node == i) & (x[f] > int(cut[2**level - 1 + i]))      # a plain int keeps the comparison in bytes
         node = 2 * node + right
     return node
 
@@ -97,22 +99,41 @@ def split(hist: np.ndarray, penalty: float, least: int) -> tuple[int, int, float
     return (j, b, float(gain[j, b])) if gain[j, b] > 1e-12 else (-1, 0, 0.0)
 
 
-def _store(cuts: list[np.ndarray], members: int):
-    """Rows in blocks: bins, labels, a bit per member that learns from the row, and a raw score per member."""
+def _bins(cuts: list[np.ndarray]):
+    """Rows as their bins (one byte a feature), members and label."""
+    def run(batches):
+        for batch in batches:
+            if len(batch):
+                flat = batch.column("v").flatten().to_numpy(zero_copy_only=False)
+                x = np.ascontiguousarray(binned(flat.reshape(len(batch), -1), cuts).T)
+                ends = np.arange(len(batch) + 1, dtype=np.int32) * np.int32(len(cuts))
+                yield pa.RecordBatch.from_arrays([
+                    pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(ends), pa.py_buffer(x)]),
+                    batch.column("member"), batch.column("label")], ["x", "member", "label"])
+    return run
+
+
+def _kind(members: int) -> type:
+    """The smallest of two types that has a bit per member."""
+    return np.uint8 if members <= 8 else np.int64
+
+
+def _store(width: int, members: int):
+    """Cells in blocks: bins, rows, rows of label 1, a bit per member that learns from them, and a raw score per member."""
     def run(batches):
         held: list = []
 
         def flush():
-            x, y, m = (np.concatenate(c) for c in zip(*held, strict=True))
+            x, rows, ones, member = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
             return pa.RecordBatch.from_pydict({
-                "x": [binned(x, cuts).tobytes()], "y": [y.astype(np.uint8).tobytes()], "member": [m.astype(np.int64).tobytes()],
-                "raw": [np.zeros((members, len(y))).tobytes()], "n": pa.array([len(y)], pa.int32())})
+                "x": [np.ascontiguousarray(x.T).tobytes()], "rows": [rows.tobytes()], "ones": [ones.tobytes()], "member": [member.astype(_kind(members)).tobytes()],
+                "raw": [np.zeros((members, len(rows))).tobytes()], "n": pa.array([len(rows)], pa.int32())})
 
         for batch in batches:
             if len(batch):
-                flat = batch.column("v").flatten().to_numpy(zero_copy_only=False)
-                held.append((flat.reshape(len(batch), -1), np.asarray(batch.column("label")), np.asarray(batch.column("member"))))
+                x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.uint8).reshape(len(batch), width)
+                held.append((x, *(np.asarray(batch.column(c)) for c in ("rows", "ones", "member"))))
             if sum(len(h[1]) for h in held) >= BLOCK:
                 yield flush()
         if held:
@@ -124,7 +145,8 @@ def _unpack(batch: pa.RecordBatch, width: int, members: int):
     for i in range(len(batch)):
         n = batch.column("n")[i].as_py()
         get = lambda c, kind: np.frombuffer(batch.column(c)[i].as_buffer(), kind)  # noqa: E731, B023
-        yield get("x", np.uint8).reshape(width, n), get("y", np.uint8), get("member", np.int64), get("raw", np.float64).reshape(members, n)
+        yield (get("x", np.uint8).reshape(width, n), get("rows", np.float64), get("ones", np.float64), get("member", _kind(members)),
+               get("raw", np.float64).reshape(members, n))
 
 
 def _histograms(width: int, starts: list[float], recent: list[list[tuple]], growing: list[tuple], level: int):
@@ -137,17 +159,18 @@ def _histograms(width: int, starts: list[float], recent: list[list[tuple]], grow
     def run(batches):
         total = np.zeros((members, nodes, width, BINS + 1, 3))
         for batch in batches:
-            for x, y, member, raw in _unpack(batch, width, members):
+            for x, rows, ones, member, raw in _unpack(batch, width, members):
                 for k in range(members):
                     mine = (member >> k & 1).astype(bool)
-                    every = mine.all()
-                    own, label = (x, y) if every else (x[:, mine], y[mine])
-                    p = 1.0 / (1.0 + np.exp(-(starts[k] + (raw[k] if every else raw[k, mine]) + added(recent[k], own))))
-                    g, h = p - label, p * (1 - p)
+                    if mine.all():
+                        mine = slice(None)
+                    own, n = x[:, mine], rows[mine]
+                    p = 1.0 / (1.0 + np.exp(-(starts[k] + raw[k, mine] + added(recent[k], own))))
+                    g, h = n * p - ones[mine], n * p * (1 - p)
                     first = place_of(growing[k], own, level).astype(np.int64) * (BINS + 1)
                     for j in range(width):
                         at = first + own[j]
-                        for s, v in enumerate((g, h, None)):
+                        for s, v in enumerate((g, h, n)):
                             total[k, :, j, :, s] += np.bincount(at, v, nodes * (BINS + 1)).reshape(nodes, BINS + 1)
         yield pa.RecordBatch.from_pydict({"sums": pa.array([total.tobytes()], pa.binary())})
     return run
@@ -156,10 +179,10 @@ def _histograms(width: int, starts: list[float], recent: list[list[tuple]], grow
 def _refresh(width: int, recent: list[list[tuple]]):
     def run(batches):
         for batch in batches:
-            for x, y, member, raw in _unpack(batch, width, len(recent)):
+            for x, rows, ones, member, raw in _unpack(batch, width, len(recent)):
                 now = np.stack([raw[k] + added(trees, x) for k, trees in enumerate(recent)])
-                yield pa.RecordBatch.from_pydict({"x": [x.tobytes()], "y": [y.tobytes()], "member": [member.tobytes()], "raw": [now.tobytes()],
-                                                  "n": pa.array([len(y)], pa.int32())})
+                yield pa.RecordBatch.from_pydict({"x": [x.tobytes()], "rows": [rows.tobytes()], "ones": [ones.tobytes()], "member": [member.tobytes()],
+                                                  "raw": [now.tobytes()], "n": pa.array([len(rows)], pa.int32())})
     return run
 
 
@@ -178,7 +201,9 @@ def fit_members(train: DataFrame, members: int, rounds: int, depth: int, rate: f
     cuts = [np.unique(np.array(c if c is not None else [], float)) for c in found]
     shares = rows.agg(*[F.avg(F.when(F.col("member").bitwiseAND(1 << k) != 0, F.col("label"))).alias(f"s{k}") for k in range(members)]).first()
     models = [BoostedTrees(cuts, float(np.log(max(s or 0.0, 1e-12) / max(1 - (s or 0.0), 1e-12)))) for s in shares]
-    state = write_and_reread(rows.mapInArrow(_store(cuts, members), BLOCKS), "boosting-blocks")
+    cells = rows.mapInArrow(_bins(cuts), "x binary, member long, label double").groupBy("x", "member").agg(
+        F.count("*").cast("double").alias("rows"), F.sum(F.col("label").cast("int").cast("double")).alias("ones"))
+    state = write_and_reread(cells.mapInArrow(_store(width, members), BLOCKS), "boosting-blocks")
     tasks, since = min(train.sparkSession.sparkContext.defaultParallelism, TASKS), 0
     for _ in range(rounds):
         growing = [(np.full(2**depth - 1, -1), np.zeros(2**depth - 1, np.int64), np.zeros(2 ** (depth + 1) - 1)) for _ in models]

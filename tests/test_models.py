@@ -147,3 +147,24 @@ def test_the_mode_of_sparse_contests_has_no_gradient(spark):
             slope[a] += 2 * ((winner == a) - p)
             slope[b] -= 2 * ((winner == a) - p)
         assert max(map(abs, slope.values())) < 1e-6
+
+
+def test_boosting_reads_rows_of_equal_bins_as_one_cell(spark, monkeypatch):
+    rows = [(Vectors.dense([float(i % 7), float(i % 5)]), float(i % 7 > 3 or i % 5 == 1 and i % 2 == 0), i % 3 + 1) for i in range(2100)]
+    df = spark.createDataFrame(rows, ["features", "label", "m"]).repartition(4)
+    stored, write = [], boosting.write_and_reread
+
+    def keep(rows, label):
+        out = write(rows, label)
+        if label == "boosting-blocks":
+            stored.append(out.agg(F.sum("n")).first()[0])
+        return out
+
+    monkeypatch.setattr(boosting, "write_and_reread", keep)
+    first, second = boosting.fit_members(df, 2, 4, 2, 0.3, 1.0, member="m")
+    assert stored == [7 * 5 * 3]
+    for k, model in enumerate((first, second)):
+        own = [(v.toArray(), y) for v, y, m in rows if m >> k & 1]
+        x, y = np.stack([v for v, _ in own]), np.array([t for _, t in own])
+        got = {tuple(r["features"].toArray()): r["p"] for r in model.transform(df).collect()}
+        assert np.allclose([got[tuple(v)] for v in x], plain_boosting(x, y, model.cuts, 4, 2, 0.3, 1.0, 20))
