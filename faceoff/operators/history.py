@@ -286,9 +286,13 @@ def roster_features(lineups: DataFrame, line: Timeline = TEAM) -> DataFrame:
     """Share of players kept from the last *known* lineup, and a stand-in flag (three or fewer).
 
     Unknown lineups are skipped, not remembered: they leave the window before it runs and come
-    back with null features.
+    back with null features. Entities that are not split are read once: unknown lineups stay, in histories of their own.
     """
-    known = lineups.where(F.col("lineup").isNotNull())
+    whole = not line.split and line.hot_rows is None
+    if whole:
+        known, line = lineups.withColumn("_known", F.col("lineup").isNotNull()), line.by(*line.keys, "_known")
+    else:
+        known = lineups.where(F.col("lineup").isNotNull())
 
     def make(f: Frames) -> dict[str, Column]:
         return {"_last": F.lag("lineup").over(f.ordered)}
@@ -298,6 +302,8 @@ def roster_features(lineups: DataFrame, line: Timeline = TEAM) -> DataFrame:
         "match_id", "side", "team",
         F.when(F.col("_last").isNotNull(), shared / 5.0).alias("stability"),
         F.when(F.col("_last").isNotNull(), (shared <= 3).cast("double")).alias("standin"))
+    if whole:
+        return scored
     unknown = lineups.where(F.col("lineup").isNull()).select(
         "match_id", "side", "team", F.lit(None).cast("double").alias("stability"),
         F.lit(None).cast("double").alias("standin"))

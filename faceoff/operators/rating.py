@@ -38,23 +38,34 @@ SETTLED = 1e-10
 _ADDED = ("elo_t1_pre", "elo_t2_pre", "elo_t1_post", "elo_t2_post")
 
 
-def _fold(rows: pa.Table, order: list[str], base: float, start: dict[str, float]) -> pa.Table:
-    """Replay one pool's slice in order; appends pre- and post-match ratings."""
+def _codes(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Numbers of the first and the second sides, and the names they stand for; a null name is one like any other."""
+    sides = pa.chunked_array([*rows["team1"].chunks, *rows["team2"].chunks], rows["team1"].type)
+    coded = sides.combine_chunks().dictionary_encode(null_encoding="encode")
+    codes = np.asarray(coded.indices)
+    return codes[:len(rows)], codes[len(rows):], coded.dictionary
+
+
+def _fold(rows: pa.Table, order: list[str], base: float, start: dict[str, float]) -> tuple[pa.Table, dict[str, float]]:
+    """Replay one pool's slice in order: its rows with pre- and post-match ratings, and the ratings at its end."""
     rows = rows.sort_by([(c, "ascending") for c in order])
-    firsts, seconds = rows["team1"].to_pylist(), rows["team2"].to_pylist()
-    results, ks = rows["result"].to_pylist(), rows["k"].to_pylist()
-    ratings = dict(start)
-    out = ([], [], [], [])
-    for a, b, s, k in zip(firsts, seconds, results, ks, strict=True):
-        ra, rb = ratings.get(a, base), ratings.get(b, base)
+    if rows["k"].null_count:
+        raise ValueError("a contest has no k")
+    first, second, names = _codes(rows)
+    names = names.to_pylist()
+    ratings = [start.get(name, base) for name in names]
+    results, ks = (np.asarray(rows[c], float).tolist() for c in ("result", "k"))
+    out = [[], [], [], []]
+    pre1, pre2, post1, post2 = (column.append for column in out)
+    for a, b, s, k in zip(first.tolist(), second.tolist(), results, ks, strict=True):
+        ra, rb = ratings[a], ratings[b]
         na = ra + k * (s - 1.0 / (1.0 + 10.0 ** ((rb - ra) / 400.0)))
         nb = rb + k * ((1.0 - s) - 1.0 / (1.0 + 10.0 ** ((ra - rb) / 400.0)))
         ratings[a], ratings[b] = na, nb
-        for column, value in zip(out, (ra, rb, na, nb), strict=True):
-            column.append(value)
+        pre1(ra), pre2(rb), post1(na), post2(nb)
     for name, column in zip(_ADDED, out, strict=True):
         rows = rows.append_column(name, pa.array(column, pa.float64()))
-    return rows
+    return rows, start | dict(zip(names, ratings, strict=True))
 
 
 def _state_of(table: pa.Table) -> dict[str, float]:
@@ -92,11 +103,9 @@ def elo_replay(
     })
 
 
-def _typed(snapshot: DataFrame | None, df: DataFrame, pool: list[str]) -> DataFrame:
-    """The snapshot (or none) as pool columns, team and rating."""
+def _typed(snapshot: DataFrame, df: DataFrame, pool: list[str]) -> DataFrame:
+    """The snapshot as pool columns, team and rating."""
     schema = T.StructType([*[df.schema[p] for p in pool], T.StructField("team", T.StringType()), T.StructField("rating", T.DoubleType())])
-    if snapshot is None:
-        return df.sparkSession.createDataFrame([], schema)
     return snapshot.select(*[F.col(f.name).cast(f.dataType) for f in schema])
 
 
@@ -117,10 +126,8 @@ def components(first: np.ndarray, second: np.ndarray, n: int) -> np.ndarray:
 def _lots(lot_rows: int):
     """Appends to one slice of one pool the lot of each contest; a component is never parted."""
     def run(rows: pa.Table) -> pa.Table:
-        sides = pa.chunked_array([*rows["team1"].chunks, *rows["team2"].chunks], rows["team1"].type)
-        codes = np.asarray(sides.combine_chunks().dictionary_encode(null_encoding="encode").indices)
-        first, second = codes[:len(rows)], codes[len(rows):]
-        label = components(first, second, int(codes.max(initial=-1)) + 1)[first]
+        first, second, names = _codes(rows)
+        label = components(first, second, len(names))[first]
         _, of, size = np.unique(label, return_inverse=True, return_counts=True)
         lot = (np.cumsum(size) - size) // lot_rows
         return rows.append_column("_lot", pa.array(lot[of], pa.int64()))
@@ -142,14 +149,17 @@ def _replay_in_slices(df, pool, order, base, snapshot, slice_rows, lot_rows, sch
     last = rows.agg(F.max("_slice")).first()[0]
     if last is None:                                             # no contests
         return df.sparkSession.createDataFrame([], schema)
-    order_by, lots, known = list(order), [*pool, "_slice", "_lot"], _typed(snapshot, df, pool)
+    order_by, lots = list(order), [*pool, "_slice", "_lot"]
 
     def step(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _fold(left.drop_columns(["_slice", "_lot"]), order_by, base, _state_of(right))
+        return _fold(left.drop_columns(["_slice", "_lot"]), order_by, base, _state_of(right))[0]
 
     sides = rows.select(*lots, F.explode(F.array("team1", "team2")).alias("team")).distinct()
-    first = sides.alias("l").join(known.alias("r"), _same([*pool, "team"]), "left").select(
-        "l.*", F.coalesce("r.rating", F.lit(float(base))).alias("rating"))
+    if snapshot is None:
+        first = sides.withColumn("rating", F.lit(float(base)))
+    else:
+        first = sides.alias("l").join(_typed(snapshot, df, pool).alias("r"), _same([*pool, "team"]), "left").select(
+            "l.*", F.coalesce("r.rating", F.lit(float(base))).alias("rating"))
     first = write_and_reread(first, "replay-first")
     starts = first if last == 0 else _settled_starts(rows, first, pool, order_by, base, int(last))
     return rows.groupBy(*lots).cogroup(starts.groupBy(*lots)).applyInArrow(step, schema)
@@ -164,10 +174,7 @@ def _settled_starts(rows: DataFrame, first: DataFrame, pool: list[str], order: l
 
     def end(left: pa.Table, right: pa.Table) -> pa.Table:
         used = _state_of(right)
-        done = _fold(left, order, base, used)
-        after = dict(used)
-        for t1, t2, a, b in zip(*[done[n].to_pylist() for n in ("team1", "team2", "elo_t1_post", "elo_t2_post")], strict=True):
-            after[t1], after[t2] = a, b
+        after = _fold(left, order, base, used)[1]
         out = right.rename_columns([*right.column_names[:-1], "used"])
         return out.append_column("rating", pa.array([after[t] for t in out["team"].to_pylist()], pa.float64()))
 

@@ -91,6 +91,28 @@ def test_lineups_remember_or_forget(spark):
     assert a[3]["change_count"] == 1 and a[0]["change_count"] is None and a[5]["change_count"] is None
 
 
+def test_lineups_are_read_once(spark):
+    """The same features as with the unknown ones left out first, in one scan; a row without a team stays one."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(v):
+        seen.add(1)
+        return v
+
+    rows = [(i, T0 + timedelta(days=i // 3), 1 + i % 2, None if i % 11 == 0 else "AB"[i % 2], None if i % 4 == 0 else [i // 6, 1, 2, 3, i % 5 + 10]) for i in range(80)]
+    lu = spark.createDataFrame(rows, "match_id int, datetime timestamp, side int, team string, lineup array<int>")
+    counted = lu.withColumn("side", F.udf(count, "int").asNondeterministic()("side"))
+    got = sorted(history.roster_features(counted).collect(), key=str)
+    assert seen.value == 80 and len(got) == 80
+    last, want = {}, []
+    for i, _, side, team, lineup in rows:
+        shared = len(set(lineup) & set(last[team])) if lineup and team in last else None
+        want.append((i, side, team, None if shared is None else shared / 5, None if shared is None else float(shared <= 3)))
+        if lineup:
+            last[team] = lineup
+    assert [tuple(r) for r in got] == sorted(want, key=lambda r: str(got[0].__class__(*r)))
+
+
 def test_order_statistics(spark):
     import numpy as np
 

@@ -188,3 +188,24 @@ def test_rare_entities_settle_to_the_serial_ratings(spark, entities):
     want = replay_by_hand(df.collect())
     got = rating.elo_replay(df, ["pool"], slice_rows=100, snapshot=spark.createDataFrame([("p", "t1", 1500.0)], "pool string, team string, rating double")).collect()
     assert max(abs(r["elo_t1_pre"] - want[r["match_id"]][0]) for r in got) < 1e-8
+
+
+def test_a_replay_without_a_snapshot_joins_none(spark, monkeypatch):
+    plans, write = [], rating.write_and_reread
+
+    def keep(rows, label):
+        if label == "replay-first":
+            plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return write(rows, label)
+
+    monkeypatch.setattr(rating, "write_and_reread", keep)
+    known = spark.createDataFrame([("p", "t0", 1700.0)], "pool string, team string, rating double")
+    for snapshot, start in ((None, 1500.0), (known, 1700.0)):
+        first = rating.elo_replay(contests(spark), ["pool"], snapshot=snapshot).where("pool = 'p' AND team1 = 't0'").orderBy("datetime").first()
+        assert first["elo_t1_pre"] == start
+    assert ["Join" in p for p in plans] == [False, True]
+
+
+def test_a_contest_without_a_k_fails(spark):
+    with pytest.raises(Exception, match="no k"):
+        rating.elo_replay(contests(spark).withColumn("k", F.when(F.col("match_id") != 7, 32.0)), ["pool"]).collect()
