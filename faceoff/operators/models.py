@@ -172,6 +172,7 @@ def summarize_folds(folds: DataFrame, metrics: tuple[str, ...] = ("logloss", "br
 
 def model_table(scored: DataFrame) -> DataFrame:
     """Long (model, p, y) rows -> losses and ECE per model."""
+    scored = write_and_reread(scored.select("model", "p", "y"), "scored-models")      # scored once, read twice
     return evaluate.score(scored, ["model"]).join(evaluate.ece(scored, ["model"]), "model").select(
         "model", "logloss", "brier", "acc", "ece", "n")
 

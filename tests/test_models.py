@@ -168,3 +168,15 @@ def test_boosting_reads_rows_of_equal_bins_as_one_cell(spark, monkeypatch):
         x, y = np.stack([v for v, _ in own]), np.array([t for _, t in own])
         got = {tuple(r["features"].toArray()): r["p"] for r in model.transform(df).collect()}
         assert np.allclose([got[tuple(v)] for v in x], plain_boosting(x, y, model.cuts, 4, 2, 0.3, 1.0, 20))
+
+
+def test_a_model_table_scores_every_row_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def half(v):
+        seen.add(1)
+        return 0.25 + v % 2 / 2
+
+    rows = spark.range(100).select(F.lit("m").alias("model"), F.udf(half, "double")("id").alias("p"), (F.col("id") % 2).cast("double").alias("y"))
+    row = models.model_table(rows).first()
+    assert (row["n"], row["acc"], row["brier"], row["ece"]) == (100, 1.0, 0.0625, 0.25) and seen.value == 100
