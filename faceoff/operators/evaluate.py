@@ -186,7 +186,7 @@ def unpivot_features(df: DataFrame, columns: list[str], keep: list[str]) -> Data
 def psi_edges(expected: DataFrame, bins: int = 10) -> DataFrame:
     """feature -> sorted distinct quantile edges (at most bins + 1 numbers per feature)."""
     probs = [i / bins for i in range(bins + 1)]
-    return exact_quantiles(expected, ["feature"], "value", probs).groupBy("feature").agg(
+    return exact_quantiles(expected, ["feature"], "value", probs, few=True).groupBy("feature").agg(
         F.array_sort(F.collect_set("value")).alias("edges"))
 
 

@@ -45,14 +45,17 @@ def last_k(df: DataFrame, keys: list[str], order: list[str], k: int, name: str =
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
-                    accuracy: int = 10_000) -> DataFrame:
+                    accuracy: int = 10_000, few: bool = False) -> DataFrame:
     """Exact, linearly interpolated quantiles per key: columns keys, prob, value.
 
     A mergeable rank sketch per key (memory follows ``accuracy``, not the rows) gives two splitters
     around every wanted rank. Its rank error is bounded, so what lies between two splitters is
     about six rows in ``accuracy`` of the key's, whatever the values are; only those are ranked.
     Rows below a splitter are counted. Keys with fewer than two times ``accuracy`` rows are ranked whole.
+    A sketch depends on the order in which its parts arrive, so rows meet it once: what is counted and what
+    is ranked see the same splitters. ``few`` says that the keys are a handful: their splitters are sent to the rows.
     """
+    probs = sorted(probs)
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
     margin = 3.0 / accuracy
     ends = sorted({0.0, 1.0, *(min(max(p + d, 0.0), 1.0) for p in probs for d in (-margin, margin))})
@@ -66,19 +69,20 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
 
     spans = sketch.select(*keys, "_total", *[splitter(p - margin, 0.0).alias(f"_lo{i}") for i, p in enumerate(probs)],
                           *[splitter(p + margin, 1.0).alias(f"_hi{i}") for i, p in enumerate(probs)])
-    near = _join(rows, spans, keys)
-    each = range(len(probs))
-    below = near.groupBy(*keys).agg(F.first("_total").alias("_total"), *[F.count_if(F.col("_v") < F.col(f"_lo{i}")).alias(f"_b{i}") for i in each])
-    below = below.select(*keys, "_total", F.inline(F.array(*[
-        F.struct(F.lit(i).alias("_i"), F.lit(float(p)).alias("prob"), F.col(f"_b{i}").alias("_before")) for i, p in enumerate(probs)])))
-    within = [F.col("_v").between(F.col(f"_lo{i}"), F.col(f"_hi{i}")) for i in each]
-    some = within[0]
-    for w in within[1:]:
-        some = some | w
-    counted = near.where(some).select(*keys, "_v", F.explode(F.array_compact(F.array(*[
-        F.when(w, F.lit(i)) for i, w in enumerate(within)]))).alias("_i")).groupBy(*keys, "_i", "_v").agg(F.count("*").alias("_n"))
+    near = _join(rows, F.broadcast(spans) if few else spans, keys)
+    # splitters rise with their rank: a row is above the first ``_past`` spans, in the next up to ``_met``, below the others
+    past = sum((F.col("_v") > F.col(f"_hi{i}")).cast("int") for i in range(len(probs)))
+    met = sum((F.col("_v") >= F.col(f"_lo{i}")).cast("int") for i in range(len(probs)))
+    placed = near.select(*keys, "_total", "_v", past.alias("_past"), met.alias("_met"))
+    counted = placed.groupBy(*keys, "_past", "_met", F.when(F.col("_past") < F.col("_met"), F.col("_v")).alias("_v")).agg(
+        F.first("_total").alias("_total"), F.count("*").alias("_n"))
+    # one row per span and value in it, and one without value for all that lies below the span
+    spread = counted.where(F.col("_past") < len(probs)).select(
+        *keys, "_total", "_n", "_met", "_v", F.explode(F.sequence("_past", F.lit(len(probs) - 1))).alias("_i"))
+    summed = spread.groupBy(*keys, "_i", F.when(F.col("_i") < F.col("_met"), F.col("_v")).alias("_v")).agg(
+        F.first("_total").alias("_total"), F.sum("_n").alias("_n"))
     inside = Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.withColumn("_upto", F.sum("_n").over(inside)).join(below, [*keys, "_i"]).withColumn("_upto", F.col("_before") + F.col("_upto"))
+    ranked = summed.withColumns({"_upto": F.sum("_n").over(inside), "prob": F.get(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i"))})
     # ranks covered by a value: (_upto - _n, _upto]; wanted ranks are 1-based positions
     target = (F.col("_total") - 1) * F.col("prob")
     low, high = F.floor(target) + 1, F.ceil(target) + 1

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,3 +35,22 @@ def test_one_outlier_leaves_few_rows_to_rank(spark):
     lo, hi = df.agg(F.percentile_approx("v", ends, accuracy)).first()[0]
     assert df.where(F.col("v").between(lo, hi)).count() <= n * 8 / accuracy + 1 and "percentile_approx" in plan.toString()
     assert out.count() == 2
+
+
+def test_quantiles_do_not_depend_on_the_order_of_arrival(spark):
+    """On a cluster parts arrive in another order each time they are read; a sketch read twice has other splitters then."""
+    def stirred(batches):
+        rows = pa.Table.from_batches(batches)
+        yield from rows.take(np.random.default_rng().permutation(len(rows))).to_batches()
+
+    n = 400_000         # a sketch takes in 50,000 rows of a key at once
+    rows = spark.range(0, n, 1, 2).select((F.col("id") % 2).alias("k"), (F.col("id") * 7919 % 400_009).cast("double").alias("v"))
+    reuse = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        for few in (False, True):
+            got = exact_quantiles(rows.mapInArrow(stirred, rows.schema), ["k"], "v", PROBS, 1000, few).collect()
+            own = {k: np.arange(k, n, 2) * 7919.0 % 400_009 for k in (0, 1)}
+            assert {(r["k"], r["prob"]): r["value"] for r in got} == pytest.approx({(k, p): np.quantile(v, p) for k, v in own.items() for p in PROBS})
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
