@@ -223,6 +223,11 @@ CODE = "CASE {x} % 5 WHEN 0 THEN 'DK' WHEN 1 THEN 'UA' WHEN 2 THEN 'US' END"
 F_Y, F_G, F_D = slug_sql("slug")
 
 
+def _by_match(maps, match: str):
+    """Maps by match in as many parts as shuffles have: parts are not merged by their narrow size, since their rows widen there."""
+    return maps.repartition(int(maps.sparkSession.conf.get("spark.sql.shuffle.partitions")), match)
+
+
 def long_source(c: Contests):
     """The derived maps in the layout of the long per-player source."""
     maps = c.map_rows().withColumn("MapName", F.concat_ws(" ", "map_name", (c_("game_id") - c_("match_id") * 100).cast("string")))
@@ -260,22 +265,23 @@ def _(c: Contests):
 def block_source(c: Contests):
     """The derived maps in the layout of the source with three map blocks per player row."""
     k = c_("game_id") - c_("match_id") * 100 - 1
-    # the narrow maps go to their match's place before they widen to ten rows of players: grouping these moves nothing
-    maps = derived.map_rows(c.maps().repartition("match_id")).withColumns({
-        "mm": c_("match_id") * 10 + F.floor(k / 3), "block": (k % 3 + 1).cast("int"),
-        "mn": F.concat_ws(" ", "map_name", (k + 1).cast("string"))})
+    # the narrow maps go to their new match's place before they widen to players: grouping these moves nothing
+    maps = derived.map_rows(_by_match(c.maps().withColumn("mm", c_("match_id") * 10 + F.floor(k / 3)), "mm"), "mm").withColumns({
+        "block": (k % 3 + 1).cast("int"), "mn": F.concat_ws(" ", "map_name", (k + 1).cast("string"))})
     fields = ["kills", "deaths", "assists", "adr", "kast"]
-    slots = F.array(*[
-        F.struct(F.lit(n * 10 + i).alias("seq"), c_(f"team{n}").alias("team"), c_(f"team{n}_player{i}_id").alias("pid"),
-                 *[c_(f"team{n}_player{i}_{f}").alias(f) for f in fields])
-        for n in (1, 2) for i in range(1, 6)])
-    long = maps.select(c_("match_id").alias("own"), "mm", "block", "mn", "datetime", "tournament", "bestOf", F.inline(slots)).where("pid IS NOT NULL")
-    at = lambda i, name: F.max(F.when(c_("block") == i, c_(name)))
-    people = long.groupBy("own", c_("mm").alias("match_id"), "seq", "team", "pid").agg(
+    slots = [(n, i) for n in (1, 2) for i in range(1, 6)]
+    # maps of a match and lineup meet as one row; its ten slots become rows after that
+    stats = F.array(*[F.struct(*[c_(f"team{n}_player{i}_{f}").alias(f) for f in fields]) for n, i in slots])
+    lineups = maps.groupBy(c_("match_id").alias("own"), "mm", "team1", "team2", F.array(*[c_(f"team{n}_player{i}_id") for n, i in slots]).alias("pids")).agg(
         F.min(F.to_date("datetime")).alias("date"), F.min("tournament").alias("event_name"), F.min("bestOf").alias("best_of"),
-        *[at(i, "mn").alias(f"map_{i}") for i in (1, 2, 3)],
-        *[at(i, f).alias(f"m{i}_{f}") for i in (1, 2, 3) for f in fields]).withColumns({
-            "player_name": F.concat(F.lit(" P"), "pid"), "country": F.expr(COUNTRY.format(x="pid"))}).drop("own")
+        *[F.max(F.when(c_("block") == i, F.struct("mn", stats.alias("stats")))).alias(f"b{i}") for i in (1, 2, 3)])
+    at = lambda values: F.get(F.array(*values), c_("at"))
+    people = lineups.select("*", F.posexplode("pids").alias("at", "pid")).where("pid IS NOT NULL").select(
+        c_("mm").alias("match_id"), at([F.lit(n * 10 + i) for n, i in slots]).alias("seq"),
+        F.when(c_("at") < 5, c_("team1")).otherwise(c_("team2")).alias("team"), "pid", "date", "event_name", "best_of",
+        *[c_(f"b{i}.mn").alias(f"map_{i}") for i in (1, 2, 3)],
+        *[F.get(f"b{i}.stats", c_("at"))[f].alias(f"m{i}_{f}") for i in (1, 2, 3) for f in fields]).withColumns({
+            "player_name": F.concat(F.lit(" P"), "pid"), "country": F.expr(COUNTRY.format(x="pid"))})
     results = maps.select(
         c_("mm").alias("match_id"), c_("mn").alias("map_name"), c_("team1").alias("team_1"), c_("team2").alias("team_2"),
         c_("score1_game").cast("int").alias("result_1"), c_("score2_game").cast("int").alias("result_2"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,8 +13,8 @@ from faceoff.operators.longform import STATS
 c = F.col
 
 
-def _wide(slots: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """(keys, side, slot, values...) rows -> one row per key with team{side}_player{slot}_* columns."""
+def _wide(slots: DataFrame, keys: list[str], values: list[str], *more: Column) -> DataFrame:
+    """(keys, side, slot, values...) rows -> one row per key with team{side}_player{slot}_* columns; ``more`` aggregates go with them."""
     picks = []
     for side in (1, 2):
         for slot in range(1, 6):
@@ -20,14 +22,14 @@ def _wide(slots: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
             for v in values:
                 suffix = "" if v == "label" else f"_{v}"
                 picks.append(F.max(F.when(here, c(v))).alias(f"team{side}_player{slot}{suffix}"))
-    return slots.groupBy(*keys).agg(*picks)
+    return slots.groupBy(*keys).agg(*more, *picks)
 
 
 def _match_context(rows: DataFrame, best_of: Column | None = None) -> DataFrame:
     """games_played and series scores from the maps that were kept (a handful per match)."""
-    per = rows.groupBy("match_id").agg(
-        F.count("*").alias("games_played"), F.sum(c("team1_win").cast("int")).alias("score1_match"))
-    out = rows.join(per, "match_id").withColumn("score2_match", c("games_played") - c("score1_match"))
+    match = Window.partitionBy("match_id")
+    out = rows.withColumns({"games_played": F.count("*").over(match), "score1_match": F.sum(c("team1_win").cast("int")).over(match)})
+    out = out.withColumn("score2_match", c("games_played") - c("score1_match"))
     return out if best_of is None else out.withColumn("bestOf", best_of)
 
 
@@ -80,33 +82,45 @@ def adapt_block_stats(players: DataFrame, results: DataFrame) -> DataFrame:
     """One row per map from player rows that hold three map blocks side by side.
 
     The block is chosen by map name (the first that carries it), never by position in ``results``.
-    Both sides need five players; the first five in file order (``seq``) fill the slots.
+    Both sides need five players; the first five in file order (``seq``, one per row of a match) fill the slots.
+
+    Player rows meet their match as one row that holds its games, and widen to rows per map only there: one shuffle of
+    ``players`` and one of ``results`` on the match, none where they come by match (hence a merge join, however small the games are).
+    Of games that repeat a map name the least gives the sides.
     """
+    games = results.where(c("map_name").isNotNull()).groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct(
+        "map_name", c("team_1").alias("team1"), c("team_2").alias("team2"), c("result_1").alias("score1_game"),
+        c("result_2").alias("score2_game"), (c("map_winner") == 1).alias("team1_win")))).alias("_all"))
+    games = games.withColumn("_names", F.array_distinct(c("_all.map_name"))).select("match_id", "_names", F.transform(
+        "_names", lambda name: F.filter("_all", lambda g: g["map_name"] == name)).alias("_games"))
+    names = [F.trim(c(f"map_{i}")) for i in (1, 2, 3)]
+
+    def team(n: int) -> Column:
+        return F.transform("_games", lambda g: F.get(g, F.lit(0))[f"team{n}"]).alias(f"_team{n}")
+
+    met = players.join(games.select("match_id", "_names", team(1), team(2)).hint("merge"), "match_id")
+
     def block(i: int) -> Column:
-        return F.struct(F.lit(i).alias("block"), F.trim(c(f"map_{i}")).alias("map_name"),
-                        *[c(f"m{i}_{s}").cast("double").alias(s) for s in STATS])
-
-    blocks = players.select(
-        "match_id", "seq", "team", short_label(c("player_name"), c("country")).alias("label"), "date", "event_name",
-        "best_of", F.inline(F.array(*[block(i) for i in (1, 2, 3)])))
-    games = results.select(
-        "match_id", "map_name", c("team_1").alias("team1"), c("team_2").alias("team2"), c("result_1").alias("score1_game"),
-        c("result_2").alias("score2_game"), (c("map_winner") == 1).alias("team1_win"))
-    key = ["match_id", "map_name"]
-    per_block = Window.partitionBy(*key, "seq").orderBy("block")
-    joined = blocks.join(games, key).withColumn("_b", F.row_number().over(per_block)).where("_b = 1")
-    side = F.when(c("team") == c("team1"), 1).when(c("team") == c("team2"), 2)
-    sided = joined.withColumn("side", side).where("side IS NOT NULL").withColumn(
-        "slot", F.row_number().over(Window.partitionBy(*key, "side").orderBy("seq")))
-    full = sided.groupBy(*key).agg(
-        F.count_if(c("side") == 1).alias("_one"), F.count_if(c("side") == 2).alias("_two"),
-        F.min_by(F.struct("date", "event_name", "best_of"), "seq").alias("_m")).where("_one >= 5 AND _two >= 5")
-    slots = sided.where("slot <= 5").withColumn("kddiff", c("kills") - c("deaths"))
-    wide = _wide(slots, key, ["label", *STATS, "kddiff"])
-    rows = games.join(full, key).join(wide, key).select(
-        "match_id", F.concat_ws("-", c("match_id").cast("string"), "map_name").alias("game_id"),
-        c("_m.event_name").alias("tournament"), "team1", "team2", "score1_game", "score2_game",
-        (c("score1_game") + c("score2_game")).alias("rounds"), "map_name", c("_m.date").cast("string").alias("datetime"),
-        "team1_win", F.lit(False).alias("is_total"), F.lit("csgo").alias("game"),
-        F.coalesce(c("_m.best_of").cast("int"), F.lit(0)).alias("bestOf"), *[n for n in wide.columns if n not in key])
+        again = reduce(Column.__or__, [names[i].eqNullSafe(n) for n in names[:i]], F.lit(False))
+        at = F.when(~again, F.array_position("_names", names[i]) - 1).cast("int")
+        side = F.when(c("team") == F.get("_team1", at), 1).when(c("team") == F.get("_team2", at), 2)
+        return F.struct(at.alias("_at"), side.alias("side"), *[c(f"m{i + 1}_{s}").cast("double").alias(s) for s in STATS])
+
+    key = ["match_id", "_at"]
+    sided = met.select(
+        "match_id", "seq", short_label(c("player_name"), c("country")).alias("label"), "date", "event_name", "best_of",
+        F.inline(F.array(*[block(i) for i in range(3)]))).where("side IS NOT NULL").withColumn(
+        "slot", F.row_number().over(Window.partitionBy(*key, "side").orderBy("seq"))).withColumn("kddiff", c("kills") - c("deaths"))
+    full = _wide(sided, key, ["label", *STATS, "kddiff"],
+                 F.count_if(c("side") == 1).alias("_one"), F.count_if(c("side") == 2).alias("_two"),
+                 F.min_by(F.struct("date", "event_name", "best_of"), "seq").alias("_m")).where("_one >= 5 AND _two >= 5")
+    wide = full.join(games.select("match_id", "_games"), "match_id").select("*", F.explode(F.get("_games", c("_at"))).alias("_g"))
+    rows = wide.select(
+        "match_id", F.concat_ws("-", c("match_id").cast("string"), "_g.map_name").alias("game_id"),
+        c("_m.event_name").alias("tournament"), c("_g.team1").alias("team1"), c("_g.team2").alias("team2"),
+        c("_g.score1_game").alias("score1_game"), c("_g.score2_game").alias("score2_game"),
+        (c("_g.score1_game") + c("_g.score2_game")).alias("rounds"), c("_g.map_name").alias("map_name"),
+        c("_m.date").cast("string").alias("datetime"), c("_g.team1_win").alias("team1_win"), F.lit(False).alias("is_total"),
+        F.lit("csgo").alias("game"), F.coalesce(c("_m.best_of").cast("int"), F.lit(0)).alias("bestOf"),
+        *[n for n in wide.columns if n.startswith("team")])
     return _match_context(rows)

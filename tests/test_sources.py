@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from faceoff.operators import names
@@ -136,3 +138,48 @@ def test_loose_names_equal_plain_matching(spark):
         if hit:
             want[f"r{i}"] = (min(hit), len(hit), len(hit))
     assert got == want
+
+
+def on_file(df, place):
+    """The frame as a table: scans of one table are recognised as equal, those of rows handed over are not."""
+    df.write.parquet(str(place))
+    return df.sparkSession.read.parquet(str(place))
+
+
+def shuffled_by(df):
+    """Keys of the shuffles a finished run made."""
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return sorted(re.sub(r"#\d+L?", "", keys) for keys in re.findall(r" Exchange hashpartitioning\((.*?), \d+\)", text))
+
+
+def test_block_rows_are_shuffled_once_by_match(spark, tmp_path):
+    cols = "match_id int, seq int, team string, player_name string, country string, date string, event_name string, best_of int, map_1 string, map_2 string, map_3 string, " \
+        + ", ".join(f"m{i}_{s} double" for i in (1, 2, 3) for s in STAT)
+    rows = [(m, i, "AB"[i % 2], f"p{i}", None, "2019-01-01", "E", 3, "Nuke", None, " Mirage ", *[float(i)] * 15) for m in range(3) for i in range(12)]
+    res = spark.createDataFrame([(m, n, "A", "B", 16, 10, 1 + m % 2) for m in range(3) for n in ("Mirage", "Nuke")],
+                                "match_id int, map_name string, team_1 string, team_2 string, result_1 int, result_2 int, map_winner int")
+    out = adapters.adapt_block_stats(on_file(spark.createDataFrame(rows, cols), tmp_path / "players"), on_file(res, tmp_path / "results"))
+    keys = shuffled_by(out)         # players once, games for the sides and again for the scores
+    assert set(keys) == {"match_id"} and len(keys) <= 3
+    assert [(r["games_played"], r["score1_match"], r["score2_match"], r["team2_player5_kills"]) for r in out.orderBy("match_id").collect()] == [
+        (2, 2 * (1 - m % 2), 2 * (m % 2), 9.0) for m in range(3) for _ in range(2)]
+
+
+def test_block_source_rows_equal_rows_grouped_by_player(spark):
+    """Lineups are grouped as a whole and take their rows after that; the same rows as grouped player by player."""
+    from pyspark.sql import functions as F
+
+    from faceoff.plans.queries_players import block_source
+    from faceoff.plans.registry import Contests
+
+    c = Contests(spark, "/root/testdata/sf0.001")
+    got = block_source(c)[0].select("match_id", "seq", "team", "pid", "map_1", "map_2", "map_3", "m1_kills", "m2_kast", "m3_adr")
+    maps = c.map_rows().withColumn("k", F.col("game_id") - F.col("match_id") * 100 - 1)
+    rows = maps.select((F.col("match_id") * 10 + F.floor(F.col("k") / 3)).alias("match_id"), (F.col("k") % 3 + 1).alias("b"),
+                       F.concat_ws(" ", "map_name", (F.col("k") + 1).cast("string")).alias("mn"), F.inline(F.array(*[
+                           F.struct(F.lit(n * 10 + i).alias("seq"), F.col(f"team{n}").alias("team"), F.col(f"team{n}_player{i}_id").alias("pid"),
+                                    *[F.col(f"team{n}_player{i}_{s}").alias(s) for s in STAT]) for n in (1, 2) for i in range(1, 6)]))).where("pid IS NOT NULL")
+    at = lambda i, v: F.max(F.when(F.col("b") == i, F.col(v)))
+    want = rows.groupBy("match_id", "seq", "team", "pid").agg(at(1, "mn"), at(2, "mn"), at(3, "mn"), at(1, "kills"), at(2, "kast"), at(3, "adr"))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))
