@@ -230,7 +230,11 @@ def _by_match(maps, match: str):
 
 def long_source(c: Contests):
     """The derived maps in the layout of the long per-player source."""
-    maps = c.map_rows().withColumn("MapName", F.concat_ws(" ", "map_name", (c_("game_id") - c_("match_id") * 100).cast("string")))
+    def with_name(maps):
+        return derived.map_rows(maps).withColumn("MapName", F.concat_ws(" ", "map_name", (c_("game_id") - c_("match_id") * 100).cast("string")))
+
+    # the narrow maps go to their match's place before they widen to ten rows of players
+    maps = with_name(_by_match(c.maps(), "match_id"))
     overview = maps.select(
         c_("match_id").alias("MatchID"), "MapName", c_("team1_id").alias("Team1"), c_("team2_id").alias("Team2"),
         c_("score1_game").cast("int").alias("Team1_Final_Score"), c_("score2_game").cast("int").alias("Team2_Final_Score"),
@@ -240,13 +244,16 @@ def long_source(c: Contests):
                  c_(f"team{n}_player{i}_kills").alias("Total_Kills"), c_(f"team{n}_player{i}_deaths").alias("Total_Deaths"),
                  c_(f"team{n}_player{i}_adr").alias("Total_ADR"), c_(f"team{n}_player{i}_kast").alias("k"))
         for n in (1, 2) for i in range(1, 6)])
-    infos = maps.select(c_("match_id").alias("MatchID"), "MapName", F.inline(slots)).where("PlayerID IS NOT NULL").withColumn(
-        "Total_KAST", F.when(c_("k") > 1.5, c_("k") / 100).otherwise(c_("k"))).drop("k")
-    people = infos.select(c_("PlayerID").alias("ID")).distinct().select(
+
+    def players(maps):
+        return maps.select(c_("match_id").alias("MatchID"), "MapName", F.inline(slots)).where("PlayerID IS NOT NULL").withColumn(
+            "Total_KAST", F.when(c_("k") > 1.5, c_("k") / 100).otherwise(c_("k"))).drop("k")
+
+    people = players(with_name(c.maps())).select(c_("PlayerID").alias("ID")).distinct().select(
         "ID", F.concat(F.lit("P"), "ID").alias("NickName"),
         F.concat(F.lit("Name 'P"), "ID", F.lit("' No"), "ID").alias("Name"), F.expr(COUNTRY.format(x="ID")).alias("Country"))
-    ids = c.derive("pairing").select(c_("match_id").alias("ID"), _slug().alias("Tittle"))
-    return overview, infos, people, ids
+    ids = c.pairing().select(c_("match_id").alias("ID"), _slug().alias("Tittle"))
+    return overview, players(maps), people, ids
 
 
 @query("adapt_long_stats", f"""WITH {LONG_SLOTS}, rk AS (SELECT *, COUNT(*) OVER (PARTITION BY game_id) AS n, ROW_NUMBER() OVER (PARTITION BY game_id, side ORDER BY kills DESC, id) AS slot FROM sl WHERE id IS NOT NULL),

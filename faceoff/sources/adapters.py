@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from faceoff.functions.scalar import player_label, short_label, slug_date, slug_game
 from faceoff.operators.longform import STATS
+from faceoff.session import write_and_reread
 
 c = F.col
 
@@ -45,36 +46,45 @@ def adapt_long_stats(overview: DataFrame, infos: DataFrame, players: DataFrame,
 
     Maps need at least ten player rows; each side keeps its five players with most kills (ties by
     player id). An id that the look-up tables repeat has its last row, a map that ``overview`` repeats its
-    first; ``seq`` columns give the order, without one the values do. Equal shuffles on (match, map) serve the count, the ranking and the pivot.
+    first; ``seq`` columns give the order, without one the values do.
+
+    Labels are stored once, so that few of them are sent to the player rows. Player rows meet their match as one row that holds
+    its maps, and go to the match's place for it; ranking, pivot and series scores then move nothing
+    (hence a merge join, however small the look-up is).
     """
     players, match_ids = _one_row(players, ["ID"], True), _one_row(match_ids, ["ID"], True)
     overview = _one_row(overview, ["MatchID", "MapName"], False)
-    people = players.select(c("ID").alias("PlayerID"), player_label(c("NickName"), c("Name"), c("Country")).alias("label"))
-    maps = overview.join(match_ids.select(c("ID").alias("MatchID"), c("Tittle").alias("slug")), "MatchID", "left")
-    key = ["MatchID", "MapName"]
-    stats = infos.join(people, "PlayerID", "left")
-    sized = stats.withColumn("_n", F.count("*").over(Window.partitionBy(*key))).where("_n >= 10")
-    teams = maps.select(*key, F.inline(F.array(
-        F.struct(F.lit(1).alias("side"), c("Team1").alias("TeamID")),
-        F.struct(F.lit(2).alias("side"), c("Team2").alias("TeamID")))))
-    ranked = sized.join(teams, [*key, "TeamID"]).withColumn(
-        "slot", F.row_number().over(Window.partitionBy(*key, "side").orderBy(F.desc("Total_Kills"), "PlayerID")))
-    slots = ranked.where("slot <= 5").select(
-        *key, "side", "slot", c("PlayerID").alias("id"), "label", c("Total_Kills").cast("double").alias("kills"),
+    people = write_and_reread(players.select(
+        c("ID").alias("PlayerID"), player_label(c("NickName"), c("Name"), c("Country")).alias("label")), "labels")
+    matches = overview.where(c("MapName").isNotNull()).groupBy("MatchID").agg(F.array_sort(F.collect_list(F.struct(
+        "MapName", "Team1", "Team2", "Team1_Final_Score", "Team2_Final_Score", "Team1_Win"))).alias("_maps"))
+    met = infos.join(people, "PlayerID", "left").join(matches.select(
+        "MatchID", *[c(f"_maps.{n}").alias(f"_{n}") for n in ("MapName", "Team1", "Team2")]).hint("merge"), "MatchID")
+    # a row without side counts for the ten, one of a team that plays itself has both sides
+    met = met.withColumn("_at", (F.array_position("_MapName", c("MapName")) - 1).cast("int")).where("_at >= 0")
+    sides = F.array_compact(F.array(*[F.when(c("TeamID") == F.get(f"_Team{n}", c("_at")), n) for n in (1, 2)]))
+    key = ["MatchID", "_at"]
+    slots = met.select(
+        *key, c("PlayerID").alias("id"), "label", "Total_Kills", c("Total_Kills").cast("double").alias("kills"),
         c("Total_Deaths").cast("double").alias("deaths"), F.lit(None).cast("double").alias("assists"),
         c("Total_ADR").cast("double").alias("adr"), (c("Total_KAST").cast("double") * 100.0).alias("kast"),
-        (c("Total_Kills") - c("Total_Deaths")).cast("double").alias("kddiff"))
-    wide = _wide(slots, key, ["id", "label", *STATS, "kddiff"])
-    slug = F.coalesce("slug", F.lit(""))
+        (c("Total_Kills") - c("Total_Deaths")).cast("double").alias("kddiff"), F.posexplode_outer(sides).alias("_copy", "side"))
+    ranked = slots.withColumn(
+        "slot", F.row_number().over(Window.partitionBy(*key, "side").orderBy(F.desc("Total_Kills"), "id")))
+    wide = _wide(ranked, key, ["id", "label", *STATS, "kddiff"],
+                 F.count_if(F.coalesce("_copy", F.lit(0)) == 0).alias("_n"), F.count("side").alias("_sided")).where("_n >= 10 AND _sided > 0")
+    wide = wide.join(matches.join(match_ids.select(c("ID").alias("MatchID"), c("Tittle").alias("_slug")), "MatchID", "left"), "MatchID").withColumn(
+        "_map", F.get("_maps", c("_at")))
+    slug = F.coalesce("_slug", F.lit(""))
     event = F.when(F.contains(slug, F.lit("/")), F.regexp_extract(slug, r"(?s)^[^/]*/(.*)$", 1)).otherwise(slug)
-    rows = maps.join(wide, key).select(
-        c("MatchID").alias("match_id"), F.concat_ws("-", c("MatchID").cast("string"), "MapName").alias("game_id"),
-        event.alias("tournament"), c("Team1").alias("team1_id"), c("Team2").alias("team2_id"),
-        c("Team1").cast("string").alias("team1"), c("Team2").cast("string").alias("team2"),
-        c("Team1_Final_Score").alias("score1_game"), c("Team2_Final_Score").alias("score2_game"),
-        c("MapName").alias("map_name"), slug_date(slug).alias("datetime"), c("Team1_Win").cast("boolean").alias("team1_win"),
+    rows = wide.select(
+        c("MatchID").alias("match_id"), F.concat_ws("-", c("MatchID").cast("string"), "_map.MapName").alias("game_id"),
+        event.alias("tournament"), c("_map.Team1").alias("team1_id"), c("_map.Team2").alias("team2_id"),
+        c("_map.Team1").cast("string").alias("team1"), c("_map.Team2").cast("string").alias("team2"),
+        c("_map.Team1_Final_Score").alias("score1_game"), c("_map.Team2_Final_Score").alias("score2_game"),
+        c("_map.MapName").alias("map_name"), slug_date(slug).alias("datetime"), c("_map.Team1_Win").cast("boolean").alias("team1_win"),
         F.lit(False).alias("is_total"), slug_game(slug).alias("game"),
-        *[n for n in wide.columns if n not in key])
+        *[n for n in wide.columns if n.startswith("team")])
     return _match_context(rows, F.floor(c("games_played") / 2) * 2 + 1)
 
 

@@ -166,6 +166,22 @@ def test_block_rows_are_shuffled_once_by_match(spark, tmp_path):
         (2, 2 * (1 - m % 2), 2 * (m % 2), 9.0) for m in range(3) for _ in range(2)]
 
 
+def test_long_rows_are_shuffled_once_by_match(spark, tmp_path):
+    people = spark.createDataFrame([(i, f"n{i}", f"p{i}", "Ukraine") for i in range(12)], "ID long, NickName string, Name string, Country string")
+    ids = spark.createDataFrame([(1, "a/x-2020-01-01")], "ID long, Tittle string")
+    overview = spark.createDataFrame([(m, n, 100, 200, 16, 3, 1) for m in (1, 2) for n in ("Nuke", "Mirage")],
+                                     "MatchID long, MapName string, Team1 long, Team2 long, Team1_Final_Score int, Team2_Final_Score int, Team1_Win int")
+    # nine rows are too few for a map; a third team's rows count for the ten but fill no slot
+    infos = spark.createDataFrame([(m, n, (100, 200, 300)[i % 3 if m == 2 else i % 2], i, 20 - i, 10, 80.0, 0.7)
+                                   for m, n, k in ((1, "Nuke", 12), (1, "Mirage", 9), (2, "Nuke", 12)) for i in range(k)],
+                                  "MatchID long, MapName string, TeamID long, PlayerID long, Total_Kills int, Total_Deaths int, Total_ADR double, Total_KAST double")
+    out = adapters.adapt_long_stats(*[on_file(df, tmp_path / str(i)) for i, df in enumerate((overview, infos, people, ids))])
+    keys = shuffled_by(out)         # slugs by their id, maps by name and match, player rows once
+    assert set(keys) == {"ID", "MatchID", "MatchID, MapName"} and keys.count("MatchID") <= 3 and len(keys) <= 6
+    assert [(r["game_id"], r["games_played"], r["score1_match"], r["team1_player5_id"], r["team2_player4_id"]) for r in out.orderBy("match_id").collect()] == [
+        ("1-Nuke", 1, 1, 8, 7), ("2-Nuke", 1, 1, None, 10)]
+
+
 def test_block_source_rows_equal_rows_grouped_by_player(spark):
     """Lineups are grouped as a whole and take their rows after that; the same rows as grouped player by player."""
     from pyspark.sql import functions as F
